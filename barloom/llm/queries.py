@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, exact_dedup, mixing, url_filter
+from barloom.llm import bpe, exact_dedup, lm, mixing, token_trie, url_filter
 from barloom.llm.common import table
 
 
@@ -108,10 +108,20 @@ SELECT page_id, host, path, rule,
 FROM (SELECT o.*, h.mean, h.weight FROM outcomes o JOIN host_m h ON o.host = h.host)
 """
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_trie.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op2_bpe": op2_bpe,
+    "op3_lm": op3_lm,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_mixing": op5_mixing,
     "op9_url_filter": op9_url_filter,
+    "op10_token_counts": op10_token_counts,
 }
 ORACLE_SQL = {"op4_exact_dedup": OP4_SQL, "op9_url_filter": OP9_SQL}
