@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, exact_dedup, lm, mixing, simhash, token_trie, url_filter
+from barloom.llm import bpe, exact_dedup, lm, mixing, simhash, spotsigs, token_trie, url_filter
 from barloom.llm.common import table
 
 
@@ -116,6 +116,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_trie.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -126,6 +130,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_mixing": op5_mixing,
     "op7_simhash": op7_simhash,
+    "op8_spotsigs": op8_spotsigs,
     "op9_url_filter": op9_url_filter,
     "op10_token_counts": op10_token_counts,
 }
