@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, exact_dedup, lm, mixing, simhash, spotsigs, token_trie, url_filter
+from barloom.llm import (
+    bpe,
+    exact_dedup,
+    lm,
+    mixing,
+    quality,
+    simhash,
+    spotsigs,
+    token_trie,
+    toxicity,
+    url_filter,
+)
 from barloom.llm.common import table
 
 
@@ -15,6 +26,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), texts=False)
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -112,6 +127,10 @@ def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
@@ -125,10 +144,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
     "op3_lm": op3_lm,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_mixing": op5_mixing,
+    "op6_quality": op6_quality,
     "op7_simhash": op7_simhash,
     "op8_spotsigs": op8_spotsigs,
     "op9_url_filter": op9_url_filter,
