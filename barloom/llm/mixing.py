@@ -124,8 +124,9 @@ def mix(
     passes: int = 3,
     seed: int = 42,
     buckets: int | None = None,
+    carry: str | None = None,
 ) -> DataFrame:
-    """One row for each row of df: id_col, pattern, size, copies, taken, source_size, target.
+    """One row for each row of df: id_col, pattern, size, copies, taken, source_size, target, and column carry if named.
 
     members_col is the document's source, or an array of the sources that it belongs to. size is the number of words
     (null text: 0), copies how often the mix takes the document (0 to passes), taken = copies * size. target and
@@ -142,6 +143,7 @@ def mix(
     rows = checkpoint(
         df.select(
             F.col(id_col).alias("id"),
+            (F.col(carry) if carry else F.lit(None).cast("long")).alias("carried"),
             F.monotonically_increasing_id().alias("rid"),
             members.alias("pattern"),
             F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
@@ -167,7 +169,7 @@ def mix(
     placed = dealt.join(before, ["pattern", "bucket"])
     in_cut = ~F.col("whole_bucket") & (F.col("before") < F.col("rest"))
     line = Window.partitionBy("pattern", "bucket").orderBy("turn", "id", "rid").rowsBetween(Window.unboundedPreceding, 0)
-    columns = ["id", "rid", "pattern", "size", "whole", "rest", "one_more"]
+    columns = ["id", "rid", "carried", "pattern", "size", "whole", "rest", "one_more"]
     cut = placed.where(in_cut).withColumn("one_more", F.col("before") + F.sum("size").over(line) <= F.col("rest"))
     picked = cut.select(columns).union(placed.where(~in_cut).withColumn("one_more", F.col("whole_bucket")).select(columns))
     # What is still missing then, and the one document that fills it best; a row for each pattern.
@@ -195,4 +197,14 @@ def mix(
         (copies * F.col("size")).alias("taken"),
         "source_size",
         "target",
+        *([F.col("carried").alias(carry)] if carry else []),
     )
+
+
+def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", members_col: str = "source", **options) -> DataFrame:
+    """The rows of df that the mix takes, with all their columns, each as often as the mix repeats it."""
+    marked = df.withColumn("_row", F.xxhash64(*df.columns))
+    taken = mix(marked, id_col, text_col, members_col, carry="_row", **options).groupBy("_row").agg(F.sum("copies").alias("_copies"))
+    # Equal rows share one mark, and the sum of their copies.
+    once = marked.dropDuplicates(["_row"]).join(taken.where("_copies > 0"), "_row")
+    return once.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*df.columns)

@@ -384,6 +384,27 @@ def classify(
     return out.withColumnRenamed("id", id_col)
 
 
+def drop_toxic(
+    df: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+    divisor: int = 4,
+    held: int = 2,
+    limit: float = 0.3,
+) -> DataFrame:
+    """The rows of df that score under `limit`, with all their columns; null texts are scored as empty ones."""
+    model = train(df, labels, id_col, text_col, label_col, divisor, held)
+
+    def run(batches):
+        for batch in batches:
+            texts = [t or "" for t in batch.column(text_col).to_pylist()]
+            yield batch.filter(pa.array(model.score(texts) < limit, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def restore(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", logp: np.ndarray | None = None) -> DataFrame:
     """id_col and restored: each whole text's restored words, joined by spaces; null text gives the empty string."""
     model = Model(char_model(df, text_col) if logp is None else logp, {}, np.zeros(3))
