@@ -42,7 +42,7 @@ def with_signatures(df: DataFrame, text: str, out: str, chain: int = 2, few: int
         return F.when(w.isin(*anchors), F.concat(F.lit(SPOT), w)).otherwise(w)
 
     marked = F.split(F.array_join(F.transform(words, spotted), " "), SPOT)
-    cut = F.transform(F.slice(marked, 2, 2**31 - 1), lambda s: F.substring_index(F.rtrim(s), " ", chain + 1))
+    cut = F.transform(F.slice(marked, 2, 1 << 30), lambda s: F.substring_index(F.rtrim(s), " ", chain + 1))
     single = F.concat(F.col(chains), F.filter(words, lambda w: w != ""))
     used = F.when(F.size(chains) < few, single).otherwise(F.col(chains))
     hashed = F.transform(used, lambda s: F.xxhash64(s).bitwiseAND(F.lit(0xFFFFFFFF)))
