@@ -157,7 +157,8 @@ def mix(
     routed, goal = _plan(spark, sorted(sums, key=lambda r: str(r["pattern"])), weights, passes)
     # At most MOST_PATTERNS rows of a few words each: small enough to broadcast.
     dealt = rows.join(F.broadcast(routed), rows["pattern"].eqNullSafe(routed["pattern"])).drop(routed["pattern"])
-    dealt = dealt.withColumn("bucket", F.pmod("turn", F.lit(buckets)))
+    # A bucket is a range of turns, so the choice doesn't depend on how many there are.
+    dealt = dealt.withColumn("bucket", F.shiftrightunsigned("turn", 64 - max(1, (buckets - 1).bit_length())))
     # Whole buckets, in order, while the rest of the pattern's flow has room; then single documents of the next bucket.
     inner = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = (
