@@ -244,17 +244,17 @@ class Model:
         return w
 
     def score(self, texts: list[str]) -> np.ndarray:
-        x = np.zeros((len(texts), 2))
+        x = np.zeros((len(texts), 3))
         for i, t in enumerate(texts):
             words = self.words(t)
-            x[i] = evidence([self.weight(w) for w in words])
+            x[i] = evidence(words, [self.weight(w) for w in words])
         return labelled.chance(x, self.weights)
 
 
-def evidence(weights: list[float]) -> tuple[float, float]:
-    """Features of a text: the sum of its words' weights, and the sum by word."""
+def evidence(words: list[str], weights: list[float]) -> tuple[float, float, float]:
+    """Features of a text: the sum of its words' weights, the sum by word, and the number of different weighed words."""
     s = sum(weights)
-    return np.log1p(s), np.sqrt(s / (len(weights) + 10))
+    return np.log1p(s), np.sqrt(s / (len(words) + 10)), np.log1p(len({w for w, x in zip(words, weights) if x}))
 
 
 def train(
@@ -267,7 +267,7 @@ def train(
     held: int,
     most: int = 20_000,
     lexicon_size: int = 4096,
-    least_docs: int = 3,
+    least_docs: int = 5,
     least_odds: float = 1.5,
 ) -> Model:
     """Character model of all texts; lexicon and regression of a bounded sample of at most `most` labelled rows.
@@ -283,7 +283,7 @@ def train(
     found = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).join(
         F.broadcast(wanted), F.col("id") == F.col("_id")
     )
-    bare = Model(logp, {}, np.zeros(3))
+    bare = Model(logp, {}, np.zeros(4))
 
     def count(batches):
         sums: dict[str, list[int]] = {}
@@ -305,7 +305,7 @@ def train(
     n_neg, n_pos = (docs["neg"], docs["pos"]) if docs else (0, 0)
     if not n_pos or not n_neg:
         share = (n_pos + 1) / (n_pos + n_neg + 2)
-        return Model(logp, {}, np.array([np.log(share / (1 - share)), 0.0, 0.0]))
+        return Model(logp, {}, np.array([np.log(share / (1 - share)), 0.0, 0.0, 0.0]))
     pos, neg = F.col("pos"), F.col("neg")
     lean = (
         F.log((pos + 0.5) / (n_pos + 1)) - F.log((neg + 0.5) / (n_neg + 1)) - F.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
@@ -329,16 +329,17 @@ def train(
         # a feature that only its own document has is left out altogether
         left_out[1] = {f: w for f, w in left_out[1].items() if counts[f][0] - 1 >= least_docs - 1}
         for batch in batches:
-            out: list[tuple[float, float]] = []
+            out: list[tuple[float, float, float]] = []
             ys = batch.column("y").to_pylist()
             for t, y in zip(batch.column("text").to_pylist(), ys):
                 words = bare.words(t)
                 seen = {w: max(((left_out[y] if f in left_out[y] else lexicon).get(f, 0.0) for f in beginnings(w)), default=0.0) for w in set(words)}
-                out.append(evidence([seen[w] for w in words]))
-            yield pa.RecordBatch.from_pydict({"a": [o[0] for o in out], "b": [o[1] for o in out], "y": pa.array(ys, pa.int32())})
+                out.append(evidence(words, [seen[w] for w in words]))
+            a, b, c = ([float(o[k]) for o in out] for k in range(3))
+            yield pa.RecordBatch.from_pydict({"a": a, "b": b, "c": c, "y": pa.array(ys, pa.int32())})
 
-    x = found.select("text", "y").mapInArrow(weigh, "a double, b double, y int").toPandas()
-    weights = labelled.fit_logistic(x[["a", "b"]].to_numpy(), x["y"].to_numpy(dtype=np.float64), penalty=0.1)
+    x = found.select("text", "y").mapInArrow(weigh, "a double, b double, c double, y int").toPandas()
+    weights = labelled.fit_logistic(x[["a", "b", "c"]].to_numpy(), x["y"].to_numpy(dtype=np.float64), penalty=0.1)
     return Model(logp, lexicon, weights)
 
 
@@ -407,7 +408,7 @@ def drop_toxic(
 
 def restore(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", logp: np.ndarray | None = None) -> DataFrame:
     """id_col and restored: each whole text's restored words, joined by spaces; null text gives the empty string."""
-    model = Model(char_model(df, text_col) if logp is None else logp, {}, np.zeros(3))
+    model = Model(char_model(df, text_col) if logp is None else logp, {}, np.zeros(4))
     kind = dict(df.dtypes)[id_col]
 
     def run(batches):
