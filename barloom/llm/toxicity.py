@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +63,16 @@ def is_noisy(word: str) -> bool:
     return letters > 1 and not (CLEAN.match(word) and not REPEAT.search(word))
 
 
+def plain(chunk: str) -> str | None:
+    """The folded word of a chunk that is letters and at most some marks at its end; None if it needs a closer look."""
+    word = chunk if chunk.isalpha() else chunk.rstrip(".,;:?!")
+    if word.isalpha():
+        word = fold(word)
+        if word.isalpha() and REPEAT.search(word) is None:
+            return word
+    return None
+
+
 class Channel:
     """Character model (27^4 log-probabilities: a fixed size) and decoder; remembers words that it has restored."""
 
@@ -75,6 +86,10 @@ class Channel:
         if found is None:
             if len(self.known) > 200_000:
                 self.known.clear()
+            word = plain(chunk)
+            if word is not None:
+                self.known[chunk] = found = (word,)
+                return found
             word = trimmed(fold(chunk))
             if not word:
                 found = ()
@@ -127,20 +142,24 @@ class Channel:
     def text(self, text: str) -> list[str]:
         """All restored words of a text, in order; runs of three or more single characters are one lattice."""
         chunks = text.split()
-        single = [i for i, c in enumerate(chunks) if len(c) == 1]
         out: list[str] = []
         at = 0
-        for a, b in runs(single):
-            if sum(map(str.isalpha, chunks[a:b])) > 1:
-                for c in chunks[at:a]:
-                    out.extend(self.words(c))
-                out.extend(self.decode(fold("".join(chunks[a:b])), True).split())
-                at = b
+        for a, b in spaced(chunks):
+            for c in chunks[at:a]:
+                out.extend(self.words(c))
+            out.extend(self.decode(fold("".join(chunks[a:b])), True).split())
+            at = b
         for c in chunks[at:]:
             out.extend(self.words(c))
         return out
 
 
+def spaced(chunks: list[str]) -> list[tuple[int, int]]:
+    """(from, to) of the runs of single characters that have two letters or more."""
+    single = [i for i, c in enumerate(chunks) if len(c) == 1]
+    return [(a, b) for a, b in runs(single) if sum(map(str.isalpha, chunks[a:b])) > 1]
+
+
 def runs(places: list[int], least: int = 3) -> list[tuple[int, int]]:
     """(from, to) of at least so many places in a row."""
     found, k = [], 0
@@ -156,14 +175,17 @@ def runs(places: list[int], least: int = 3) -> list[tuple[int, int]]:
 
 def char_counts(texts: list[bytes]) -> np.ndarray:
     """Counts of four letters in a row (bounds around each word) over all occurrences of clean words."""
-    counts: dict[str, int] = {}
+    counts: Counter[str] = Counter()
     for t in texts:
-        for w in t.decode("utf-8", "replace").split():
-            counts[w] = counts.get(w, 0) + 1
+        counts.update(t.decode("utf-8", "replace").split())
     clean: dict[str, int] = {}
     for chunk, n in counts.items():
-        word = trimmed(fold(chunk))
-        if word.isascii() and word.isalpha() and not REPEAT.search(word):
+        word = plain(chunk)
+        if word is None:
+            word = trimmed(fold(chunk))
+            if not word.isalpha() or REPEAT.search(word):
+                continue
+        if word.isascii():
             clean[word] = clean.get(word, 0) + n
     if not clean:
         return np.zeros(SIGNS**4, np.int64)
@@ -207,9 +229,13 @@ def smooth(counts: np.ndarray) -> np.ndarray:
     return np.log(np.maximum(p, 1e-12)).reshape(-1).astype(np.float32)
 
 
-def beginnings(word: str, least: int = 4, most: int = 8) -> list[str]:
+#: Lengths of the beginnings that words are known by.
+LEAST, MOST = 4, 8
+
+
+def beginnings(word: str) -> list[str]:
     """What a restored word is known by: itself, and its beginnings (marked by a *)."""
-    return [word, *[word[:n] + "*" for n in range(least, min(most, len(word)) + 1)]]
+    return [word, *[word[:n] + "*" for n in range(LEAST, min(MOST, len(word)) + 1)]]
 
 
 def odds(pos, neg, n_pos: float, n_neg: float):
@@ -229,32 +255,54 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"channel": None}
 
-    def words(self, text: str) -> list[str]:
+    def start(self) -> Channel:
         if self.channel is None:
             self.channel = Channel(self.logp.tolist())
-            self.weighed: dict[str, float] = {}
-        return self.channel.text(text)
+            self.seen: set[str] = set()
+            self.hits: dict[str, list[tuple[str, float]]] = {}
+        return self.channel
+
+    def words(self, text: str) -> list[str]:
+        return self.start().text(text)
 
     def weight(self, word: str) -> float:
-        w = self.weighed.get(word)
-        if w is None:
-            if len(self.weighed) > 500_000:
-                self.weighed.clear()
-            w = self.weighed[word] = max((self.lexicon.get(f, 0.0) for f in beginnings(word)), default=0.0)
+        get = self.lexicon.get
+        w = get(word, 0.0)
+        for n in range(LEAST, min(MOST, len(word)) + 1):
+            w = max(w, get(word[:n] + "*", 0.0))
         return w
 
+    def weighed(self, words) -> list[tuple[str, float]]:
+        return [(w, x) for w in words if (x := self.weight(w))]
+
+    def found(self, text: str) -> tuple[list[tuple[str, float]], int]:
+        """The weighed words of a text, and its number of chunks; each distinct chunk is restored and weighed once."""
+        channel, hits = self.start(), self.hits
+        chunks = text.split()
+        new = set(chunks) - self.seen
+        if new:
+            if len(self.seen) > 500_000:
+                self.seen, new = set(), set(chunks)
+                hits.clear()
+            for c in new:
+                word = plain(c)
+                if here := self.weighed((word,) if word is not None else channel.words(c)):
+                    hits[c] = here
+            self.seen |= new
+        out = [x for c in chunks if c in hits for x in hits[c]]
+        for a, b in spaced(chunks):
+            out.extend(self.weighed(channel.decode(fold("".join(chunks[a:b])), True).split()))
+        return out, len(chunks)
+
     def score(self, texts: list[str]) -> np.ndarray:
-        x = np.zeros((len(texts), 3))
-        for i, t in enumerate(texts):
-            words = self.words(t)
-            x[i] = evidence(words, [self.weight(w) for w in words])
+        x = np.array([evidence(*self.found(t)) for t in texts]).reshape(-1, 3)
         return labelled.chance(x, self.weights)
 
 
-def evidence(words: list[str], weights: list[float]) -> tuple[float, float, float]:
-    """Features of a text: the sum of its words' weights, the sum by word, and the number of different weighed words."""
-    s = sum(weights)
-    return np.log1p(s), np.sqrt(s / (len(words) + 10)), np.log1p(len({w for w, x in zip(words, weights) if x}))
+def evidence(found: list[tuple[str, float]], n: int) -> tuple[float, float, float]:
+    """Features of a text of n chunks: the sum of its words' weights, the sum by chunk, and how many words weigh."""
+    s = sum(x for _, x in found)
+    return np.log1p(s), np.sqrt(s / (n + 10)), np.log1p(len({w for w, _ in found}))
 
 
 def train(
@@ -333,8 +381,8 @@ def train(
             ys = batch.column("y").to_pylist()
             for t, y in zip(batch.column("text").to_pylist(), ys):
                 words = bare.words(t)
-                seen = {w: max(((left_out[y] if f in left_out[y] else lexicon).get(f, 0.0) for f in beginnings(w)), default=0.0) for w in set(words)}
-                out.append(evidence(words, [seen[w] for w in words]))
+                seen = {w: max((left_out[y].get(f, 0.0) for f in beginnings(w)), default=0.0) for w in set(words)}
+                out.append(evidence([(w, seen[w]) for w in words if seen[w]], len(t.split())))
             a, b, c = ([float(o[k]) for o in out] for k in range(3))
             yield pa.RecordBatch.from_pydict({"a": a, "b": b, "c": c, "y": pa.array(ys, pa.int32())})
 
