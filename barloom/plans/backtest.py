@@ -254,8 +254,10 @@ def backtests(metrics: DataFrame, entries: DataFrame, exits: DataFrame | None, c
             trades["trade_date"] = trades["exit_date"]
         whole = pd.concat([equity, trades]).assign(config_id=key[0])
         whole = whole.reindex(columns=[x.split()[0] for x in RESULT.split(", ")])
-        for c_ in ("token", "quantity", "holding_days"):
-            whole[c_] = whole[c_].astype("Int64")
+        for name in ("token", "quantity", "holding_days"):
+            whole[name] = whole[name].astype("Int64")
+        for name in ("entry_date", "reason"):
+            whole[name] = whole[name].astype(object).where(whole[name].notna(), None)
         return whole
 
     return copies.groupBy("config_id").applyInPandas(run, RESULT)
