@@ -259,7 +259,7 @@ _SUPPORT_SQL = f"""WITH RECURSIVE {q.WALK}, {q.M1}, {q.SERIES}, {q.EMAS[21]}, f
 lows AS (SELECT * FROM f WHERE s),
 best AS (
   SELECT m.token, m.history_days, max(l.low) AS swing FROM m3 m JOIN lows l ON l.token = m.token AND l.history_days BETWEEN m.history_days - 62 AND m.history_days AND l.low <= m.close
-  GROUP by() m.token, m.history_days
+  GROUP BY m.token, m.history_days
 ), lined AS (
   SELECT m.symbol, m.trade_date, m.close, greatest(b.swing, CASE WHEN m.sma_50 <= m.close THEN m.sma_50 END, CASE WHEN e.v <= m.close THEN e.v END) AS level
   FROM m3 m LEFT JOIN best b USING (token, history_days) LEFT JOIN ema_21 e ON e.token = m.token AND e.rn = m.history_days
@@ -310,7 +310,7 @@ def eligibility(spark, d):
 _RS = "".join(
     f", CASE WHEN i{n} > -1 THEN round((1 + ret_{k}) / (1 + i{n}) - 1, 6) + 0.0 END AS rs_{k}" for k, n in (("1m", 21), ("3m", 63), ("6m", 126), ("12m", 252))
 )
-_IDX = ", ".join(f"close / lag(close, {n}) OVER (ORDER by() trade_date) - 1 AS i{n}" for n in (21, 63, 126, 252))
+_IDX = ", ".join(f"close / lag(close, {n}) OVER (ORDER BY trade_date) - 1 AS i{n}" for n in (21, 63, 126, 252))
 
 
 @query("relative_strength", f"WITH RECURSIVE {q.WALK}, {q.M1}, ir AS (SELECT trade_date, {_IDX} FROM idx) SELECT symbol, trade_date{_RS} FROM m3 LEFT JOIN ir USING (trade_date)")
@@ -416,14 +416,14 @@ register_screen(
 
 
 def ranked_sql(order: str, keep: str) -> str:
-    inner = f"SELECT *, row_number() OVER (ORDER by() {order}, close DESC, token) AS place, count(*) OVER () AS n FROM x4 WHERE trade_date = {LAST} AND is_eligible AND ret_3m IS NOT NULL"
+    inner = f"SELECT *, row_number() OVER (ORDER BY {order}, close DESC, token) AS place, count(*) OVER () AS n FROM x4 WHERE trade_date = {LAST} AND is_eligible AND ret_3m IS NOT NULL"
     return q.select(q.num("close"), q.whole("momentum_rank"), source=f"({inner}) WHERE place <= {keep}", parts=q.ELIGIBLE)
 
 
 register_screen("screen_top_n", ranked_sql("ret_3m DESC", "7"), ("ret_3m", "top n", 7))
 register_screen("screen_bottom_n", ranked_sql("ret_3m", "5"), ("ret_3m", "bottom n", 5))
 register_screen("screen_top_pct", ranked_sql("ret_3m DESC", "greatest(1, round_even(n * 0.25, 0))"), ("ret_3m", "top n%", 25))
-register_screen("screen_sort_limit", screen_sql("true", "ORDER by() rs_rating DESC NULLS LAST, token LIMIT 6"), sort="-rs_rating instrument_token", limit=6)
+register_screen("screen_sort_limit", screen_sql("true", "ORDER BY rs_rating DESC NULLS LAST, token LIMIT 6"), sort="-rs_rating instrument_token", limit=6)
 
 
 @query("screen_matched_count", f"WITH RECURSIVE {q.WALK}, {q.M1}{q.ELIGIBLE} SELECT count(*)::BIGINT AS n FROM x4 WHERE trade_date = {LAST} AND ret_1m > 0 AND is_eligible")
@@ -432,8 +432,8 @@ def screen_matched_count(spark, d):
 
 
 for _name, _sql in {
-    "Momentum Leaders": screen_sql("momentum_rank <= 20 AND NOT gap_disqualified", "ORDER by() momentum_rank LIMIT 20"),
-    "Trend Template": screen_sql("trend_template_score >= 8", "ORDER by() rs_rating DESC NULLS LAST LIMIT 100"),
+    "Momentum Leaders": screen_sql("momentum_rank <= 20 AND NOT gap_disqualified", "ORDER BY momentum_rank LIMIT 20"),
+    "Trend Template": screen_sql("trend_template_score >= 8", "ORDER BY rs_rating DESC NULLS LAST LIMIT 100"),
     "Approaching High": screen_sql("pct_from_period_high >= -0.03 AND pct_from_period_high < 0 AND trend_template_score >= 5 AND rel_volume >= 0.8 AND NOT gap_disqualified"),
     "All Constituents": screen_sql("true", eligible=False),
     "Momentum Breakdown": screen_sql("momentum_rank > 250 OR pct_from_52w_high <= -0.20", eligible=False),
@@ -465,7 +465,7 @@ def fib_funnel(spark, d):
 _BREADTH = f"""WITH RECURSIVE {q.WALK}, {q.M1}{q.ELIGIBLE}, br AS (
   SELECT trade_date, coalesce(count_if(is_52w_high_breakout), 0)::BIGINT AS new_highs, coalesce(count_if(pct_from_52w_high IS NOT NULL AND pct_above_52w_low <= 0.001), 0)::BIGINT AS new_lows,
          coalesce(count_if(ret_1d > 0), 0)::BIGINT AS advances, coalesce(count_if(ret_1d < 0), 0)::BIGINT AS declines, count(*)::BIGINT AS universe
-  FROM x4 WHERE is_eligible GROUP by() trade_date
+  FROM x4 WHERE is_eligible GROUP BY trade_date
 )"""
 
 
@@ -474,7 +474,7 @@ def breadth(spark, d):
     return presets.breadth(named(spark, d))
 
 
-_MEAN = "CASE WHEN count(*) OVER (ORDER by() trade_date ROWS BETWEEN {p} PRECEDING AND CURRENT ROW) = {n} THEN avg(close) OVER (ORDER by() trade_date ROWS BETWEEN {p} PRECEDING AND CURRENT ROW) END"
+_MEAN = "CASE WHEN count(*) OVER (ORDER BY trade_date ROWS BETWEEN {p} PRECEDING AND CURRENT ROW) = {n} THEN avg(close) OVER (ORDER BY trade_date ROWS BETWEEN {p} PRECEDING AND CURRENT ROW) END"
 
 
 @query(
@@ -493,7 +493,7 @@ def market_regime(spark, d):
 
 @query(
     "sector_heatmap",
-    f"WITH RECURSIVE {q.WALK}, {q.M1}{q.ELIGIBLE} SELECT trade_date, industry, {q.num('median_ret_1w', 'median(ret_1w)')}, count(*)::BIGINT AS n FROM x4 WHERE is_eligible GROUP by() ALL HAVING count(*) >= 3",
+    f"WITH RECURSIVE {q.WALK}, {q.M1}{q.ELIGIBLE} SELECT trade_date, industry, {q.num('median_ret_1w', 'median(ret_1w)')}, count(*)::BIGINT AS n FROM x4 WHERE is_eligible GROUP BY ALL HAVING count(*) >= 3",
 )
 def sector_heatmap(spark, d):
     return presets.sector_heatmap(named(spark, d)).select("trade_date", "industry", num("median_ret_1w"), "n")
@@ -541,7 +541,7 @@ def gate_query(name: str, run: Callable[[DataFrame], DataFrame], check: str, sev
         return run(spark, d)
 
 
-gate_query("gate_v2", lambda s, d: quality.duplicates(spoiled(s, d)), "V2", "BLOCK", "SELECT count(*) AS affected FROM (SELECT token, trade_date FROM sb GROUP by() ALL HAVING count(*) > 1)")
+gate_query("gate_v2", lambda s, d: quality.duplicates(spoiled(s, d)), "V2", "BLOCK", "SELECT count(*) AS affected FROM (SELECT token, trade_date FROM sb GROUP BY ALL HAVING count(*) > 1)")
 gate_query("gate_v3", lambda s, d: quality.ohlc_order(spoiled(s, d)), "V3", "BLOCK", "SELECT count_if(low > least(open, close) OR high < greatest(open, close)) AS affected FROM sb")
 gate_query("gate_v4", lambda s, d: quality.positive(spoiled(s, d)), "V4", "BLOCK", "SELECT count_if(open IS NULL OR open <= 0 OR high IS NULL OR high <= 0 OR low IS NULL OR low <= 0 OR close IS NULL OR close <= 0) AS affected FROM sb")
 gate_query("gate_v6", lambda s, d: quality.zero_volume(spoiled(s, d)), "V6", "WARN", "SELECT count_if(coalesce(volume, 0) = 0) AS affected FROM sb")
@@ -561,9 +561,12 @@ def quarantine_v5(spark, d):
     return quality.outliers(raw, source.corporate_actions(spark, d).where("action_type = 'BONUS'")).select("token", "trade_date", num("ret"))
 
 
-@query("missing_sessions", f"WITH {q.WALK}, {CAL} SELECT trade_date FROM cal WHERE trade_date NOT IN (SELECT trade_date FROM walk WHERE token = 11) AND trade_date BETWEEN (SELECT min(trade_date) FROM walk WHERE token = 11) AND (SELECT max(trade_date) FROM walk WHERE token = 11)")
+@query("missing_sessions", f"""WITH {q.WALK}, {CAL}, spans AS (SELECT token, min(trade_date) AS a, max(trade_date) AS b FROM walk GROUP BY token)
+SELECT token, c.trade_date FROM spans s JOIN cal c ON c.trade_date BETWEEN a AND b WHERE isodow(c.trade_date) < 6
+AND NOT EXISTS (SELECT 1 FROM walk w WHERE w.token = s.token AND w.trade_date = c.trade_date)""")
 def missing_sessions(spark, d):
-    return quality.missing_sessions(source.bars(spark, d).where("token = 11"), every_day(spark, d))
+    weekdays = every_day(spark, d).withColumn("is_trading_day", F.weekday("trade_date") < 5)
+    return quality.missing_bars(source.bars(spark, d), weekdays)
 
 
 @query("gate_all")
@@ -625,7 +628,7 @@ def membership_changes(spark, d):
     return store.changes(old, tokens.where("token % 3 != 0").withColumn("index_name", F.lit("I")))
 
 
-@query("latest_bars", f"WITH {q.WALK} SELECT symbol, trade_date, close FROM (SELECT *, row_number() OVER (PARTITION by() token ORDER by() trade_date DESC) AS p FROM bars) WHERE p <= 30")
+@query("latest_bars", f"WITH {q.WALK} SELECT symbol, trade_date, close FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY trade_date DESC) AS p FROM bars) WHERE p <= 30")
 def latest_bars(spark, d):
     return rows(store.latest_bars(source.bars(spark, d), 30), "close")
 
@@ -643,9 +646,9 @@ def trading_days(spark, d):
 
 # Indices
 
-IBY = "PARTITION by() index_name ORDER by() trade_date"
+IBY = "PARTITION BY index_name ORDER BY trade_date"
 SEGMENTS = f"""
-o0 AS (SELECT c_mktsegment AS index_name, CAST(o_orderdate AS DATE) AS trade_date, round(avg(o_totalprice), 6) AS mean FROM orders JOIN customer ON o_custkey = c_custkey GROUP by() ALL),
+o0 AS (SELECT c_mktsegment AS index_name, CAST(o_orderdate AS DATE) AS trade_date, round(avg(o_totalprice), 6) AS mean FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
 o1 AS (SELECT *, round(coalesce(0.01 * (mean / avg(mean) OVER ({IBY} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1), 0), 9) AS move FROM o0),
 o2 AS (SELECT *, round(5000 * exp(sum(move) OVER ({IBY} ROWS UNBOUNDED PRECEDING)), 4) AS close FROM o1),
 seg AS (SELECT index_name, trade_date, round(close * 1.005, 4) AS high, round(close * 0.995, 4) AS low, close, round(15 + (mean % 1000.0) / 100, 4) AS pe, row_number() OVER ({IBY}) AS rn FROM o2)"""
@@ -683,19 +686,19 @@ def index_summary(spark, d):
     return indices.index_metrics(source.segment_index(spark, d))
 
 
-@query("index_coverage", f"""WITH {SEGMENTS}, a AS (SELECT index_name, min(trade_date) AS first_date, max(trade_date) AS last_date, count(*)::BIGINT AS sessions FROM seg GROUP by() index_name),
+@query("index_coverage", f"""WITH {SEGMENTS}, a AS (SELECT index_name, min(trade_date) AS first_date, max(trade_date) AS last_date, count(*)::BIGINT AS sessions FROM seg GROUP BY index_name),
 e AS (SELECT a.*, (SELECT count(*) FROM generate_series(first_date, last_date, INTERVAL 1 DAY) g(x) WHERE isodow(x) < 6)::BIGINT AS expected,
-             (SELECT min(trade_date) FROM (SELECT trade_date FROM seg s WHERE s.index_name = a.index_name ORDER by() trade_date DESC LIMIT 252)) AS since FROM a)
+             (SELECT min(trade_date) FROM (SELECT trade_date FROM seg s WHERE s.index_name = a.index_name ORDER BY trade_date DESC LIMIT 252)) AS since FROM a)
 SELECT index_name, first_date, last_date, sessions, expected, sessions >= 252 AND last_date - since <= 460 AS daily, {q.num("density", "sessions / expected")} FROM e""")
 def index_coverage(spark, d):
     return indices.coverage(source.segment_index(spark, d)).select("index_name", "first_date", "last_date", "sessions", "expected", "daily", num("density"))
 
 
-@query("valuation_medians", f"""WITH {SEGMENTS}, l AS (SELECT index_name, max(trade_date) AS as_of, arg_max(pe, trade_date) AS cur FROM seg GROUP by() index_name),
+@query("valuation_medians", f"""WITH {SEGMENTS}, l AS (SELECT index_name, max(trade_date) AS as_of, arg_max(pe, trade_date) AS cur FROM seg GROUP BY index_name),
 h AS (SELECT *, unnest([3, 7]) AS years FROM l),
 obs AS (SELECT h.*, s.trade_date, s.pe FROM h JOIN seg s USING (index_name) WHERE s.trade_date BETWEEN as_of - (365 * years)::INT AND as_of),
-m AS (SELECT index_name, years, date_trunc('month', trade_date) AS month, median(pe) AS pe, count(*) AS n FROM obs GROUP by() ALL),
-w AS (SELECT index_name, years, median(pe) AS med, sum(n)::BIGINT AS observations, count(DISTINCT date_trunc('quarter', month))::BIGINT AS quarters, count(*)::BIGINT AS months FROM m GROUP by() ALL)
+m AS (SELECT index_name, years, date_trunc('month', trade_date) AS month, median(pe) AS pe, count(*) AS n FROM obs GROUP BY ALL),
+w AS (SELECT index_name, years, median(pe) AS med, sum(n)::BIGINT AS observations, count(DISTINCT date_trunc('quarter', month))::BIGINT AS quarters, count(*)::BIGINT AS months FROM m GROUP BY ALL)
 SELECT index_name, as_of, round(cur, 6) + 0.0 AS pe, CAST(years AS INTEGER) AS years, observations, quarters, months,
        CASE WHEN quarters >= years * 4 * 0.8 AND observations >= 40 THEN round(med, 6) + 0.0 END AS median_pe,
        CASE WHEN quarters >= years * 4 * 0.8 AND observations >= 40 THEN round((cur / med - 1) * 100, 6) + 0.0 END AS pe_vs_pct
@@ -719,7 +722,7 @@ def valuation_sampling(spark, d):
 
 
 @query("benchmark_buy_hold", f"""WITH {SEGMENTS}, p AS (SELECT *, close / max(close) OVER ({IBY} ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM seg),
-a AS (SELECT index_name, count(*)::BIGINT AS sessions, arg_min(close, trade_date) AS x, arg_max(close, trade_date) AS y, min(dd) AS dd FROM p GROUP by() index_name)
+a AS (SELECT index_name, count(*)::BIGINT AS sessions, arg_min(close, trade_date) AS x, arg_max(close, trade_date) AS y, min(dd) AS dd FROM p GROUP BY index_name)
 SELECT index_name, sessions, {q.num("total_return_pct", "(y / x - 1) * 100")}, {q.num("cagr_pct", "((y / x) ^ (252.0 / sessions) - 1) * 100")}, {q.num("max_drawdown_pct", "dd * 100")} FROM a""")
 def benchmark_buy_hold(spark, d):
     made = indices.buy_and_hold(source.segment_index(spark, d))
@@ -775,7 +778,7 @@ def leaders(spark, d):
     return made, screens.signals(made, definition, order="definition")
 
 
-@query("signals_over_range", q.select("token", q.num("score", "momentum_rank::DOUBLE"), "place", source="""(SELECT *, row_number() OVER (PARTITION by() trade_date ORDER by() momentum_rank NULLS LAST, token) AS place
+@query("signals_over_range", q.select("token", q.num("score", "momentum_rank::DOUBLE"), "place", source="""(SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY momentum_rank NULLS LAST, token) AS place
 FROM x4 WHERE momentum_rank <= 5 AND is_long_term_uptrend AND is_eligible) WHERE place <= 5""", parts=q.ELIGIBLE))
 def signals_over_range(spark, d):
     return leaders(spark, d)[1].select("symbol", "trade_date", "token", num("score"), "place")
@@ -801,7 +804,7 @@ def simulate_tiered(spark, d):
 
 @query("performance", f"""WITH {SEGMENTS}, e AS (SELECT *, close / lag(close) OVER ({IBY}) - 1 AS ret, close / max(close) OVER ({IBY} ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM seg),
 u AS (SELECT *, rn - coalesce(max(CASE WHEN dd >= 0 THEN rn END) OVER ({IBY} ROWS UNBOUNDED PRECEDING), 0) AS under FROM e),
-s AS (SELECT index_name, count(*)::BIGINT AS sessions, arg_max(close, trade_date) AS f, min(dd) AS dd, max(under)::BIGINT AS max_drawdown_days, avg(ret) AS m, stddev_samp(ret) AS sd, stddev_samp(CASE WHEN ret < 0 THEN ret END) AS down FROM u GROUP by() index_name)
+s AS (SELECT index_name, count(*)::BIGINT AS sessions, arg_max(close, trade_date) AS f, min(dd) AS dd, max(under)::BIGINT AS max_drawdown_days, avg(ret) AS m, stddev_samp(ret) AS sd, stddev_samp(CASE WHEN ret < 0 THEN ret END) AS down FROM u GROUP BY index_name)
 SELECT index_name AS config_id, sessions, {q.num("final_equity", "f")}, {q.num("total_return_pct", "(f / 5000 - 1) * 100")}, {q.num("cagr_pct", "((f / 5000) ^ (252.0 / sessions) - 1) * 100")}, {q.num("max_drawdown_pct", "dd * 100")},
        max_drawdown_days, {q.num("sharpe", "m / sd * sqrt(252)")}, {q.num("sortino", "m / down * sqrt(252)")}, {q.num("volatility_pct", "sd * sqrt(252) * 100")} FROM s""")
 def performance(spark, d):
@@ -814,7 +817,7 @@ def performance(spark, d):
 SELECT config_id, count(*)::BIGINT AS trades, count_if(r > 0)::BIGINT AS winners, count_if(r <= 0)::BIGINT AS losers, round(count_if(r > 0) / count(*) * 100, 6) + 0.0 AS hit_rate_pct,
        round(avg(r) FILTER (WHERE r > 0), 6) + 0.0 AS avg_win_pct, round(avg(r) FILTER (WHERE r <= 0), 6) + 0.0 AS avg_loss_pct,
        round(abs(avg(r) FILTER (WHERE r > 0) / avg(r) FILTER (WHERE r <= 0)), 6) + 0.0 AS win_loss_ratio, round(avg(h), 6) + 0.0 AS avg_holding_days, round(median(h), 6) + 0.0 AS median_holding_days
-FROM t GROUP by() config_id""")
+FROM t GROUP BY config_id""")
 def trade_stats(spark, d):
     lines = spark.read.parquet(f"{d}/lineitem.parquet")
     trades = lines.select((F.col("l_suppkey") % 10).alias("config_id"), (F.col("l_discount") * 100 - 5).alias("net_return_pct"), F.col("l_quantity").cast("int").alias("holding_days"), F.col("l_tax").alias("costs"), F.col("l_tax").alias("tds"))

@@ -69,6 +69,14 @@ def missing_sessions(bars: DataFrame, calendar: DataFrame) -> DataFrame:
     return days.select("trade_date").join(bars.select("trade_date").distinct(), "trade_date", "left_anti")
 
 
+def missing_bars(bars: DataFrame, calendar: DataFrame) -> DataFrame:
+    """(token, trade_date): trading days between a symbol's first and last bar without a bar of it."""
+    spans = bars.groupBy("token").agg(F.min("trade_date").alias("a"), F.max("trade_date").alias("b"))
+    days = spans.select("token", F.explode(F.sequence("a", "b")).alias("trade_date"))
+    open_days = days.join(calendar.where("is_trading_day").select("trade_date"), "trade_date")
+    return open_days.join(bars.select("token", "trade_date"), ["token", "trade_date"], "left_anti").select("token", "trade_date")
+
+
 def cross_source(bars: DataFrame, other: DataFrame) -> DataFrame:
     """V9: closes of two sources differ by over 0.1 %."""
     theirs = other.select("token", "trade_date", F.col("close").alias("theirs"))
