@@ -19,15 +19,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.common import release, releasing, small_batches
+
 #: Most bytes of text, and most documents, in a block; a single longer text is a block of its own.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 BLOCK_DOCS = 1 << 16
 
 Docs = tuple[list, list]  # identifiers (integers or None) and texts as UTF-8
 
 
 def columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    return small_batches(df).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
 
 def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, Docs]]:
@@ -89,7 +91,7 @@ def blocks(df: DataFrame) -> DataFrame:
         for number, docs in cut(batches):
             yield pa.RecordBatch.from_pydict({"block": [number], "docs": [pack_docs(docs)]}, BLOCK)
 
-    return df.mapInArrow(run, "block long, docs binary")
+    return df.mapInArrow(releasing(run), "block long, docs binary")
 
 
 def ask(df: DataFrame, keys: Callable[[Docs], list[bytes]]) -> DataFrame:
@@ -103,7 +105,7 @@ def ask(df: DataFrame, keys: Callable[[Docs], list[bytes]]) -> DataFrame:
                 {"block": [number] * len(used), "bucket": used, "keys": [lists[k] for k in used]}, ASK
             )
 
-    return df.mapInArrow(run, "block long, bucket int, keys binary")
+    return df.mapInArrow(releasing(run), "block long, bucket int, keys binary")
 
 
 def answer(asked: DataFrame, reply: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
@@ -120,7 +122,10 @@ def meet(packed: DataFrame, answers: DataFrame, use: Callable[[Docs, dict[int, b
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         told = dict(zip(right["bucket"].to_pylist(), right["answers"].to_pylist()))
-        return use(unpack_docs(left["docs"][0].as_py()), told)
+        try:
+            return use(unpack_docs(left["docs"][0].as_py()), told)
+        finally:
+            release()
 
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 

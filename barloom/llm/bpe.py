@@ -33,6 +33,9 @@ RESULT = pa.schema(
 
 @functools.lru_cache(maxsize=2)
 def tokenizer(spec: str):
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     loaded = Tokenizer.from_str(spec)
@@ -58,9 +61,13 @@ def pieces(spec: str) -> np.ndarray:
     return table
 
 
-def encode_words(spec: str, words: list[bytes]) -> list[np.ndarray]:
-    found = tokenizer(spec).encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-    return [np.array(e.ids, dtype="<u4") for e in found]
+def encode_words(spec: str, words: list[bytes], at_once: int = 1000) -> list[np.ndarray]:
+    """Ids of each word; a few at a time, since the library's results are large."""
+    known, found = tokenizer(spec), []
+    for k in range(0, len(words), at_once):
+        part = known.encode_batch_fast([w.decode() for w in words[k : k + at_once]], add_special_tokens=False)
+        found.extend([np.array(e.ids, dtype="<u4") for e in part])
+    return found
 
 
 def replies(spec: str, lists: list[bytes]) -> list[bytes]:
@@ -78,7 +85,7 @@ def replies(spec: str, lists: list[bytes]) -> list[bytes]:
     return out
 
 
-def joined(spec: str, docs: blocks.Docs, told: dict[int, bytes], buckets: int, texts: bool) -> pa.Table:
+def joined(spec: str, docs: blocks.Docs, told: dict[int, bytes], buckets: int, keep: tuple[str, ...]) -> pa.Table:
     """Ids by position, and their pieces, for each document of a block."""
     names, bodies = docs
     table = pieces(spec)
@@ -108,17 +115,17 @@ def joined(spec: str, docs: blocks.Docs, told: dict[int, bytes], buckets: int, t
         decoded = b"".join([spoken[w] for w in words])[1:]
         rows["doc_id"].append(name)
         rows["n_tokens"].append(len(coded) // 4)
-        rows["ids"].append(coded if texts else None)
-        rows["decoded"].append(decoded if texts else None)
+        rows["ids"].append(coded if "ids" in keep else None)
+        rows["decoded"].append(decoded if "decoded" in keep else None)
         rows["ids_sha256"].append(hashlib.sha256(coded).hexdigest())
         rows["decoded_sha256"].append(hashlib.sha256(decoded).hexdigest())
     return pa.Table.from_pydict(rows, RESULT)
 
 
-def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
+def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
     """One row for each row of df: id_col, n_tokens, ids, decoded, ids_sha256, decoded_sha256.
 
-    ids has the ids as little-endian unsigned 32-bit integers, decoded the decoded text; both null unless texts. Ids are
+    ids has the ids as little-endian unsigned 32-bit integers, decoded the decoded text; each null unless named in keep. Ids are
     those of the tokenizers library for the file at path with add_special_tokens=False; special tokens in a text are
     recognised as it does. Decoding joins the pieces by a space, as the library does for files without a decoder; files
     with one, and files whose pre-tokens can cross white space, are refused.
@@ -134,7 +141,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     out = blocks.meet(
         blocks.blocks(rows),
         told,
-        lambda docs, answers: joined(spec, docs, answers, buckets, texts),
+        lambda docs, answers: joined(spec, docs, answers, buckets, keep),
         "doc_id long, n_tokens long, ids binary, decoded binary, ids_sha256 string, decoded_sha256 string",
     )
     return out.withColumnRenamed("doc_id", id_col)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +55,39 @@ def spread(df: DataFrame, bytes_each: int, most: int = 1 << 15) -> int:
     """How many buckets keep each at about bytes_each of input, at least one for each shuffle partition."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, min(most, -(-input_bytes(df) // bytes_each)))
+
+
+#: Most texts that go to a Python worker at once: the default of 10,000 is 30 MB of usual texts, and any amount of long ones.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+MOST_TEXTS = 500
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches held to MOST_TEXTS rows (a smaller setting stays)."""
+    conf = df.sparkSession.conf
+    now = int(conf.get(BATCH))
+    if not 0 < now <= MOST_TEXTS:
+        conf.set(BATCH, str(MOST_TEXTS))
+    return df
+
+
+def release() -> None:
+    """Give memory back that a Python worker has freed but holds: the worker stays for other tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def releasing(run: Callable) -> Callable:
+    """A function over batches that releases memory at its end."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped

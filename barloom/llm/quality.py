@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm import labelled
-from barloom.llm.common import remainder
+from barloom.llm.common import releasing, remainder, small_batches
 
 LEVEL = 3
 
@@ -143,7 +143,7 @@ def classify(
     """
     kind = dict(df.dtypes)[id_col]
     model = train(df, labels, id_col, text_col, label_col, divisor, held)
-    rows = df.select(
+    rows = small_batches(df).select(
         F.col(id_col).alias("id"),
         (remainder(F.col(id_col), divisor) == held).alias("held_out"),
         F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"),
@@ -162,5 +162,5 @@ def classify(
                 ["id", "held_out", "score", "predicted"],
             )
 
-    out = rows.mapInArrow(run, f"id {kind}, held_out boolean, score double, predicted int")
+    out = rows.mapInArrow(releasing(run), f"id {kind}, held_out boolean, score double, predicted int")
     return out.withColumnRenamed("id", id_col)

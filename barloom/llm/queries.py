@@ -31,7 +31,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), texts=False)
+    coded = bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), keep=())
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 

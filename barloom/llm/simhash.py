@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import checkpoint
+from barloom.llm.common import checkpoint, releasing, small_batches
 from barloom.llm.components import components
 
 #: Lengths of the parts; two whole parts must survive any `limit` changed bits.
@@ -56,14 +56,14 @@ def fingerprint(text: bytes, width: int = 4) -> int:
 def fingerprints(df: DataFrame, id_col: str, text_col: str, width: int = 4) -> DataFrame:
     """(id, fp): fp is the fingerprint as a signed 64-bit integer."""
     kind = dict(df.dtypes)[id_col]
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    rows = small_batches(df).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
     def run(batches):
         for batch in batches:
             found = np.array([fingerprint(t, width) for t in batch.column("text").to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found.view(np.int64))], ["id", "fp"])
 
-    return rows.mapInArrow(run, f"id {kind}, fp long")
+    return rows.mapInArrow(releasing(run), f"id {kind}, fp long")
 
 
 def _keys(fp: np.ndarray) -> np.ndarray:
@@ -92,7 +92,7 @@ def spread_out(found: DataFrame, n_pivots: int) -> DataFrame:
                     [pa.array(keys.reshape(-1)), pa.array(np.repeat(fp, wide).view(np.int64)), tables], ["bucket", "fp", "table"]
                 )
 
-    return found.mapInArrow(run, "bucket long, fp long, table binary")
+    return found.mapInArrow(releasing(run), "bucket long, fp long, table binary")
 
 
 def _near(fp: np.ndarray, table: np.ndarray, left: np.ndarray, right: np.ndarray, limit: int):
@@ -185,7 +185,7 @@ def near_links(found: DataFrame, limit: int, n_pivots: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
 
     n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return placed.repartition(n, "place").sortWithinPartitions("place").mapInArrow(run, "a long, b long")
+    return placed.repartition(n, "place").sortWithinPartitions("place").mapInArrow(releasing(run), "a long, b long")
 
 
 def near_groups(
