@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm import blocks, labelled
-from barloom.llm.common import remainder
+from barloom.llm.common import releasing, remainder, small_batches
 
 #: Letters that a character may stand for. Fixed values.
 LOOKS = {
@@ -205,7 +205,7 @@ def char_model(df: DataFrame, text_col: str) -> np.ndarray:
 
     At most 27^4 sums reach the driver.
     """
-    rows = df.select(F.lit(None).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    rows = small_batches(df).select(F.lit(None).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
     def run(batches):
         whole = np.zeros(SIGNS**4, np.int64)
@@ -214,7 +214,7 @@ def char_model(df: DataFrame, text_col: str) -> np.ndarray:
         used = np.flatnonzero(whole)
         yield pa.RecordBatch.from_pydict({"at": used.astype(np.int32), "n": whole[used]})
 
-    sums = rows.mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    sums = rows.mapInArrow(releasing(run), "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(SIGNS**4)
     counts[sums["at"].to_numpy(dtype=np.int64)] = sums["n"].to_numpy(dtype=np.float64)
     return smooth(counts)
@@ -281,7 +281,7 @@ class Model:
         chunks = text.split()
         new = set(chunks) - self.seen
         if new:
-            if len(self.seen) > 500_000:
+            if len(self.seen) > 300_000:
                 self.seen, new = set(), set(chunks)
                 hits.clear()
             for c in new:
@@ -335,22 +335,19 @@ def train(
 
     def count(batches):
         sums: dict[str, list[int]] = {}
-        docs = [0, 0]
         for batch in batches:
             for t, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
-                docs[y] += 1
                 for f in {f for w in set(bare.words(t)) for f in beginnings(w)}:
                     sums.setdefault(f, [0, 0])[y] += 1
-        sums[""] = docs
         yield pa.RecordBatch.from_pydict(
             {"f": list(sums), "neg": [v[0] for v in sums.values()], "pos": [v[1] for v in sums.values()]},
             pa.schema([("f", pa.string()), ("neg", pa.int64()), ("pos", pa.int64())]),
         )
 
-    sums = found.select("text", "y").mapInArrow(count, "f string, neg long, pos long")
+    sums = found.select("text", "y").mapInArrow(releasing(count), "f string, neg long, pos long")
     sums = sums.groupBy("f").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-    docs = sums.where("f = ''").first()
-    n_neg, n_pos = (docs["neg"], docs["pos"]) if docs else (0, 0)
+    docs = {r["y"]: r["count"] for r in found.groupBy("y").count().collect()}
+    n_neg, n_pos = docs.get(0, 0), docs.get(1, 0)
     if not n_pos or not n_neg:
         share = (n_pos + 1) / (n_pos + n_neg + 2)
         return Model(logp, {}, np.array([np.log(share / (1 - share)), 0.0, 0.0, 0.0]))
@@ -359,7 +356,7 @@ def train(
         F.log((pos + 0.5) / (n_pos + 1)) - F.log((neg + 0.5) / (n_neg + 1)) - F.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
     )
     rows = (
-        sums.where((F.col("f") != "") & (pos >= least_docs))
+        sums.where(pos >= least_docs)
         .withColumn("lean", lean)
         .where(F.col("lean") >= least_odds)
         .orderBy(F.desc("lean"), "f")
@@ -386,7 +383,7 @@ def train(
             a, b, c = ([float(o[k]) for o in out] for k in range(3))
             yield pa.RecordBatch.from_pydict({"a": a, "b": b, "c": c, "y": pa.array(ys, pa.int32())})
 
-    x = found.select("text", "y").mapInArrow(weigh, "a double, b double, c double, y int").toPandas()
+    x = found.select("text", "y").mapInArrow(releasing(weigh), "a double, b double, c double, y int").toPandas()
     weights = labelled.fit_logistic(x[["a", "b", "c"]].to_numpy(), x["y"].to_numpy(dtype=np.float64), penalty=0.1)
     return Model(logp, lexicon, weights)
 
@@ -429,7 +426,7 @@ def classify(
                 ["id", "held_out", "score", "predicted"],
             )
 
-    out = rows.mapInArrow(run, f"id {kind}, held_out boolean, score double, predicted int")
+    out = rows.mapInArrow(releasing(run), f"id {kind}, held_out boolean, score double, predicted int")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -451,7 +448,7 @@ def drop_toxic(
             texts = [t or "" for t in batch.column(text_col).to_pylist()]
             yield batch.filter(pa.array(model.score(texts) < limit, pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(releasing(run), df.schema)
 
 
 def restore(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", logp: np.ndarray | None = None) -> DataFrame:
@@ -465,4 +462,4 @@ def restore(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", logp:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(said, pa.string())], ["id", "restored"])
 
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, restored string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(releasing(run), f"id {kind}, restored string").withColumnRenamed("id", id_col)
