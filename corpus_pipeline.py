@@ -31,7 +31,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and the digest of what they decode to."""
-    coded = bpe.encode(docs, tokenizer_path("word_bpe_49k.json"))
+    coded = bpe.encode(docs, tokenizer_path("word_bpe_49k.json"), keep=("ids",))
     return coded.select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
