@@ -26,8 +26,8 @@ ANCHORS = (
 SPOT = "\u0001"
 #: Likeness under which two sets count as unlike (0) without being intersected.
 LEAST = 0.05
-#: Most ranges that identifiers are cut in to find each document's next one: two levels of 64 bounds.
-FAN = 64
+#: Most ranges that identifiers are cut in to find each document's next one.
+MOST_RANGES = 1 << 16
 
 
 def with_signatures(df: DataFrame, text: str, out: str, chain: int = 2, few: int = 8, anchors=tuple(ANCHORS)) -> DataFrame:
@@ -74,16 +74,18 @@ def pruned_jaccard(a: Column, b: Column, least: float = LEAST) -> Column:
     return F.when((n == 0) & (m == 0), 1.0).when(apart | short, 0.0).otherwise(both / (n + m - both))
 
 
-def _range(key: Column, bounds: list[list[int]]) -> Column:
-    """How many of the bounds are above key, found in two steps over at most FAN numbers each."""
+def _range(key: Column, cuts: list[int]) -> Column:
+    """How many of the cuts (largest first) are above key, found in two steps over about their square root of numbers."""
+    fan = math.isqrt(len(cuts)) + 1
+    bounds = [cuts[k : k + fan] for k in range(0, len(cuts), fan)]
     firsts = F.array(*[F.lit(b[0]).cast("long") for b in bounds])
     lists = F.array(*[F.array(*[F.lit(x).cast("long") for x in b]) for b in bounds])
     outer = F.size(F.filter(firsts, lambda x: x > key))
     inner = F.size(F.filter(F.get(lists, outer - 1), lambda x: x > key))
-    return F.when(outer == 0, 0).otherwise((outer - 1) * FAN + inner)
+    return F.when(outer == 0, 0).otherwise((outer - 1) * fan + inner)
 
 
-def with_next(df: DataFrame, carried: list[str], derive, id_col: str = "id", ranges: int = FAN) -> DataFrame:
+def with_next(df: DataFrame, carried: list[str], derive, id_col: str = "id", ranges: int = 64) -> DataFrame:
     """derive(df) with next_<c> for each carried column c: that of the row with the next smaller id; after the last, the
     first's.
 
@@ -92,13 +94,12 @@ def with_next(df: DataFrame, carried: list[str], derive, id_col: str = "id", ran
     ids come last.
     """
     spark = df.sparkSession
-    ranges = min(FAN * FAN, ranges)
+    ranges = min(MOST_RANGES, ranges)
     share = [k / ranges for k in range(ranges - 1, 0, -1)]
     cuts = df.agg(F.percentile_approx(id_col, share, 10 * ranges).alias("c")).first()["c"] or []
     cuts = sorted(set(cuts), reverse=True)
-    bounds = [cuts[k : k + FAN] for k in range(0, len(cuts), FAN)]
-    last = FAN * FAN + 1
-    by_id = _range(F.col(id_col), bounds) if bounds else F.lit(0)
+    last = MOST_RANGES + 1
+    by_id = _range(F.col(id_col), cuts) if cuts else F.lit(0)
     # Null ids: ranges of their own, by tie.
     by_tie = last + F.shiftrightunsigned(F.col("tie").bitwiseXOR(F.lit(-(2**63))), 58)
     ranged = df.withColumn("range", F.when(F.col(id_col).isNull(), by_tie).otherwise(by_id).cast("int"))
@@ -107,7 +108,7 @@ def with_next(df: DataFrame, carried: list[str], derive, id_col: str = "id", ran
         (r["range"], r["h"]["id"], -1 - r["h"]["back"])
         for r in sorted(ranged.groupBy("range").agg(F.max(turn).alias("h")).collect(), key=lambda r: r["range"])
     ]
-    # Each range's first row visits the range before it; a row for each range, FAN * FAN + 66 at most.
+    # Each range's first row visits the range before it; a row for each range, MOST_RANGES + 66 at most.
     visits = [(at[0], at[1], at[2], heads[k - 1][0]) for k, at in enumerate(heads)]
     visit = spark.createDataFrame(visits, "v_range int, v_id long, v_tie long, host int")
     met = (F.col("range") == F.col("v_range")) & (F.coalesce(F.col(id_col), F.lit(0)) == F.col("v_id")) & (F.col("tie") == F.col("v_tie"))
@@ -131,7 +132,7 @@ def compare_edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("tie"))
-    ranges = max(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), spread(df, 2 << 20, FAN * FAN))
+    ranges = max(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), spread(df, 2 << 20, MOST_RANGES))
     follow = with_next(rows, ["text", "sig"], lambda d: with_signatures(d, "text", "sig"), ranges=ranges)
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
