@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, exact_dedup, mixing, simhash, toxicity
+from barloom.llm import bpe, exact_dedup, mixing, shingles, toxicity
 from barloom.llm.common import checkpoint, table
 from barloom.llm.queries import tokenizer_path
 
@@ -20,8 +20,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by near fingerprints the one with the smallest identifier stays."""
-    return simhash.keep_one(docs)
+    """Of documents linked by five-word shingles (Jaccard 0.8 or more) the one with the smallest identifier stays."""
+    return shingles.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

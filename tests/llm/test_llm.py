@@ -19,6 +19,7 @@ from barloom.llm import (
     mixing,
     quality,
     queries,
+    shingles,
     simhash,
     spotsigs,
     token_trie,
@@ -344,6 +345,68 @@ def test_simhash_keep_one(odd):
     assert simhash.keep_one(odd).columns == odd.columns
 
 
+# Near copies by shingles
+
+
+def brute_survivors(rows):
+    """Identifiers left when documents of five-word Jaccard 0.8 or more are linked; all pairs are compared."""
+    sets = []
+    for _, t in rows:
+        w = lower(t).split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    up = list(range(len(rows)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            n, m = len(sets[a]), len(sets[b])
+            if 5 * min(n, m) >= 4 * max(n, m) and 5 * (both := len(sets[a] & sets[b])) >= 4 * (n + m - both):
+                up[root(a)] = root(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[root(k)] = min(least.get(root(k), i), i)
+    return set(least.values())
+
+
+def edited_copies(rng, n_base, n_copies, length=120):
+    """Documents, and copies of them with a few words changed: likeness on both sides of 0.8."""
+    rows = []
+    for _ in range(n_base):
+        base = [f"w{rng.randrange(3000)}" for _ in range(length)]
+        for c in range(n_copies):
+            copy = list(base)
+            for p in rng.sample(range(length), rng.randint(0, 4) if c else 0):
+                copy[p] = f"x{rng.randrange(10**6)}"
+            rows.append(" ".join(copy))
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("tile", [1024, 4])
+def test_near_copies_against_brute_force(spark, monkeypatch, tile):
+    import corpus_pipeline as c
+
+    monkeypatch.setattr(shingles, "TILE", tile)
+    rows = edited_copies(random.Random(5), 20, 8)
+    rows += [(1000 + k, t) for k, t in enumerate(["one two", "ONE  two", "", " ", "one two three four five six"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [r.doc_id for r in c.drop_near_copies(spark, docs, None).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_survivors(rows)
+
+
+def test_near_copies_on_a_table(spark):
+    import corpus_pipeline as c
+
+    sf = "/root/testdata/sf0.01"
+    docs = c.drop_copies(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+    got = {r.doc_id for r in c.drop_near_copies(spark, docs, sf).collect()}
+    assert got == brute_survivors([(r.doc_id, r.text) for r in docs.collect()])
+
+
 # SpotSigs
 
 
