@@ -33,8 +33,10 @@ MOST_RANGES = 1 << 16
 def with_signatures(df: DataFrame, text: str, out: str, chain: int = 2, few: int = 8, anchors=tuple(ANCHORS)) -> DataFrame:
     """df with out: the sorted, distinct hashes (0 to 2^32 - 1) of the signatures of column text.
 
-    Words are runs of letters and digits, lower-cased. A text with few chains, such as a short one or one in another
-    language, has the hashes of its single words, too; a text without words has none.
+    Words are runs of letters and digits, lower-cased. A text with fewer than `few` chains, such as a short one or one in
+    another language, has single words, too: of each distinct word's hash, a share of 1 - chains / few of all hashes is
+    taken, the smallest first. One chain more or less thus changes the words by an eighth, never all of them; two texts
+    share the words that both take. A text without words has none.
     """
     words, chains = f"_{out}_words", f"_{out}_chains"
 
@@ -43,14 +45,24 @@ def with_signatures(df: DataFrame, text: str, out: str, chain: int = 2, few: int
 
     marked = F.split(F.array_join(F.transform(words, spotted), " "), SPOT)
     cut = F.transform(F.slice(marked, 2, 1 << 30), lambda s: F.substring_index(F.rtrim(s), " ", chain + 1))
-    single = F.concat(F.col(chains), F.filter(words, lambda w: w != ""))
-    used = F.when(F.size(chains) < few, single).otherwise(F.col(chains))
-    hashed = F.transform(used, lambda s: F.xxhash64(s).bitwiseAND(F.lit(0xFFFFFFFF)))
+
+    def hashed(strings: Column) -> Column:
+        return F.transform(strings, lambda s: F.xxhash64(s).bitwiseAND(F.lit(0xFFFFFFFF)))
+
+    def below(most: int):
+        return lambda h: h < F.lit(most)
+
+    # For each number of chains a branch with a constant: a count inside the lambda would be worked out for each word.
+    used = hashed(F.col(chains))
+    for n in range(few):
+        share = (1 << 32) * (few - n) // few
+        single = F.filter(hashed(F.filter(words, lambda w: w != "")), below(share))
+        used = F.when(F.size(chains) == n, F.concat(hashed(F.col(chains)), single)).otherwise(used)
     # A column for each step: the optimizer then computes none of them twice.
     return (
         df.withColumn(words, F.split(F.lower(text), r"[^\p{L}\p{N}]+"))
         .withColumn(chains, F.filter(cut, lambda s: F.contains(s, F.lit(" "))))
-        .withColumn(out, F.array_sort(F.array_distinct(hashed)))
+        .withColumn(out, F.array_sort(F.array_distinct(used)))
         .drop(words, chains)
     )
 

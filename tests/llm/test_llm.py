@@ -442,6 +442,20 @@ def test_spotsigs_signatures(spark):
     assert sig == sorted(want)
 
 
+def test_spotsigs_change_gradually_with_chains(spark):
+    words = [f"w{k}" for k in range(300)]
+
+    def text(n):
+        return " ".join(f"the {words[2 * k]} {words[2 * k + 1]}" for k in range(n)) + " the " + " ".join(words[30:])
+
+    rows = [(n, text(n)) for n in range(0, 13)]
+    found = spotsigs.with_signatures(spark.createDataFrame(rows, "n int, text string"), "text", "sig").collect()
+    sets = {r.n: set(r.sig) for r in found}
+    for n in range(7, 12):
+        both, either = len(sets[n] & sets[n + 1]), len(sets[n] | sets[n + 1])
+        assert both / either > 0.6, (n, both / either)
+
+
 # URL filter
 
 
