@@ -35,6 +35,7 @@ CONTEXTS = SIGNS**3
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 EDGE_PLAIN = re.compile(r"^[\"'(\[{«¿¡.,;:|*_~#&%-]+|[\"')\]}».,;:?|*_~#&%-]+$|([^\w\s])\1+$|!$")
 REPEAT = re.compile(r"(.)\1\1")
+DOUBLE = re.compile(r"([a-z])\1")
 CLEAN = re.compile(r"[^\W\d_]+(?:['’.,;:/_\-][^\W\d_]{2,})*\Z")
 #: Letters whose decomposition isn't a letter and marks. Fixed values.
 FOLDS = str.maketrans({"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ł": "l", "ı": "i"})
@@ -63,6 +64,14 @@ def is_noisy(word: str) -> bool:
     return letters > 1 and not (CLEAN.match(word) and not REPEAT.search(word))
 
 
+def is_doubtful(word: str) -> bool:
+    """Whether a trimmed word may be noisy: doubled letters, letters on both sides of a sign, or a letter among look-alikes."""
+    if word.isalpha():
+        return DOUBLE.search(word) is not None
+    letters = sum(map(str.isalpha, word))
+    return letters > 1 or (letters == 1 and sum(c in LOOKS for c in word) > 1)
+
+
 def plain(chunk: str) -> str | None:
     """The folded word of a chunk that is letters and at most some marks at its end; None if it needs a closer look."""
     word = chunk if chunk.isalpha() else chunk.rstrip(".,;:?!")
@@ -87,21 +96,33 @@ class Channel:
             if len(self.known) > 200_000:
                 self.known.clear()
             word = plain(chunk)
-            if word is not None:
-                self.known[chunk] = found = (word,)
-                return found
-            word = trimmed(fold(chunk))
-            if not word:
-                found = ()
-            elif not is_noisy(word):
-                found = tuple(w for w in re.split(r"[\W\d_]+", word) if w)
-            else:
+            if word is None:
+                word = trimmed(fold(chunk))
+            if is_noisy(word):
                 found = tuple(self.decode(word, False).split())
+            else:
+                found = tuple(w for w in re.split(r"[\W\d_]+", word) if w)
+                if is_doubtful(word):
+                    found = self.likelier(word, found)
             self.known[chunk] = found
         return found
 
+    def likelier(self, word: str, split: tuple[str, ...]) -> tuple[str, ...]:
+        """The word as its lattice restores it or, where the character model finds that no less likely, as it is split."""
+        if not all("a" <= c <= "z" for w in split for c in w):
+            return split
+        value, restored = self.best(word, False)
+        dropped = sum(DROP_DIGIT for c in word if c.isdigit())
+        unrestored = sum(self.best(w, False, False)[0] for w in split) - dropped
+        return split if unrestored >= value else tuple(restored.split())
+
     def decode(self, word: str, spaced: bool) -> str:
-        """The best path through the word's lattice, from left to right, with the last three letters as the state."""
+        """The word of the best path through the lattice."""
+        return self.best(word, spaced)[1]
+
+    def best(self, word: str, spaced: bool, drops: bool = True) -> tuple[float, str]:
+        """The best path through the word's lattice, from left to right, with the last three letters as the state: its
+        score and word. Without drops, repeated letters stay."""
         logp = self.logp
         start = CONTEXTS - 1  # three bounds
         now: dict[int, tuple[float, tuple | None]] = {start: (0.0, None)}
@@ -110,7 +131,7 @@ class Channel:
             options: list[tuple[int, float]] = []
             if "a" <= char <= "z":
                 options.append((ord(char) - 97, 0.0))
-                if char == before:
+                if drops and char == before:
                     options.append((-1, DROP_REPEAT))
             else:
                 looks = LOOKS.get(char, "")
@@ -132,12 +153,12 @@ class Channel:
                         if to not in then or then[to][0] < value:
                             then[to] = (value, road)
             now, before = then, char
-        _, path = max(((v + logp[s * SIGNS + BOUND], p) for s, (v, p) in now.items()), key=lambda x: x[0])
+        value, path = max(((v + logp[s * SIGNS + BOUND], p) for s, (v, p) in now.items()), key=lambda x: x[0])
         signs = []
         while path is not None:
             path, sign = path
             signs.append(" " if sign == BOUND else chr(97 + sign))
-        return "".join(reversed(signs))
+        return value, "".join(reversed(signs))
 
     def text(self, text: str) -> list[str]:
         """All restored words of a text, in order; runs of three or more single characters are one lattice."""
@@ -285,8 +306,7 @@ class Model:
                 self.seen, new = set(), set(chunks)
                 hits.clear()
             for c in new:
-                word = plain(c)
-                if here := self.weighed((word,) if word is not None else channel.words(c)):
+                if here := self.weighed(channel.words(c)):
                     hits[c] = here
             self.seen |= new
         out = [x for c in chunks if c in hits for x in hits[c]]

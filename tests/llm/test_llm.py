@@ -545,6 +545,25 @@ def test_deobfuscation(channel, noisy, clean):
     assert channel.text(f"you {noisy} are") == ["you", clean, "are"]
 
 
+@pytest.mark.parametrize(
+    ("noisy", "clean"),
+    [
+        ("1d107", "idiot"),
+        ("!d!07", "idiot"),
+        ("st-upid", "stupid"),
+        ("idi.ot", "idiot"),
+        ("mo-ron", "moron"),
+        ("iidiioott", "idiot"),
+        ("ssttuuppiidd", "stupid"),
+        ("good", "good"),
+        ("book.", "book"),
+        ("good-book", "good book"),
+    ],
+)
+def test_deobfuscation_of_doubtful_forms(channel, noisy, clean):
+    assert channel.text(f"you {noisy} are") == ["you", *clean.split(), "are"]
+
+
 def test_deobfuscation_of_spaced_letters(channel):
     assert channel.text("you s t u p i d") == ["you", "stupid"]
     assert channel.text("are 1 d 1 0 t .") == ["are", "idiot"]
