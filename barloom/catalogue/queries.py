@@ -12,6 +12,7 @@ from barloom.catalogue import sql as q
 from barloom.config import COMPOSITE_WEIGHTS, DEMO, RETURNS
 from barloom.functions import fib
 from barloom.functions.frames import by
+from barloom.functions.symbol import SMAS, STEPS
 from barloom.operators import calendar, cross_section, indices, quality, risk, series, store
 from barloom.operators.adjust import unreconciled, with_factors
 from barloom.plans import backtest, presets, screens
@@ -49,6 +50,11 @@ def adj(spark, d) -> DataFrame:
     return series.adjusted(bars(spark, d))
 
 
+def measured(spark, d, *names) -> DataFrame:
+    """Adjusted bars with the named metrics."""
+    return series.measured(adj(spark, d), names)
+
+
 def rows(df: DataFrame, *columns) -> DataFrame:
     return df.select("symbol", "trade_date", *columns)
 
@@ -106,17 +112,17 @@ def returns_lagged(spark, d):
     return rows(series.returns(adj(spark, d)), num("ret_12m_1m"), num("ret_3m_2m"))
 
 
-_AVERAGES = [f"sma_{n}" for n in series.SMAS] + ["sma_200_slope_1m"]
+_AVERAGES = [f"sma_{n}" for n in SMAS] + ["sma_200_slope_1m"]
 
 
 @query("sma_family", q.select(*[f"round({c}, 8) + 0.0 AS {c}" for c in _AVERAGES]))
 def sma_family(spark, d):
-    return rows(series.averages(adj(spark, d)), *[(F.round(c, 8) + 0.0).alias(c) for c in _AVERAGES])
+    return rows(measured(spark, d, *_AVERAGES), *[(F.round(c, 8) + 0.0).alias(c) for c in _AVERAGES])
 
 
 @query("ma_alignment", q.select("ma_alignment", "is_long_term_uptrend"))
 def ma_alignment(spark, d):
-    return rows(series.averages(adj(spark, d)), "ma_alignment", "is_long_term_uptrend")
+    return rows(measured(spark, d, "ma_alignment", "is_long_term_uptrend"), "ma_alignment", "is_long_term_uptrend")
 
 
 _RANGE = ("high_52w", "low_52w", "pct_from_52w_high", "pct_above_52w_low", "range_position_52w", "high_period", "pct_from_period_high")
@@ -124,12 +130,13 @@ _RANGE = ("high_52w", "low_52w", "pct_from_52w_high", "pct_above_52w_low", "rang
 
 @query("range_52w", q.select(*map(q.num, _RANGE), q.whole("days_since_52w_high"), q.whole("history_days")))
 def range_52w(spark, d):
-    return rows(series.ranges(adj(spark, d)), *map(num, _RANGE), whole("days_since_52w_high"), whole("history_days"))
+    made = measured(spark, d, *_RANGE, "days_since_52w_high", "history_days")
+    return rows(made, *map(num, _RANGE), whole("days_since_52w_high"), whole("history_days"))
 
 
 @query("log_regression_90", q.select(*map(q.num, ("exp_reg_slope_90", "exp_reg_r2_90", "momentum_score")), "gap_disqualified"))
 def log_regression_90(spark, d):
-    made = series.momentum(series.ranges(series.returns(adj(spark, d))))
+    made = measured(spark, d, "exp_reg_slope_90", "exp_reg_r2_90", "momentum_score", "gap_disqualified")
     return rows(made, *map(num, ("exp_reg_slope_90", "exp_reg_r2_90", "momentum_score")), "gap_disqualified")
 
 
@@ -141,11 +148,11 @@ _VOLATILITY = ("stdev_21", "stdev_63", "adr_pct_20", "rel_volume", "turnover_20d
     q.select(*map(q.num, _VOLATILITY), q.whole("vol_sma_20", "round_even(v20, 0)"), q.whole("vol_sma_50", "round_even(v50, 0)")),
 )
 def volatility_volume(spark, d):
-    return rows(series.volatility_and_volume(adj(spark, d)), *map(num, _VOLATILITY), "vol_sma_20", "vol_sma_50")
+    return rows(measured(spark, d, *_VOLATILITY, "vol_sma_20", "vol_sma_50"), *map(num, _VOLATILITY), "vol_sma_20", "vol_sma_50")
 
 
-def windows(spark, d):
-    return series.windows(adj(spark, d))
+#: Metrics that need no recurrence.
+FIXED = [c for x in STEPS if x.run.__name__ in ("returns", "averages", "ranges", "momentum", "volatility", "volume", "breakouts", "template") for c in x.makes]
 
 
 _BREAKOUTS = ("is_n_day_breakout_20", "is_n_day_breakout_50", "is_52w_high_breakout")
@@ -153,49 +160,46 @@ _BREAKOUTS = ("is_n_day_breakout_20", "is_n_day_breakout_50", "is_52w_high_break
 
 @query("breakouts", q.select(*_BREAKOUTS))
 def breakouts(spark, d):
-    return rows(windows(spark, d), *_BREAKOUTS)
+    return rows(measured(spark, d, *_BREAKOUTS), *_BREAKOUTS)
 
 
 @query("trend_template_partial", q.select(q.whole("trend_template_partial"), q.num("pullback_from_high_pct")))
 def trend_template_partial(spark, d):
-    return rows(windows(spark, d), whole("trend_template_partial"), num("pullback_from_high_pct"))
+    made = measured(spark, d, "trend_template_partial", "pullback_from_high_pct")
+    return rows(made, whole("trend_template_partial"), num("pullback_from_high_pct"))
 
 
 # Recurrences
 
 
-def recurrent(spark, d, *names):
-    return series.recurrences(windows(spark, d), only=list(names))
-
-
 def _left(*parts: tuple[str, str]) -> str:
     return " ".join(f"LEFT JOIN {t} {a} ON {a}.token = s.token AND {a}.rn = s.rn" for t, a in parts)
 
 
 @query("ema_21_50", q.recursive(q.EMAS[21] + "," + q.EMAS[50], f"{q.num('ema_21', 'a.v')}, {q.num('ema_50', 'b.v')}", _left(("ema_21", "a"), ("ema_50", "b"))))
 def ema_21_50(spark, d):
-    return rows(recurrent(spark, d, "ema_21", "ema_50"), num("ema_21"), num("ema_50"))
+    return rows(measured(spark, d, "ema_21", "ema_50"), num("ema_21"), num("ema_50"))
 
 
 @query("atr_14", q.recursive(q.ATR, f"{q.num('atr_14', 'a.v')}, {q.num('atr_pct_14', 'a.v / s.close')}", _left(("atr", "a"))))
 def atr_14(spark, d):
-    return rows(recurrent(spark, d, "atr_14", "atr_pct_14"), num("atr_14"), num("atr_pct_14"))
+    return rows(measured(spark, d, "atr_14", "atr_pct_14"), num("atr_14"), num("atr_pct_14"))
 
 
 @query("rsi_14", q.recursive(q.RSI, q.num("rsi_14", "CASE WHEN d.v = 0 THEN 100 ELSE 100 - 100 / (1 + u.v / d.v) END"), _left(("up", "u"), ("down", "d"))))
 def rsi_14(spark, d):
-    return rows(recurrent(spark, d, "rsi_14"), num("rsi_14"))
+    return rows(measured(spark, d, "rsi_14"), num("rsi_14"))
 
 
 @query("adx_14", q.recursive(q.ADX, q.num("adx_14", "a.v"), _left(("adx", "a"))))
 def adx_14(spark, d):
-    return rows(recurrent(spark, d, "adx_14"), num("adx_14"))
+    return rows(measured(spark, d, "adx_14"), num("adx_14"))
 
 
 @query("macd", q.recursive(q.MACD, f"{q.num('macd', 'l.line')}, {q.num('macd_signal', 'g.v')}, {q.num('macd_hist', 'l.line - g.v')}", _left(("line", "l"), ("signal", "g"))))
 def macd(spark, d):
     names = ("macd", "macd_signal", "macd_hist")
-    return rows(recurrent(spark, d, *names), *map(num, names))
+    return rows(measured(spark, d, *names), *map(num, names))
 
 
 _BASE_SQL = f"""WITH RECURSIVE {q.WALK}, {q.SERIES}, {q.ATR}, b0 AS (
@@ -219,7 +223,7 @@ FROM b4"""
 
 @query("base_detection", _BASE_SQL)
 def base_detection(spark, d):
-    return rows(recurrent(spark, d, "base_depth_pct", "is_in_base", "base_length_days"), num("base_depth_pct"), "is_in_base", "base_length_days")
+    return rows(measured(spark, d, "base_depth_pct", "is_in_base", "base_length_days"), num("base_depth_pct"), "is_in_base", "base_length_days")
 
 
 def _fractal(x: str, sign: str, agg: str) -> str:
@@ -270,34 +274,32 @@ SELECT symbol, trade_date, {q.num("support_level", "level")}, {q.num("support_di
 @query("nearest_support", _SUPPORT_SQL)
 def nearest_support(spark, d):
     names = ("support_level", "support_distance_pct", "is_at_support")
-    return rows(recurrent(spark, d, *names), num("support_level"), num("support_distance_pct"), "is_at_support")
+    return rows(measured(spark, d, *names), num("support_level"), num("support_distance_pct"), "is_at_support")
 
 
 @query("reversal_score")
 def reversal_score(spark, d):
     names = ("reversal_score", "is_reversal", "is_pullback_reversal")
-    return rows(recurrent(spark, d, *names), *names)
+    return rows(measured(spark, d, *names), *names)
 
 
 @query("fib_leg")
 def fib_leg(spark, d):
     names = ("fib_leg_low_price", "fib_leg_high_price", *fib.DATES, "fib_leg_amplitude_pct", "fib_leg_sessions")
-    return rows(recurrent(spark, d, *names), *names)
+    return rows(measured(spark, d, *names), *names)
 
 
 @query("fib_zone")
 def fib_zone(spark, d):
     names = [n for n in (*fib.NUMBERS, *fib.FLAGS, *fib.TEXTS) if not n.startswith("fib_leg")]
-    return rows(recurrent(spark, d, *names), *names)
+    return rows(measured(spark, d, *names), *names)
 
 
 # Cross-section
 
 
 def named(spark, d, *recurrences):
-    made = windows(spark, d)
-    if recurrences:
-        made = series.recurrences(made, only=list(recurrences))
+    made = measured(spark, d, *FIXED, *recurrences)
     made = made.join(source.instruments(spark, d).select("token", "series", "industry", "float_shares"), "token")
     return cross_section.eligibility(made, DEMO)
 
@@ -735,7 +737,7 @@ def benchmark_buy_hold(spark, d):
 @query("stop_suggestion", q.recursive(q.ATR, f"""{q.num("atr_stop", "s.close - 2 * a.v")}, {q.num("atr_stop_distance", "2 * a.v / s.close")}, CASE WHEN s.low * 0.97 < s.close THEN round(s.low * 0.97, 6) + 0.0 END AS structural_stop,
 CASE WHEN a.v IS NULL THEN 'structural' WHEN s.low * 0.97 < s.close - 2 * a.v THEN 'structural' ELSE 'atr' END AS wider_stop""", _left(("atr", "a"))))
 def stop_suggestion(spark, d):
-    made = recurrent(spark, d, "atr_14").withColumns(risk.suggest_stop(F.col("close"), F.col("atr_14"), F.col("low") * 0.97))
+    made = measured(spark, d, "atr_14").withColumns(risk.suggest_stop(F.col("close"), F.col("atr_14"), F.col("low") * 0.97))
     return rows(made, num("atr_stop"), num("atr_stop_distance"), num("structural_stop"), "wider_stop")
 
 
@@ -753,7 +755,7 @@ _FRICTION = "(2 * (0.0000297 + 0.000001) + 0.001 + 0.00015 + 0.18 * 2 * 0.000029
 @query("round_trip_cost", f"""WITH {q.WALK}, g AS (SELECT symbol, trade_date, {q.over("close", q.lag("close", 5))} - 1 AS gain, history_days AS n FROM adj), t AS (SELECT *, greatest(gain - {_FRICTION}, 0) * CASE WHEN n >= 365 THEN 0.1495 ELSE 0.2392 END::DOUBLE AS tds FROM g WHERE gain IS NOT NULL)
 SELECT symbol, trade_date, round(tds, 9) + 0.0 AS tds, round({_FRICTION} + tds, 9) + 0.0 AS round_trip_cost, round(greatest(gain - {_FRICTION} - tds, 0), 9) + 0.0 AS net_gain FROM t""")
 def round_trip_cost(spark, d):
-    made = series.ranges(series.returns(adj(spark, d))).where("ret_1w is not null")
+    made = measured(spark, d, "ret_1w", "history_days").where("ret_1w is not null")
     made = made.withColumns(risk.round_trip(F.col("ret_1w"), F.col("history_days")))
     return rows(made, *[(F.round(c, 9) + 0.0).alias(c) for c in ("tds", "round_trip_cost", "net_gain")])
 
@@ -765,7 +767,7 @@ def sellable_date(spark, d):
 
 @query("tax_on_gain", f"WITH {q.WALK} SELECT symbol, trade_date, round(CASE WHEN close > 100 THEN (close - 100) * CASE WHEN history_days >= 365 THEN 0.1495 ELSE 0.2392 END::DOUBLE ELSE 0 END, 9) + 0.0 AS tax FROM adj")
 def tax_on_gain(spark, d):
-    return rows(series.ranges(adj(spark, d)), (F.round(risk.tax_on_gain(F.col("close") - 100, F.col("history_days")), 9) + 0.0).alias("tax"))
+    return rows(measured(spark, d, "history_days"), (F.round(risk.tax_on_gain(F.col("close") - 100, F.col("history_days")), 9) + 0.0).alias("tax"))
 
 
 # Backtest

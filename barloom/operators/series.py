@@ -1,23 +1,23 @@
-"""Metrics of each symbol over time.
+"""Metrics of each symbol over time: one Arrow grouped map over one exchange by symbol, whatever is asked for.
 
-Everything with a fixed window is a Catalyst window over one spec (one shuffle by symbol, one sort). The recurrences, and
-what depends on them, follow in one Arrow grouped map over the same partitioning, so the pass has a single exchange.
+Spark's moving frames are computed anew for every row, at a cost of rows times frame length in interpreted updates, and
+recurrences have no operator at all. So a symbol's history goes to NumPy once (barloom.functions.symbol), where only the
+steps that the wanted columns need are run. Lags alone stay Catalyst windows.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.config import DEFAULT, MONTH, QUARTER, RETURNS, YEAR, Settings
-from barloom.functions.symbol import RECURRENT, recurrent
-from barloom.functions.frames import by, before, change, flag, full, last, over, tri
+from barloom.functions.frames import by, change, over
+from barloom.functions.symbol import KINDS, compute, inputs_of, steps_for
 
-SMAS = (20, 50, 100, 150, 200)
-LOOKBACK = 90
+ARROW = {"double": pa.float64(), "bigint": pa.int64(), "boolean": pa.bool_(), "date": pa.date32(), "string": pa.string()}
 
 
 def adjusted(bars: DataFrame) -> DataFrame:
@@ -29,150 +29,49 @@ def adjusted(bars: DataFrame) -> DataFrame:
 
 def returns(bars: DataFrame) -> DataFrame:
     c = F.col("close")
-    near_far = {"ret_12m_1m": (MONTH, YEAR), "ret_3m_2m": (42, QUARTER)}
+    near_far = {"ret_12m_1m": (MONTH, YEAR), "ret_3m_2m": (2 * MONTH, QUARTER)}
     lagged = {k: over(F.lag(c, near).over(by()), F.lag(c, far).over(by())) - 1 for k, (near, far) in near_far.items()}
     return bars.withColumns({name: change(c, n) for name, n in RETURNS.items()} | lagged)
 
 
-def averages(bars: DataFrame) -> DataFrame:
-    """Moving averages of the close, and what follows from them."""
-    c = F.col("close")
-    made = bars.withColumns({f"sma_{n}": full(c, n, F.avg) for n in SMAS})
-    s50, s100, s200 = (F.col(f"sma_{n}") for n in (50, 100, 200))
-    return made.withColumns(
-        {
-            "sma_200_slope_1m": over(s200, F.lag(s200, MONTH).over(by())) - 1,
-            "ma_alignment": tri((c > s50) & (s50 > s100) & (s100 > s200), s50, s100, s200, c),
-            "is_long_term_uptrend": tri((c > s200) & (s50 > s200), c, s50, s200),
-        }
-    )
-
-
-def ranges(bars: DataFrame) -> DataFrame:
-    """52-week range and the highest price before today."""
-    c, h, lo = F.col("close"), F.col("high"), F.col("low")
-    made = bars.withColumns(
-        {
-            "history_days": F.row_number().over(by()),
-            "high_52w": full(h, YEAR, F.max),
-            "low_52w": full(lo, YEAR, F.min),
-            "high_period": F.max(h).over(by().rowsBetween(Window.unboundedPreceding, -1)),
-        }
-    )
-    latest = F.max_by("history_days", F.struct("high", "history_days")).over(last(YEAR))
-    h52, l52 = F.col("high_52w"), F.col("low_52w")
-    return made.withColumns(
-        {
-            "pct_from_52w_high": over(c, h52) - 1,
-            "pct_above_52w_low": over(c, l52) - 1,
-            "range_position_52w": over(c - l52, h52 - l52),
-            "days_since_52w_high": F.when(h52.isNotNull(), F.col("history_days") - latest),
-            "pct_from_period_high": over(c, F.col("high_period")) - 1,
-        }
-    )
-
-
-def momentum(bars: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """Exponential regression over 90 sessions; needs ret_1d and history_days."""
-    frame, n = last(s.momentum_lookback), s.momentum_lookback
-    x, y = F.col("history_days").cast("double"), F.ln(F.when(F.col("close") > 0, F.col("close")))
-    whole = F.count(y).over(frame) == n
-    flat = F.min("close").over(frame) == F.max("close").over(frame)
-    r2 = F.when(whole & ~flat, F.regr_r2(y, x).over(frame))
-    gap = F.max(F.abs(F.coalesce("ret_1d", F.lit(0.0)))).over(frame) > s.gap_limit
-    made = bars.withColumns(
-        {
-            "exp_reg_slope_90": F.when(whole, F.when(flat, 0.0).otherwise(F.expm1(F.regr_slope(y, x).over(frame) * YEAR))),
-            "exp_reg_r2_90": F.when(r2.isNotNull(), F.least(F.greatest(r2, F.lit(0.0)), F.lit(1.0))),
-            "gap_disqualified": F.when(F.count(F.lit(1)).over(frame) == n, gap),
-        }
-    )
-    score = F.col("exp_reg_slope_90") * F.col("exp_reg_r2_90")
-    return made.withColumn("momentum_score", F.when(~F.col("gap_disqualified"), score))
-
-
-def volatility_and_volume(bars: DataFrame) -> DataFrame:
-    c, v = F.col("close"), F.col("volume")
-    step = bars.withColumn("_log_ret", F.ln(over(F.when(c > 0, c), F.lag(c).over(by()))))
-    made = step.withColumns(
-        {
-            "stdev_21": full(F.col("_log_ret"), 21, F.stddev_samp),
-            "stdev_63": full(F.col("_log_ret"), 63, F.stddev_samp),
-            "adr_pct_20": full(over(F.col("high"), F.col("low")) - 1, 20, F.avg),
-            "_v20": full(v, 20, F.avg),
-            "_v50": full(v, 50, F.avg),
-            "turnover_20d_median": full(c * v, 20, lambda x: F.percentile(x, F.lit(0.5))),
-            "delivery_pct_sma_20": full(F.col("delivery_pct"), 20, F.avg),
-        }
-    )
-    return made.withColumns(
-        {
-            "vol_sma_20": F.bround("_v20").cast("long"),
-            "vol_sma_50": F.bround("_v50").cast("long"),
-            "rel_volume": over(v, F.col("_v50")),
-        }
-    ).drop("_log_ret", "_v20", "_v50")
-
-
-def breakouts(bars: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """Needs high_52w and rel_volume."""
-    c, rv = F.col("close"), F.col("rel_volume")
-    made = {}
-    for n in (20, 50):
-        top = full(F.col("high"), n, F.max, before(n))
-        made[f"is_n_day_breakout_{n}"] = tri((c > top) & (rv >= s.rel_volume_min), top, rv)
-    top = F.lag("high_52w").over(by())
-    made["is_52w_high_breakout"] = tri((c > top) & (rv >= s.rel_volume_min), top, rv)
-    return bars.withColumns(made)
-
-
-def template(bars: DataFrame) -> DataFrame:
-    """Criteria 1 to 7 of the trend template; null only without sma_200. And the depth of the last month's pullback."""
-    c, s50, s150, s200 = (F.col(x) for x in ("close", "sma_50", "sma_150", "sma_200"))
-    rules = [
-        (c > s150) & (c > s200),
-        s150 > s200,
-        F.col("sma_200_slope_1m") > 0,
-        (s50 > s150) & (s50 > s200),
-        c > s50,
-        c >= 1.30 * F.col("low_52w"),
-        c >= 0.75 * F.col("high_52w"),
-    ]
-    score = sum((flag(x) for x in rules), F.lit(0))
-    top = full(F.col("high"), MONTH, F.max)
-    return bars.withColumns(
-        {"trend_template_partial": F.when(s200.isNotNull(), score), "pullback_from_high_pct": over(c, top) - 1}
-    )
-
-
-def windows(bars: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """All metrics with fixed windows, from adjusted bars."""
-    return template(breakouts(volatility_and_volume(momentum(ranges(averages(returns(bars))), s)), s))
-
-
-def recurrences(bars: DataFrame, s: Settings = DEFAULT, only: list[str] | None = None) -> DataFrame:
-    """bars and windows() columns with the recurrent metrics added (those named in `only`, or all)."""
-    fields = [f for f in RECURRENT.fields if only is None or f.name in only]
-    used = ["trade_date", "open", "high", "low", "close", "volume", "ret_1d", "sma_50", "sma_200", "rel_volume", "pullback_from_high_pct"]
-    schema = T.StructType(bars.schema.fields + fields)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("trade_date", ignore_index=True)
-        p = {c: pdf[c].to_numpy(dtype=object if c == "trade_date" else np.float64, na_value=None if c == "trade_date" else float("nan")) for c in used}
-        made = recurrent(p, s)
-        columns = {}
-        for f in fields:
-            if isinstance(f.dataType, T.LongType):
-                columns[f.name] = pd.Series(np.round(made[f.name])).astype("Int64")
-            elif isinstance(f.dataType, T.DoubleType):
-                columns[f.name] = pd.Series(made[f.name])
-            else:
-                columns[f.name] = pd.Series(made[f.name], dtype=object)
-        return pd.concat([pdf, pd.DataFrame(columns)], axis=1)
-
-    return bars.groupBy("token").applyInPandas(run, schema)
-
-
-def series_metrics(bars: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """Every by-symbol metric of every session, from bars with adj_factor."""
-    return recurrences(windows(adjusted(bars), s), s)
+def as_arrow(values: np.ndarray, kind: T.DataType) -> pa.Array:
+    """A column as Spark takes it; what isn't known is null."""
+    if isinstance(kind, T.DoubleType):
+        return pa.array(values.astype(np.float64), from_pandas=True)
+    if isinstance(kind, T.LongType):
+        unknown = np.isnan(values)
+        return pa.array(np.rint(np.where(unknown, 0, values)).astype(np.int64), mask=unknown)
+    return pa.array(values.tolist(), ARROW[kind.simpleString()])
+
+
+def measured(bars: DataFrame, only: list[str] | tuple[str, ...] | None = None, s: Settings = DEFAULT, as_of=None) -> DataFrame:
+    """Adjusted bars with the metrics named in only (all without it), for all sessions or the session as_of alone.
+
+    What isn't known is null: windows that aren't full, or have a null in them. Bars of one symbol and date are expected
+    once. An empty table gives an empty result.
+    """
+    wanted = list(KINDS) if only is None else list(only)
+    steps = steps_for(wanted)
+    inputs = inputs_of(steps)
+    wanted = [c for c in wanted if c not in bars.columns]
+    schema = T.StructType(bars.schema.fields + [T.StructField(c, KINDS[c]) for c in wanted])
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("trade_date")
+        p = {}
+        for c in inputs:
+            column = group.column(c)
+            dates = pa.types.is_date(column.type)
+            p[c] = np.array(column.to_pylist(), dtype=object) if dates else column.cast(pa.float64()).to_numpy()
+        made = compute(p, steps, s)
+        table = pa.table([*group.columns, *(as_arrow(made[c], KINDS[c]) for c in wanted)], names=schema.names)
+        return table if as_of is None else table.filter(pa.compute.equal(table.column("trade_date"), pa.scalar(as_of, pa.date32())))
+
+    import pyarrow.compute  # noqa: F401
+
+    return bars.groupBy("token").applyInArrow(run, schema)
+
+
+def series_metrics(bars: DataFrame, s: Settings = DEFAULT, as_of=None) -> DataFrame:
+    """Every by-symbol metric, from bars with adj_factor."""
+    return measured(adjusted(bars), None, s, as_of)

@@ -23,12 +23,10 @@ def metrics(
 ) -> DataFrame:
     """All metrics of all sessions, or of the session as_of alone (then later bars are never read).
 
-    The series pass needs each symbol's whole history; its rows of other sessions are dropped before the second shuffle.
+    The series pass needs each symbol's whole history; its rows of other sessions never leave the workers.
     """
     if as_of is not None:
         bars, index = bars.where(F.col("trade_date") <= F.lit(as_of)), index.where(F.col("trade_date") <= F.lit(as_of))
-    rows = series_metrics(with_factors(bars, actions), s)
-    if as_of is not None:
-        rows = rows.where(F.col("trade_date") == F.lit(as_of))
+    rows = series_metrics(with_factors(bars, actions), s, as_of)
     named = instruments.select("token", "series", "industry", "name", "float_shares")
     return cross_section(rows.join(named, "token", "left"), index, s, excluded, breaks)

@@ -11,7 +11,7 @@ from barloom.catalogue.queries import QUERIES, SQL
 from barloom.config import DEFAULT, Settings
 from barloom.functions import fib
 from barloom.functions import recurrences as r
-from barloom.functions.symbol import recurrent
+from barloom.functions import symbol, windows
 from barloom.operators import adjust, calendar, indices, quality, risk, series, store
 from barloom.plans import backtest, presets, screens
 from barloom.sources import files, sinks
@@ -94,12 +94,45 @@ def test_swings_and_support():
     assert same(r.support(close, low, flags, [], 3, delay=2), [NAN] * 5 + [99, 99, 99])
 
 
-def test_range_max_against_brute_force():
+def test_support_against_brute_force():
     rng = np.random.default_rng(2)
-    v = rng.normal(size=40)
-    a = rng.integers(0, 40, 200)
-    b = np.array([rng.integers(x, 40) for x in a])
-    assert same(r.RangeMax(v)(a, b), [v[x : y + 1].max() for x, y in zip(a, b)])
+    for delay in (0, 3):
+        close = 50 + np.cumsum(rng.normal(size=300))
+        low = close - rng.uniform(0, 2, 300)
+        swing, line = r.swings(low, 3, low=True), close + rng.normal(size=300)
+        got = r.support(close, low, swing, [line], 20, delay)
+        for t in range(300):
+            levels = [low[i] for i in range(max(0, t - 19 - delay), t - delay + 1) if swing[i]] + [line[t]]
+            levels = [x for x in levels if 0 < x <= close[t]]
+            assert same(got[t], max(levels, default=NAN)), t
+
+
+def test_windows_against_brute_force():
+    rng = np.random.default_rng(3)
+    v = np.exp(rng.normal(size=80))
+    v[[11, 50]] = NAN
+    for n in (3, 10):
+        for name, want in (("mean", np.mean), ("deviation", lambda x: np.std(x, ddof=1)), ("highest", np.max), ("lowest", np.min)):
+            got = getattr(windows, name)(v, n)
+            assert same(got, [want(v[t - n + 1 : t + 1]) if t >= n - 1 else NAN for t in range(80)]), name
+    slope, r2 = windows.log_regression(v, 9)
+    for t in range(80):
+        part = np.log(v[t - 8 : t + 1]) if t >= 8 else np.array([NAN])
+        if np.isnan(part).any():
+            assert np.isnan(slope[t]) and np.isnan(r2[t])
+        else:
+            assert slope[t] == pytest.approx(np.polyfit(np.arange(9), part, 1)[0]) and r2[t] == pytest.approx(np.corrcoef(np.arange(9), part)[0, 1] ** 2)
+    flat = windows.log_regression(np.full(20, 7.0), 9)
+    assert flat[0][-1] == 0 and np.isnan(flat[1][-1])
+
+
+def test_only_needed_steps_are_run():
+    names = [x.run.__name__ for x in symbol.steps_for(["rsi_14"])]
+    assert names == ["oscillators"] and symbol.inputs_of(symbol.steps_for(["rsi_14"])) == ["close"]
+    assert [x.run.__name__ for x in symbol.steps_for(["is_at_support"])] == ["averages", "exponential", "supports"]
+    assert [x.run.__name__ for x in symbol.steps_for(list(symbol.KINDS))] == [x.run.__name__ for x in symbol.STEPS]
+    with pytest.raises(ValueError):
+        symbol.steps_for(["no_such_metric"])
 
 
 def fib_series(tail, tail_volume=98_600.0):
@@ -136,25 +169,74 @@ def test_fib_gap_through_and_short_history():
     assert set(fib.fib_metrics(*fib_series([550]), DEFAULT, unresolved=True)["fib_exclusion_reason"]) == {"CA_UNRESOLVED"}
 
 
+def brute_legs(high, low, ret, s):
+    """For each session (A, B) by the rule itself: the newest three swing highs known, the first valid one."""
+    n = len(high)
+    lows, tops = ([i for i in range(n) if r.swings(v, s.swing_reach, low=k)[i]] for v, k in ((low, True), (high, False)))
+    out = []
+    for t in range(n):
+        leg = (-1, -1)
+        for b in [x for x in tops if x <= t - s.swing_reach][::-1][: s.fib_attempts]:
+            within = [i for i in lows if b - s.fib_max_leg <= i < b]
+            if not within:
+                continue
+            a = min(within, key=lambda i: (low[i], i))
+            moves = [abs(x) for x in ret[a + 1 : b + 1] if x == x]
+            top = high[a : t + 1]
+            if (
+                (high[b] - low[a]) / low[a] >= s.fib_min_amplitude
+                and s.fib_min_leg <= b - a
+                and t - b <= s.fib_max_age
+                and max(moves, default=0) <= s.fib_max_shock
+                and not any(x != x or x > high[b] + 1e-12 for x in top)
+            ):
+                leg = (a, b)
+                break
+        out.append(leg)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_legs_against_brute_force(seed):
+    s = Settings(fib_min_amplitude=0.05, fib_max_age=20)
+    p = random_symbol(300, seed)
+    if seed == 3:
+        p["high"][120] = NAN  # an unknown bar inside a leg refuses it
+    legs = fib.find_legs(p["high"], p["low"], p["ret_1d"], s)
+    leg = fib.painted(300, legs.first, legs.last)
+    got = [(legs.a[k], legs.b[k]) if k >= 0 else (-1, -1) for k in leg]
+    assert got == brute_legs(p["high"], p["low"], p["ret_1d"], s) and any(a >= 0 for a, _ in got)
+    out = fib.fib_metrics(*(p[c] for c in ("trade_date", "open", "high", "low", "close", "volume")), np.full(300, 1.0), p["ret_1d"], s)
+    lows = np.flatnonzero(r.swings(p["low"], 3, low=True))
+    for t, (a, b) in enumerate(got):
+        if a < 0:
+            assert np.isnan(out["fib_stop"][t]) and out["fib_exclusion_reason"][t] == "NO_VALID_LEG"
+            continue
+        floor, ceiling = out["fib_level_618"][t], out["fib_level_500"][t]
+        turns = [p["low"][i] for i in lows if b <= i <= t - 3 and floor <= p["low"][i] <= ceiling]
+        assert out["fib_stop"][t] == min([out["fib_level_786"][t], *(x - 0.5 for x in turns)])
+        span = p["high"][b] - p["low"][a]
+        assert same(out["fib_max_retracement"][t], (p["high"][b] - np.min(p["low"][b : t + 1])) / span)
+        advance, rest = p["volume"][a : b + 1].mean(), p["volume"][b + 1 : t]
+        assert same(out["vol_dryup_ratio"][t], rest.mean() / advance if len(rest) else NAN)
+        assert same(out["vol_impulse_ratio"][t], advance / p["volume"][max(a - 50, 0) : max(a - 1, 0) + 1].mean())
+
+
 def random_symbol(n=400, seed=1):
     rng = np.random.default_rng(seed)
     close = 100 * np.exp(np.cumsum(rng.normal(0.001, 0.02, n)))
     p = {"close": close, "open": np.concatenate([[100.0], close[:-1]])}
-    p["high"], p["low"] = np.maximum(p["open"], close) * 1.005, np.minimum(p["open"], close) * 0.995
+    p["high"] = np.maximum(p["open"], close) * rng.uniform(1, 1.01, n)
+    p["low"] = np.minimum(p["open"], close) * rng.uniform(0.99, 1, n)
     p |= {"volume": rng.integers(1_000, 9_000, n).astype(float), "trade_date": np.array([dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(n)], dtype=object)}
-    p["ret_1d"] = np.concatenate([[NAN], close[1:] / close[:-1] - 1])
-    for k in (50, 200):
-        p[f"sma_{k}"] = r.rolled(close, k, np.mean)
-    p["rel_volume"] = p["volume"] / r.rolled(p["volume"], 50, np.mean)
-    p["pullback_from_high_pct"] = close / r.rolled(p["high"], 21, np.max) - 1
-    return p
+    return p | {"delivery_pct": rng.uniform(20, 60, n), "ret_1d": np.concatenate([[NAN], close[1:] / close[:-1] - 1])}
 
 
-@pytest.mark.parametrize("n", [120, 260, 333])
-def test_recurrences_are_point_in_time(n):
-    s = Settings(support_mode="confirmed")
+@pytest.mark.parametrize("n", [260, 300, 333])
+def test_metrics_are_point_in_time(n):
+    s = Settings(support_mode="confirmed", fib_min_amplitude=0.05)
     p = random_symbol()
-    whole, part = recurrent(p, s), recurrent({k: v[:n] for k, v in p.items()}, s)
+    whole, part = (symbol.compute(x, symbol.STEPS, s) for x in (p, {k: v[:n] for k, v in p.items()}))
     for k, v in part.items():
         a, b = v[-1], whole[k][n - 1]
         assert a == b or (a != a and b != b) or (isinstance(a, float) and math.isclose(a, b, rel_tol=1e-12)), k
