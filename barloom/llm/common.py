@@ -46,6 +46,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A name that no column of df begins with, whatever its case."""
+    name = f"_{stem}_"
+    while any(c.lower().startswith(name) for c in df.columns):
+        name += "_"
+    return name
+
+
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of the size of df in bytes."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

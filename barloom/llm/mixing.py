@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import WORD, checkpoint, spread
+from barloom.llm.common import WORD, checkpoint, free_name, spread
 
 #: Most membership patterns whose sums the driver takes for the flow.
 MOST_PATTERNS = 100_000
@@ -115,6 +115,13 @@ def _plan(spark, sums: list, weights, passes: int) -> tuple[DataFrame, DataFrame
     )
 
 
+def pattern_of(df: DataFrame, members_col: str) -> Column:
+    """The sorted sources that a document belongs to; the source null if there is none."""
+    several = dict(df.dtypes)[members_col].startswith("array")
+    members = F.array_sort(F.array_distinct(members_col)) if several else F.array(F.col(members_col))
+    return F.when(members.isNull() | (F.size(members) == 0), F.array(F.lit(None).cast("string"))).otherwise(members)
+
+
 def mix(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -124,9 +131,9 @@ def mix(
     passes: int = 3,
     seed: int = 42,
     buckets: int | None = None,
-    carry: str | None = None,
+    carry: Column | None = None,
 ) -> DataFrame:
-    """One row for each row of df: id_col, pattern, size, copies, taken, source_size, target, and column carry if named.
+    """One row for each row of df: id_col, pattern, size, copies, taken, source_size, target, and carried: what carry is.
 
     members_col is the document's source, or an array of the sources that it belongs to. size is the number of words
     (null text: 0), copies how often the mix takes the document (0 to passes), taken = copies * size. target and
@@ -136,14 +143,12 @@ def mix(
     """
     spark = df.sparkSession
     buckets = buckets or spread(df, 1 << 18, 1 << 20)
-    kind = dict(df.dtypes)[members_col]
-    members = F.array_sort(F.array_distinct(members_col)) if kind.startswith("array") else F.array(F.col(members_col))
-    members = F.when(members.isNull() | (F.size(members) == 0), F.array(F.lit(None).cast("string"))).otherwise(members)
+    members = pattern_of(df, members_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = checkpoint(
         df.select(
             F.col(id_col).alias("id"),
-            (F.col(carry) if carry else F.lit(None).cast("long")).alias("carried"),
+            (F.lit(None).cast("long") if carry is None else carry).alias("carried"),
             F.monotonically_increasing_id().alias("rid"),
             members.alias("pattern"),
             F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
@@ -198,14 +203,37 @@ def mix(
         (copies * F.col("size")).alias("taken"),
         "source_size",
         "target",
-        *([F.col("carried").alias(carry)] if carry else []),
+        *([] if carry is None else ["carried"]),
     )
 
 
 def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", members_col: str = "source", **options) -> DataFrame:
-    """The rows of df that the mix takes, with all their columns, each as often as the mix repeats it."""
-    marked = df.withColumn("_row", F.xxhash64(*df.columns))
-    taken = mix(marked, id_col, text_col, members_col, carry="_row", **options).groupBy("_row").agg(F.sum("copies").alias("_copies"))
-    # Equal rows share one mark, and the sum of their copies.
-    once = marked.dropDuplicates(["_row"]).join(taken.where("_copies > 0"), "_row")
-    return once.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*df.columns)
+    """The rows of df that the mix takes, with all their columns, each as often as the mix repeats it.
+
+    Rows that agree in identifier, text and sources share what the mix takes of them evenly; what is over goes to the
+    first in order of all columns as JSON.
+    """
+    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    name = free_name(df, "mix")
+    taken = mix(df, id_col, text_col, members_col, carry=sha, **options).select(F.col(id_col).alias("id"), "carried", "pattern", "copies")
+    shared = checkpoint(taken.groupBy("id", "carried", "pattern").agg(F.sum("copies").alias("copies"), F.count("*").alias("n")))
+    shared = shared.where("copies > 0").toDF(*[name + c for c in ("id", "sha", "pattern", "copies", "n")])
+    copies, n = F.col(f"{name}copies"), F.col(f"{name}n")
+    same = F.col(id_col).eqNullSafe(F.col(f"{name}id")) & (sha == F.col(f"{name}sha")) & pattern_of(df, members_col).eqNullSafe(F.col(f"{name}pattern"))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+
+    def repeated(rows: DataFrame, times: Column) -> DataFrame:
+        return rows.select(*columns, F.explode(F.sequence(F.lit(1), times.cast("int"))).alias(f"{name}k")).select(*columns)
+
+    once = repeated(df.join(shared.where(n == 1), same), copies)
+    if shared.where(n > 1).isEmpty():
+        return once
+    whole = F.struct(*columns)
+    keys = [f"{name}id", f"{name}sha", f"{name}pattern"]
+    alike = df.join(shared.where(n > 1), same).groupBy(*keys, copies, n, F.to_json(whole).alias(f"{name}json"))
+    alike = alike.agg(F.any_value(whole).alias(f"{name}row"), F.count("*").alias(f"{name}here"))
+    here, until = F.col(f"{name}here"), F.sum(f"{name}here").over(Window.partitionBy(*keys).orderBy(f"{name}json"))
+    over = F.least(F.greatest(copies % n - (until - here), F.lit(0)), here)
+    counted = alike.withColumn(f"{name}times", F.floor(copies / n) * here + over).where(F.col(f"{name}times") > 0)
+    rows = counted.select(*[F.col(f"{name}row").getField(c).alias(c) for c in df.columns], f"{name}times")
+    return once.union(repeated(rows, F.col(f"{name}times")))

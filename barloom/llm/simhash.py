@@ -1,18 +1,20 @@
 """SimHash near-deduplication with pivot distance tables.
 
-Each distinct fingerprint gets a row of a table: its Hamming distances to many fixed reference fingerprints (pivots). By
-the triangle inequality two fingerprints whose distances to any pivot differ by more than the limit are further apart
-than the limit, so a pair is discarded by its largest coordinate difference; survivors are verified bit by bit.
-
-Pairs are looked at within buckets only. The 64 bits are cut in six parts; fingerprints that differ in up to four bits
-agree on at least two whole parts, so each fingerprint goes to the 15 buckets named by two parts' values, and no link is
-lost. A bucket with many distinct fingerprints is split in tiles, and pairs of tiles are compared in different tasks. A
-task returns the links of a spanning forest of what it has found, never all pairs.
+A fingerprint's table has its Hamming distances to many fixed reference fingerprints (pivots). By the triangle inequality
+two fingerprints whose distances to any pivot differ by more than the limit are further apart than the limit, so a pair
+is discarded by its largest coordinate difference; survivors are verified bit by bit.
+
+Pairs are looked at within buckets only. The 64 bits are cut in m parts; fingerprints that differ in up to four bits
+agree on at least m - 4 whole parts, so each fingerprint goes to a bucket for each choice of m - 4 parts, and no link is
+lost. m follows the number of distinct fingerprints, so that the chance members of a bucket stay few at any size. A bucket
+that holds many fingerprints all the same goes on, to be split in tiles, and pairs of tiles are compared in different
+tasks. A task returns the links of a spanning forest of what it has found, never all pairs.
 """
 
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import checkpoint, releasing, small_batches
-from barloom.llm.components import components
+from barloom.llm.components import Forest, components
 
-#: Lengths of the parts; two whole parts must survive any `limit` changed bits.
-PARTS = (11, 11, 11, 11, 10, 10)
-#: Most distinct fingerprints of a bucket in one tile.
-TILE = 2048
+#: Most bits that linked fingerprints differ in; m - MOST whole parts survive them.
+MOST = 4
+#: Chance members of a bucket that are fine, and most distinct fingerprints of a bucket (or of a tile) compared at once.
+CHANCE, TILE = 64, 2048
+#: Rows that are gathered from Arrow batches before they are compared.
+GATHER = 1 << 15
 
 
 def pivots(n: int, seed: int = 42) -> np.ndarray:
@@ -66,33 +70,44 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, width: int = 4) -> D
     return rows.mapInArrow(releasing(run), f"id {kind}, fp long")
 
 
-def _keys(fp: np.ndarray) -> np.ndarray:
-    """n x 15: the bucket of each fingerprint for each two parts."""
-    starts = np.concatenate([[0], np.cumsum(PARTS)[:-1]]).astype(np.uint64)
-    parts = [(fp >> s) & np.uint64((1 << n) - 1) for s, n in zip(starts, PARTS)]
-    pairs = list(itertools.combinations(range(len(PARTS)), 2))
-    return np.stack(
-        [(np.uint64(k) << np.uint64(22)) | (parts[a] << np.uint64(11)) | parts[b] for k, (a, b) in enumerate(pairs)], axis=1
-    ).astype(np.int64)
+def parts_for(n: int) -> tuple[int, ...]:
+    """Lengths of the parts (6 to 12 of them) that n fingerprints are bucketed by."""
+    for m in range(6, 13):
+        lengths = tuple(64 // m + (k < 64 % m) for k in range(m))
+        if n <= CHANCE << sum(sorted(lengths)[: m - MOST]):
+            break
+    return lengths
 
 
-def spread_out(found: DataFrame, n_pivots: int) -> DataFrame:
-    """(bucket, fp, table): each distinct fingerprint in its buckets, with its distances to the pivots as bytes."""
-    marks = pivots(n_pivots)
+def _keys(fp: np.ndarray, lengths: tuple[int, ...]) -> np.ndarray:
+    """The bucket of each fingerprint (rows) for each choice of len(lengths) - MOST whole parts."""
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).tolist()
+    out = []
+    for k, chosen in enumerate(itertools.combinations(range(len(lengths)), len(lengths) - MOST)):
+        key = np.full(len(fp), k, dtype=np.uint64)
+        for c in chosen:
+            key = (key << np.uint64(lengths[c])) | ((fp >> np.uint64(starts[c])) & np.uint64((1 << lengths[c]) - 1))
+        out.append(key)
+    return np.stack(out, axis=1).view(np.int64)
+
+
+def spread_out(found: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """(bucket, fp): each distinct fingerprint in its buckets."""
 
     def run(batches):
         for batch in batches:
             fp = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
             if len(fp):
-                rows = np.bitwise_count(fp[:, None] ^ marks[None, :]).astype(np.uint8)
-                keys = _keys(fp)
-                wide = keys.shape[1]
-                tables = pa.array([r.tobytes() for r in rows], pa.binary()).take(pa.array(np.repeat(np.arange(len(fp)), wide)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.reshape(-1)), pa.array(np.repeat(fp, wide).view(np.int64)), tables], ["bucket", "fp", "table"]
-                )
+                keys = _keys(fp, lengths)
+                again = np.repeat(fp, keys.shape[1]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(again)], ["bucket", "fp"])
+
+    return found.select("fp").mapInArrow(releasing(run), "bucket long, fp long")
+
 
-    return found.mapInArrow(releasing(run), "bucket long, fp long, table binary")
+def distances(fp: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """The pivot distance table of fingerprints."""
+    return np.bitwise_count(fp[:, None] ^ marks[None, :]).astype(np.int16)
 
 
 def _near(fp: np.ndarray, table: np.ndarray, left: np.ndarray, right: np.ndarray, limit: int):
@@ -105,27 +120,6 @@ def _near(fp: np.ndarray, table: np.ndarray, left: np.ndarray, right: np.ndarray
     return left[true], right[true]
 
 
-class Forest:
-    """Union-find over fingerprints; keeps the links that joined two trees."""
-
-    def __init__(self):
-        self.above: dict[int, int] = {}
-        self.links: list[tuple[int, int]] = []
-
-    def root(self, x: int) -> int:
-        above = self.above
-        while (up := above.setdefault(x, x)) != x:
-            above[x] = above[up]
-            x = up
-        return x
-
-    def link(self, a: int, b: int) -> None:
-        x, y = self.root(a), self.root(b)
-        if x != y:
-            self.above[max(x, y)] = min(x, y)
-            self.links.append((a, b))
-
-
 def _compare(place: np.ndarray, side: np.ndarray, cross: np.ndarray, fp, table, limit: int, forest: Forest) -> None:
     """Link near fingerprints within each run of equal places; runs that cross compare side 0 with side 1 only."""
     n = len(fp)
@@ -140,52 +134,123 @@ def _compare(place: np.ndarray, side: np.ndarray, cross: np.ndarray, fp, table,
             forest.link(x, y)
 
 
+def gathered(batches, columns: list[str]) -> Iterator[list[np.ndarray]]:
+    """The columns of Arrow batches, about GATHER rows at once."""
+    held: list = []
+    for batch in batches:
+        held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in columns])
+        if sum(len(h[0]) for h in held) >= GATHER:
+            yield [np.concatenate(c) for c in zip(*held)]
+            held = []
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def _pairs_of(forest: Forest, sent: int) -> tuple[np.ndarray, np.ndarray]:
+    ends = np.array(forest.links[sent:], dtype=np.uint64).view(np.int64).reshape(-1, 2)
+    return ends[:, 0], ends[:, 1]
+
+
+def _buckets(limit: int, marks: np.ndarray):
+    """Compares what is in order of bucket; rows of a bucket of over TILE go on as (bucket, fp, null)."""
+
+    def run(batches):
+        forest = Forest()
+        over = None
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+
+        def done(bucket, fp):
+            nonlocal over
+            starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])[: len(bucket)])
+            sizes = np.diff(np.append(starts, len(bucket)))
+            large = sizes > TILE
+            if over is not None:
+                large |= bucket[starts] == over
+            by_row = np.repeat(large, sizes)
+            if len(large) and large[-1]:
+                over = bucket[-1]
+            several = np.repeat((sizes > 1) & ~large, sizes)
+            sent = len(forest.links)
+            if several.any():
+                kept = fp[several].view(np.uint64)
+                same = np.zeros(len(kept), bool)
+                _compare(bucket[several], same, same, kept, distances(kept, marks), limit, forest)
+            a, b = _pairs_of(forest, sent)
+            nothing = [None] * len(a)
+            on, rows = bucket[by_row], fp[by_row]
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([*nothing, *on.tolist()], pa.int64()),
+                    pa.array(np.concatenate([a, rows])),
+                    pa.array([*b.tolist(), *[None] * len(rows)], pa.int64()),
+                ],
+                ["bucket", "a", "b"],
+            )
+
+        for got in gathered(batches, ["bucket", "fp"]):
+            bucket, fp = (np.concatenate(x) for x in zip(held, got))
+            end = int(np.searchsorted(bucket, bucket[-1]))
+            if len(bucket) - end > TILE or bucket[-1] == over:
+                end = len(bucket)  # a large bucket isn't held
+            held = [bucket[end:], fp[end:]]
+            yield done(bucket[:end], fp[:end])
+        yield done(*held)
+
+    return releasing(run)
+
+
+def _tiles(limit: int, marks: np.ndarray):
+    """Compares what is in order of place; a place has one or two tiles of a bucket."""
+
+    def run(batches):
+        forest = Forest()
+        columns = ["place", "side", "cross", "fp"]
+        held: list | None = None
+        for got in itertools.chain(gathered(batches, columns), [None]):
+            rows = held if got is None else got if held is None else [np.concatenate(x) for x in zip(held, got)]
+            if rows is None:
+                return
+            place, side, cross, fp = rows
+            end = len(place) if got is None else int(np.searchsorted(place, place[-1]))
+            held = [x[end:] for x in rows]
+            if not end:
+                continue
+            sent = len(forest.links)
+            kept = fp[:end].view(np.uint64)
+            _compare(place[:end], side[:end], cross[:end], kept, distances(kept, marks), limit, forest)
+            a, b = _pairs_of(forest, sent)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return releasing(run)
+
+
 def near_links(found: DataFrame, limit: int, n_pivots: int) -> DataFrame:
-    """(a, b): enough links between the distinct fingerprints of found (fp) to connect what is connected."""
-    rows = spread_out(found, n_pivots)
-    large = rows.groupBy("bucket").count().where(F.col("count") > TILE)
-    tiles = F.ceil(F.col("count") / TILE).cast("int")
-    dealt = rows.join(large.select(F.col("bucket").alias("of"), tiles.alias("tiles")), F.col("bucket") == F.col("of"), "left")
-    own = F.pmod(F.xxhash64("fp"), F.coalesce("tiles", F.lit(1))).cast("int")
+    """(a, b): enough links between the distinct fingerprints of found (fp) to connect what is connected.
+
+    found is read twice, so it should be a written table.
+    """
+    if not 0 <= limit <= MOST:
+        raise ValueError(f"limit must be 0 to {MOST}: more changed bits could touch all parts but too few")
+    marks = pivots(n_pivots)
+    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = spread_out(found, parts_for(found.count())).repartition(n, "bucket").sortWithinPartitions("bucket")
+    made = checkpoint(dealt.mapInArrow(_buckets(limit, marks), "bucket long, a long, b long"))
+    links = made.where("bucket is null").select("a", "b")
+    rest = made.where("bucket is not null").select("bucket", F.col("a").alias("fp"))
+    sizes = checkpoint(rest.groupBy("bucket").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")))
+    if sizes.isEmpty():
+        return links
+    own = F.pmod(F.xxhash64("fp"), "tiles").cast("int")
     # A tile meets itself and every other one; the smaller number names the place's first side.
-    dealt = dealt.select("bucket", "fp", "table", own.alias("own"), F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1)).alias("other"))
+    dealt = rest.join(sizes, "bucket").select("bucket", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
     placed = dealt.select(
         F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("place"),
         (F.col("own") > F.col("other")).alias("side"),
         (F.col("own") != F.col("other")).alias("cross"),
         "fp",
-        "table",
     )
-
-    def run(batches):
-        forest, sent = Forest(), 0
-        kept = None
-        for batch in itertools.chain(batches, [None]):
-            if batch is not None:
-                kept = batch if kept is None else pa.concat_batches([kept, batch])
-                place = kept.column("place").to_numpy(zero_copy_only=False)
-                if place[0] == place[-1]:
-                    continue
-                end = int(np.searchsorted(place, place[-1]))
-            elif kept is None:
-                return
-            else:
-                end = len(kept)
-            part = kept.slice(0, end)
-            fp = part.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            table = np.frombuffer(b"".join(part.column("table").to_pylist()), np.uint8).reshape(end, -1).astype(np.int16)
-            side = part.column("side").to_numpy(zero_copy_only=False)
-            cross = part.column("cross").to_numpy(zero_copy_only=False)
-            _compare(part.column("place").to_numpy(zero_copy_only=False), side, cross, fp, table, limit, forest)
-            kept = kept.slice(end)
-            new = forest.links[sent:]
-            sent = len(forest.links)
-            if new:
-                ends = np.array(new, dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
-
-    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return placed.repartition(n, "place").sortWithinPartitions("place").mapInArrow(releasing(run), "a long, b long")
+    more = placed.repartition(n, "place").sortWithinPartitions("place").mapInArrow(_tiles(limit, marks), "a long, b long")
+    return links.union(more)
 
 
 def near_groups(
@@ -198,25 +263,15 @@ def near_groups(
     fingerprint zero, which is linked like any other. Texts of up to width words have one shingle. Null identifiers are
     linked, too, but are no component's identifier unless it has no other. Repeated rows each keep a row.
     """
-    if not 0 <= limit <= 4:
-        raise ValueError("limit must be 0 to 4: more changed bits could touch five parts of six")
     rows = checkpoint(fingerprints(df, id_col, text_col, width))
-    found = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    linked = components(near_links(found.select("fp"), limit, n_pivots))
-    rooted = found.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(smallest, "root").select("fp", "component_id")
+    found = checkpoint(rows.groupBy("fp").agg(F.min("id").alias("least")))
+    linked = components(near_links(found, limit, n_pivots))
+    # Of the fingerprints in links alone: all others are components of their own.
+    members = linked.union(linked.select("root", "root").distinct())
+    rooted = checkpoint(members.join(found, F.col("node") == F.col("fp")).select("fp", "root", "least"))
+    smallest = checkpoint(rooted.groupBy("root").agg(F.min("least").alias("reached")))
+    reached = rooted.select("fp", "root").join(smallest, "root").select(F.col("fp").alias("of"), "reached")
+    by_fp = checkpoint(found.join(reached, F.col("fp") == F.col("of"), "left").select("fp", F.coalesce("reached", "least").alias("component_id")))
     return rows.join(by_fp, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of df whose identifier is their component's smallest, with all their columns.
-
-    Identifiers are expected to be unique, as after exact deduplication; rows that share one stay together. A component
-    of null identifiers stays as it is.
-    """
-    groups = near_groups(df, id_col, text_col, **options)
-    gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone"))
-    return df.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
