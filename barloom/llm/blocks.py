@@ -25,6 +25,9 @@ from barloom.llm.common import release, releasing, small_batches
 BLOCK_BYTES = 6 << 20
 BLOCK_DOCS = 1 << 16
 
+#: Most buckets that lists are dealt to where a bucket answers them one by one: from there on rows grow with the input.
+MOST_BUCKETS = 4096
+
 Docs = tuple[list, list]  # identifiers (integers or None) and texts as UTF-8
 
 
@@ -108,28 +111,60 @@ def ask(df: DataFrame, keys: Callable[[Docs], list[bytes]]) -> DataFrame:
     return df.mapInArrow(releasing(run), "block long, bucket int, keys binary")
 
 
-def answer(asked: DataFrame, reply: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
-    """(block, bucket, answers): reply gets all lists of a bucket and gives an answer to each."""
+def answer(asked: DataFrame, begin: Callable[[], Callable[[bytes], bytes]]) -> DataFrame:
+    """(block, bucket, answers): begin() makes a function for a bucket, which answers each of its lists in turn.
+
+    Lists come and go one by one, in order of bucket, so a bucket may be of any size.
+    """
+
+    def run(batches):
+        bucket, reply = None, None
+        for batch in batches:
+            told = []
+            for b, keys in zip(batch.column("bucket").to_pylist(), batch.column("keys").to_pylist()):
+                if b != bucket:
+                    bucket, reply = b, begin()
+                told.append(reply(keys))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), pa.array(told, pa.binary())], schema=ANSWER)
+
+    dealt = asked.repartition("bucket").sortWithinPartitions("bucket", "block")
+    return dealt.mapInArrow(releasing(run), "block long, bucket int, answers binary")
+
+
+def answer_together(asked: DataFrame, reply: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
+    """(block, bucket, answers): reply gets all lists of a bucket, as many as spread() deals it, and answers each."""
 
     def run(group: pa.Table) -> pa.Table:
-        return pa.table([group["block"], group["bucket"], pa.array(reply(group["keys"].to_pylist()), pa.binary())], ANSWER)
+        return pa.table([group["block"], group["bucket"], pa.array(reply(group["keys"].to_pylist()), pa.binary())], schema=ANSWER)
 
     return asked.groupBy("bucket").applyInArrow(run, "block long, bucket int, answers binary")
 
 
 def meet(packed: DataFrame, answers: DataFrame, use: Callable[[Docs, dict[int, bytes]], pa.Table], schema: str) -> DataFrame:
-    """The rows that use makes of each block's documents and the answers to its lists by bucket."""
+    """The rows that use makes of each block's documents and the answers to its lists by bucket.
+
+    A block that isn't there any more, since the input came in another order when it was read again, has no rows.
+    """
+    empty = schema_of(schema).empty_table()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         told = dict(zip(right["bucket"].to_pylist(), right["answers"].to_pylist()))
         try:
-            return use(unpack_docs(left["docs"][0].as_py()), told)
+            return use(unpack_docs(left["docs"][0].as_py()), told) if left.num_rows else empty
         finally:
             release()
 
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
+#: Types of the columns that blocks return.
+TYPES = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
+
+
+def schema_of(text: str) -> pa.Schema:
+    return pa.schema([(name, TYPES[kind]) for name, kind in (c.split() for c in text.split(", "))])
+
+
 # Lists of words: the distinct words of a block, dealt by hash, in the order of their first occurrence.
 
 

@@ -70,19 +70,30 @@ def encode_words(spec: str, words: list[bytes], at_once: int = 1000) -> list[np.
     return found
 
 
-def replies(spec: str, lists: list[bytes]) -> list[bytes]:
-    """Encode each distinct word of all lists once; answer each list with its mark, the words' lengths and ids."""
-    words = [blocks.swell(x).split(b"\n") for x in lists]
+#: Ids that a bucket keeps of words that it has encoded: 64 MB or so; beyond, it begins anew.
+KEPT_IDS = 4 << 20
+
+
+def replies(spec: str):
+    """A function that answers a list with its mark, its words' lengths and ids; each distinct word is encoded once."""
     ids: dict[bytes, np.ndarray] = {}
-    for block in words:
-        new = [w for w in block if w not in ids]
-        ids.update(zip(new, encode_words(spec, new)))
-    out = []
-    for block in words:
-        found = [ids[w] for w in block]
+    size = 0
+
+    def reply(data: bytes) -> bytes:
+        nonlocal size
+        words = blocks.swell(data).split(b"\n")
+        if size > KEPT_IDS:
+            ids.clear()
+            size = 0
+        new = [w for w in words if w not in ids]
+        made = encode_words(spec, new)
+        ids.update(zip(new, made))
+        size += sum(len(x) + 8 for x in made)
+        found = [ids[w] for w in words]
         sizes = np.array([len(x) for x in found], dtype="<u4")
-        out.append(blocks.squeeze(blocks.mark(block) + sizes.tobytes() + np.concatenate(found).astype("<u4").tobytes()))
-    return out
+        return blocks.squeeze(blocks.mark(words) + sizes.tobytes() + np.concatenate(found).astype("<u4").tobytes())
+
+    return reply
 
 
 def joined(spec: str, docs: blocks.Docs, told: dict[int, bytes], buckets: int, keep: tuple[str, ...]) -> pa.Table:
@@ -135,9 +146,9 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     spec = load(path)
     _check(spec)
     rows = blocks.columns(df, id_col, text_col)
-    buckets = spread(df, 4 << 20)
+    buckets = spread(df, 4 << 20, blocks.MOST_BUCKETS)
     asked = blocks.ask(rows, blocks.word_keys(buckets))
-    told = blocks.answer(asked, lambda lists: replies(spec, lists))
+    told = blocks.answer(asked, lambda: replies(spec))
     out = blocks.meet(
         blocks.blocks(rows),
         told,

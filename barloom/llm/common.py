@@ -59,8 +59,9 @@ def input_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def spread(df: DataFrame, bytes_each: int, most: int = 1 << 15) -> int:
-    """How many buckets keep each at about bytes_each of input, at least one for each shuffle partition."""
+def spread(df: DataFrame, bytes_each: int, most: int) -> int:
+    """How many buckets keep each at about bytes_each of input, at least one for each shuffle partition and at most `most`:
+    where the size isn't known, the estimate is beyond all measure."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, min(most, -(-input_bytes(df) // bytes_each)))
 

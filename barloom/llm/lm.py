@@ -1,13 +1,14 @@
 """Language-model scoring with a weighted backoff automaton.
 
-States are the root and one state for each history (the start of a text, or a word). The arc of word w from history h has
-the smoothed weight (1 - L) c(h, w) / c(h) + L P(w); where h has no arc for w, the failure arc of weight L leads to the
-root, whose arc has P(w) = (c(w) + 1) / (N + V + 1). L depends on the size of c(h) and is fitted by leaving each training
-token out in turn. One pass from left to right carries the state and adds up log-probabilities.
+States are the root and one state for each history: the start of a text, or a word that another token followed in
+training. The arc of token w from history h has the smoothed weight (c(h, w) + T(h) P(w)) / (c(h) + T(h)), T(h) being how
+many kinds of tokens followed h (Witten and Bell); where h has no arc for w, its failure arc of weight T(h) / (c(h) + T(h))
+leads to the root, whose arcs have P(w) = (c(w) + 1) / (N + V + 1). The weights of each state sum to one. One pass over a
+text from left to right carries the state and adds up log-probabilities.
 
 The counts of words and of pairs of words never meet in one place: blocks of documents exchange their distinct words and
-pairs with buckets that hold the counts (barloom.llm.blocks). Arc weights are rounded down to a quarter of an octave, so
-that a block can state a text's path as counts of cells (size of c(h), weight against P(w)); L is fitted on the same cells.
+pairs with buckets that hold the counts (barloom.llm.blocks). Pairs are dealt by their history, so a bucket knows c(h) and
+T(h), and a block gets the arcs of its own texts, exactly.
 """
 
 from __future__ import annotations
@@ -22,16 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm import blocks
-from barloom.llm.common import checkpoint, remainder, spread
+from barloom.llm.common import checkpoint, releasing
 
-#: Sizes of c(h) by powers of 4, and weights by quarters of an octave; the last level stands for "no arc".
-SIZES, LEVELS, STEP = 16, 256, 4
-NO_ARC = LEVELS - 1
 START = np.uint64(0x9E3779B97F4A7C15)
+#: After one history tokens are told apart by so many bits of their hash.
+NEXT = np.uint64((1 << 48) - 1)
+#: Packed text for which there is one bucket.
+BUCKET_BYTES = 2 << 20
 
 
 def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """64-bit keys of (history, word) from their own 64-bit hashes; multiplication wraps."""
+    """64-bit keys of (history, token) from their hashes; multiplication wraps."""
     x = (before * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (word + np.uint64(0x165667B19E3779F9))
     x ^= x >> np.uint64(29)
     x *= np.uint64(0xBF58476D1CE4E5B9)
@@ -39,13 +41,12 @@ def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 class Tokens:
-    """The tokens of a block: numbers of its distinct words, each text's words followed by one end."""
+    """The tokens of a block (each text's words and one end), and its distinct words, histories and pairs, sorted by hash."""
 
     def __init__(self, docs: blocks.Docs, train: list[bool]):
-        texts = docs[1]
         number: dict[bytes, int] = {b"": 0}  # the end
         parts, sizes = [], []
-        for t in texts:
+        for t in docs[1]:
             words = t.lower().split()
             for w in words:
                 if w not in number:
@@ -54,244 +55,215 @@ class Tokens:
             parts.append(np.array([number[w] for w in words], dtype=np.int64))
             sizes.append(len(words))
         self.sizes = np.array(sizes, dtype=np.int64)
-        self.at = np.concatenate(parts)
         self.train = np.repeat(np.array(train, dtype=bool), self.sizes)
         hashes = np.array([xxhash.xxh64_intdigest(w, 7) for w in number], dtype=np.uint64)
-        first = np.cumsum(self.sizes) - self.sizes
-        self.word = hashes[self.at]
-        self.history = np.roll(self.word, 1)
-        self.history[first] = START
-        self.starts = int(sum(train))
+        self.words, by_number = np.unique(hashes, return_inverse=True)
+        self.word_at = by_number[np.concatenate(parts)]
+        before = np.roll(self.words[self.word_at], 1)
+        before[np.cumsum(self.sizes) - self.sizes] = START
+        self.histories, self.history_at = np.unique(before, return_inverse=True)
+        pairs, self.pair_at = np.unique(self.history_at * len(self.words) + self.word_at, return_inverse=True)
+        self.pair_history, self.pair_word = np.divmod(pairs, len(self.words))
 
-    def lists(self):
-        """Sorted distinct word keys and pair keys, each with training counts and each token's place among them."""
-        for keys in (self.word, pair_keys(self.history, self.word)):
-            known, place = np.unique(keys, return_inverse=True)
-            yield known, np.bincount(place[self.train], minlength=len(known)), place
+    def seen(self, at: np.ndarray, n: int) -> np.ndarray:
+        """How often each of n kinds is met in training."""
+        return np.bincount(at[self.train], minlength=n)
 
 
-def write_keys(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted keys as differences, by byte planes, and counts."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes() if len(keys) else b""
-    return struct.pack("<I", len(keys)) + planes + counts.astype("<u4").tobytes()
+def planes(values: np.ndarray, width: int = 8) -> bytes:
+    """Integers by byte planes: those of high bytes are mostly zeros."""
+    raw = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)
+    return np.ascontiguousarray(raw[:, :width].T).tobytes()
 
 
-def read_keys(data: bytes, at: int) -> tuple[np.ndarray, np.ndarray, int]:
-    n = struct.unpack_from("<I", data, at)[0]
-    planes = np.frombuffer(data, np.uint8, 8 * n, at + 4).reshape(8, n)
-    steps = np.ascontiguousarray(planes.T).view(np.uint64).reshape(n)
-    counts = np.frombuffer(data, "<u4", n, at + 4 + 8 * n).astype(np.int64)
-    return np.cumsum(steps, dtype=np.uint64), counts, at + 4 + 12 * n
+class Reader:
+    """Reads what planes() wrote, one array after the other."""
 
+    def __init__(self, data: bytes):
+        self.data, self.at = data, 0
 
-def bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's share of the sorted keys begins: buckets are equal ranges of keys."""
-    edges = np.array([(k << 64) // buckets for k in range(1, buckets)], dtype=np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+    def sizes(self, form: str) -> tuple[int, ...]:
+        got = struct.unpack_from(form, self.data, self.at)
+        self.at += struct.calcsize(form)
+        return got
 
+    def planes(self, n: int, width: int = 8) -> np.ndarray:
+        raw = np.zeros((n, 8), np.uint8)
+        raw[:, :width] = np.frombuffer(self.data, np.uint8, n * width, self.at).reshape(width, n).T
+        self.at += n * width
+        return raw.view("<u8").reshape(n).astype(np.uint64)
 
-def ask_counts(tokens: Tokens, buckets: int) -> list[bytes]:
-    (words, w_n, _), (pairs, p_n, _) = tokens.lists()
-    w_at, p_at = bounds(words, buckets), bounds(pairs, buckets)
-    return [
-        blocks.squeeze(write_keys(words[a:b], w_n[a:b]) + write_keys(pairs[c:d], p_n[c:d])) if b > a or d > c else b""
-        for a, b, c, d in zip(w_at, w_at[1:], p_at, p_at[1:])
-    ]
-
-
-def total(lists: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, place = np.unique(np.concatenate([k for k, _ in lists]), return_inverse=True)
-    return keys, np.bincount(place, weights=np.concatenate([n for _, n in lists]), minlength=len(keys)).astype(np.int64)
-
-
-def sum_counts(group: pa.Table) -> pa.Table:
-    """A bucket's answers: the counts over all blocks, in each list's order; a last row has its N and V."""
-    words, pairs = [], []
-    for data in group["keys"].to_pylist():
-        data = blocks.swell(data)
-        keys, n, at = read_keys(data, 0)
-        words.append((keys, n))
-        keys, n, _ = read_keys(data, at)
-        pairs.append((keys, n))
-    (w_keys, w_n), (p_keys, p_n) = total(words), total(pairs)
-    replies = []
-    for (w, _), (p, _) in zip(words, pairs):
-        counts = np.concatenate([w_n[np.searchsorted(w_keys, w)], p_n[np.searchsorted(p_keys, p)]])
-        replies.append(blocks.squeeze(struct.pack("<II", len(w), len(p)) + np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()))
-    bucket = group["bucket"][0].as_py()
-    return pa.table(
-        {
-            "block": [*group["block"].to_pylist(), -1],
-            "bucket": pa.array([bucket] * (group.num_rows + 1), pa.int32()),
-            "answers": pa.array([*replies, None], pa.binary()),
-            "n": [*[None] * group.num_rows, int(w_n.sum())],
-            "v": [*[None] * group.num_rows, int((w_n > 0).sum())],
-        }
-    )
-
-
-def told_counts(tokens: Tokens, told: dict[int, bytes], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each distinct word and pair of the block its count over all training documents, and each token's place."""
-    (words, _, w_place), (pairs, _, p_place) = tokens.lists()
-    w_n, p_n = np.zeros(len(words), np.int64), np.zeros(len(pairs), np.int64)
-    w_at, p_at = bounds(words, buckets), bounds(pairs, buckets)
-    for k in range(buckets):
-        w, p = w_at[k + 1] - w_at[k], p_at[k + 1] - p_at[k]
-        if not w + p:
-            continue
-        data = blocks.swell(told[k])
-        if struct.unpack_from("<II", data) != (w, p):
-            raise RuntimeError("the documents were dealt to other blocks when they were read again")
-        counts = np.ascontiguousarray(np.frombuffer(data, np.uint8, offset=8).reshape(4, w + p).T).view("<u4").reshape(-1)
-        w_n[w_at[k] : w_at[k + 1]], p_n[p_at[k] : p_at[k + 1]] = counts[:w], counts[w:]
-    return w_n, p_n, w_place, p_place
 
+def bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket's share of the sorted keys begins: buckets are equal ranges of hashes."""
+    edges = np.array([(k << 64) // buckets for k in range(1, buckets)], dtype=np.uint64)
+    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
-def cells(size: np.ndarray, arc: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Each token's cell: size of c(h) and level of c(h, w) / (c(h) (c(w) + 1)); -1 at the root, after an unknown history."""
-    with np.errstate(divide="ignore", invalid="ignore"):
-        level = np.ceil(-STEP * np.log2(arc / (size * (word + 1.0))) - 1e-9)
-        power = np.floor(np.log2(np.maximum(size, 1)) / 2)
-    level = np.where((arc > 0) & (size > 0), np.clip(np.nan_to_num(level, posinf=NO_ARC), 0, NO_ARC), NO_ARC)
-    return np.where(size > 0, np.minimum(power, SIZES - 1) * LEVELS + level, -1).astype(np.int64)
 
+class Lists:
+    """A block's lists by bucket: words, histories, and the pairs of those histories."""
 
-def write_cells(cell: np.ndarray) -> bytes:
-    at, n = np.unique(cell[cell >= 0], return_counts=True)
-    return blocks.squeeze(at.astype("<u2").tobytes() + n.astype("<u4").tobytes())
+    def __init__(self, tokens: Tokens, buckets: int):
+        self.t = tokens
+        self.words, self.histories = bounds(tokens.words, buckets), bounds(tokens.histories, buckets)
+        self.pairs = np.searchsorted(tokens.pair_history, self.histories)
 
+    def cuts(self, k: int) -> tuple[slice, slice, slice]:
+        return tuple(slice(b[k], b[k + 1]) for b in (self.words, self.histories, self.pairs))
 
-def read_cells(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    data = blocks.swell(data)
-    n = len(data) // 6
-    return np.frombuffer(data, "<u2", n).astype(np.int64), np.frombuffer(data, "<u4", n, 2 * n).astype(np.int64)
+    def keys(self, k: int) -> bytes:
+        """What list k asks for: its words, its histories, how many pairs each has, and the pairs' tokens."""
+        w, h, p = self.cuts(k)
+        words, histories = self.t.words[w], self.t.histories[h]
+        each = np.bincount(self.t.pair_history[p] - self.histories[k], minlength=len(histories))
+        following = self.t.words[self.t.pair_word[p]] & NEXT
+        steps = [planes(np.diff(x, prepend=np.uint64(0))) for x in (words, histories)]
+        return struct.pack("<III", len(words), len(histories), len(following)) + steps[0] + steps[1] + planes(each, 4) + planes(following, 6)
 
 
-PATH = "id long, held_out boolean, n_tokens long, n_known long, base double, path binary"
+def ask_counts(tokens: Tokens, buckets: int) -> list[bytes]:
+    """Each list's keys, and how often each word and pair is met in training."""
+    lists = Lists(tokens, buckets)
+    n_word, n_pair = tokens.seen(tokens.word_at, len(tokens.words)), tokens.seen(tokens.pair_at, len(tokens.pair_word))
+    out = []
+    for k in range(buckets):
+        w, h, p = lists.cuts(k)
+        empty = w.stop == w.start and h.stop == h.start
+        out.append(b"" if empty else blocks.squeeze(lists.keys(k) + planes(n_word[w]) + planes(n_pair[p])))
+    return out
+
+
+def total(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, their summed counts and where each is first."""
+    kinds, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    sums = np.zeros(len(kinds), np.int64)
+    np.add.at(sums, place, np.concatenate(counts).astype(np.int64))
+    return kinds, sums, first
+
+
+def sum_counts(lists: list[bytes]) -> list[bytes]:
+    """A bucket's answers to all its lists: each word's c(w), each history's c(h) and T(h), each pair's c(h, w)."""
+    words, histories, pairs, word_n, pair_n, owners, marks = [], [], [], [], [], [], []
+    for data in lists:
+        r = Reader(blocks.swell(data))
+        a, b, c = r.sizes("<III")
+        words.append(np.cumsum(r.planes(a), dtype=np.uint64))
+        histories.append(np.cumsum(r.planes(b), dtype=np.uint64))
+        owner = np.repeat(histories[-1], r.planes(b, 4).astype(np.int64))
+        pairs.append(pair_keys(owner, r.planes(c, 6)))
+        owners.append(owner)
+        marks.append(struct.pack("<IIII", a, b, c, zlib.crc32(r.data[: r.at])))
+        word_n.append(r.planes(a))
+        pair_n.append(r.planes(c))
+    w_keys, w_sum, _ = total(words, word_n)
+    p_keys, p_sum, p_first = total(pairs, pair_n)
+    known = np.unique(np.concatenate(histories))
+    of = np.searchsorted(known, np.concatenate(owners)[p_first])
+    met, kinds = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
+    np.add.at(met, of, p_sum)
+    np.add.at(kinds, of, p_sum > 0)
+    out = []
+    for mark, w, h, p in zip(marks, words, histories, pairs):
+        at = np.searchsorted(known, h)
+        told = [w_sum[np.searchsorted(w_keys, w)], met[at], kinds[at], p_sum[np.searchsorted(p_keys, p)]]
+        out.append(blocks.squeeze(mark + b"".join(planes(x) for x in told)))
+    return out
+
+
+class Automaton:
+    """The states and arcs that a block's texts meet: c(w) by word, c(h) and T(h) by history, c(h, w) by pair."""
+
+    def __init__(self, tokens: Tokens, told: dict[int, bytes], buckets: int):
+        lists = Lists(tokens, buckets)
+        self.word, self.pair = np.zeros(len(tokens.words)), np.zeros(len(tokens.pair_word))
+        self.met, self.kinds = np.zeros(len(tokens.histories)), np.zeros(len(tokens.histories))
+        for k in range(buckets):
+            w, h, p = lists.cuts(k)
+            if w.stop == w.start and h.stop == h.start:
+                continue
+            r = Reader(blocks.swell(told[k]))
+            keys = lists.keys(k)
+            if r.sizes("<IIII") != (*struct.unpack_from("<III", keys), zlib.crc32(keys)):
+                raise RuntimeError("an answer is to other words than this block has")
+            for into, cut in ((self.word, w), (self.met, h), (self.kinds, h), (self.pair, p)):
+                into[cut] = r.planes(cut.stop - cut.start)
+
+    def log_weights(self, tokens: Tokens, z: float) -> np.ndarray:
+        """log10 of what the path of each token weighs: its state's arc, or the failure arc and the root's.
+
+        The state before a token is its history; a history that nothing followed in training has none, and the root
+        stands for it.
+        """
+        root = (self.word + 1)[tokens.word_at] / z
+        met, kinds = self.met[tokens.history_at], self.kinds[tokens.history_at]
+        arc = self.pair[tokens.pair_at]
+        return np.log10(np.where(met > 0, (arc + kinds * root) / np.maximum(met + kinds, 1), root))
+
+
+SCORED = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def walk(docs: blocks.Docs, told: dict[int, bytes], train: list[bool], buckets: int, n: int, z: float) -> pa.Table:
+    """Walk the automaton over each text of a block."""
+    tokens = Tokens(docs, train)
+    automaton = Automaton(tokens, told, buckets)
+    first = np.cumsum(tokens.sizes) - tokens.sizes
+    count = automaton.word[tokens.word_at]
 
+    def summed(values: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values, first)
 
-def walk(docs: blocks.Docs, told: dict[int, bytes], train: list[bool], buckets: int, starts: int) -> pa.Table:
-    """Walk the automaton over each text of a block; a last row (id null, held_out null) has the left-out cells."""
-    tokens = Tokens(docs, train)
-    w_n, p_n, w_place, p_place = told_counts(tokens, told, buckets)
-    word, arc = w_n[w_place], p_n[p_place]
-    ends = np.cumsum(tokens.sizes)
-    first = ends - tokens.sizes
-    # c(h): a history's own count; the end is nobody's history
-    size = np.roll(word, 1)
-    size[first] = starts
-    # a start's count isn't a word's: a text that begins has the start state
-    state = cells(size, arc, word)
-    base = np.add.reduceat(np.log10(word + 1.0), first)
-    known = np.add.reduceat((word > 0).astype(np.int64), first)
-    paths = [write_cells(state[a:b]) for a, b in zip(first.tolist(), ends.tolist())]
-    at, out = tokens.train, []
-    if at.any():
-        out = [write_cells(cells(size[at] - 1, arc[at] - 1, word[at] - 1))]
-    none = [None] * len(out)
     return pa.table(
         {
-            "id": pa.array([*docs[0], *none], pa.int64()),
-            "held_out": pa.array([*(not t for t in train), *none], pa.bool_()),
-            "n_tokens": pa.array([*tokens.sizes.tolist(), *none], pa.int64()),
-            "n_known": pa.array([*known.tolist(), *none], pa.int64()),
-            "base": pa.array([*base.tolist(), *none], pa.float64()),
-            "path": pa.array([*paths, *out], pa.binary()),
+            "id": pa.array(docs[0], pa.int64()),
+            "held_out": pa.array([not t for t in train], pa.bool_()),
+            "n_tokens": pa.array(tokens.sizes),
+            "n_known": pa.array(summed((count > 0).astype(np.int64))),
+            "train_tokens": pa.array([n] * len(train), pa.int64()),
+            "base_score": pa.array(summed(np.log10((count + 1) / z))),
+            "score": pa.array(summed(automaton.log_weights(tokens, z))),
         }
     )
 
 
-def weight_of(levels: np.ndarray, z: float) -> np.ndarray:
-    """An arc's weight against P(w), from its level."""
-    return np.where(levels == NO_ARC, 0.0, 2.0 ** (-levels / STEP) * z)
-
-
-def fit_failure(counts: np.ndarray, z: float, rounds: int = 200) -> np.ndarray:
-    """The failure weight for each size of c(h): expectation-maximisation on the left-out cells (SIZES x LEVELS)."""
-    fail = np.full(SIZES, 0.5)
-    against = weight_of(np.arange(LEVELS), z)[None, :]
-    n = counts.sum(1)
-    for _ in range(rounds):
-        root = fail[:, None] / (fail[:, None] + (1 - fail[:, None]) * against)
-        new = (counts * root).sum(1)
-        fail = np.clip((new + 1) / (n + 1), 1e-6, 1.0)  # one more token that no arc foresaw
-    return fail
-
-
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = 7, held: int = 2) -> DataFrame:
     """One row for each row of df: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the words (A-Z lower-cased; runs of anything but ASCII white space) and one end. The model learns from
     the rows whose crc32 of the identifier as text, modulo divisor, isn't held. base_score is the add-one unigram's log10
     probability, score the automaton's. Null and empty texts have the end alone. Identifiers are integers and may be null
-    (the empty string's crc32 then decides) or repeat. Without training rows every P(w) is 1 / (N + V + 1) = 1.
+    (the empty string's crc32 then decides) or repeat. Without training rows every P(w) is 1 / (N + V + 1) = 1. Words are
+    told apart by a 64-bit hash; counts have 64 bits.
     """
     rows = blocks.columns(df, id_col, text_col)
-    buckets = spread(df, 4 << 20)
-    starts = rows.where(remainder(F.col("id"), divisor) != held).count()
+    # read by all that follows: the blocks are cut once, whatever order the input comes in
+    packed = checkpoint(blocks.blocks(rows))
+    size = packed.agg(F.sum(F.octet_length("docs"))).first()[0] or 0
+    buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
 
     def training(docs: blocks.Docs) -> list[bool]:
         return [zlib.crc32(b"" if i is None else str(i).encode()) % divisor != held for i in docs[0]]
 
-    asked = blocks.ask(rows, lambda docs: ask_counts(Tokens(docs, training(docs)), buckets))
-    schema = "block long, bucket int, answers binary, n long, v long"
-    told = checkpoint(asked.groupBy("bucket").applyInArrow(sum_counts, schema))
-    sums = told.where("block = -1").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
-    n, v = sums["n"] or 0, sums["v"] or 0
-    walked = checkpoint(
-        blocks.meet(
-            blocks.blocks(rows),
-            told.where("block >= 0").select("block", "bucket", "answers"),
-            lambda docs, answers: walk(docs, answers, training(docs), buckets, starts),
-            PATH,
-        )
-    )
-    z = float(n + v + 1)
-    fail = fit_failure(_left_out(walked), z)
-
-    def finish(batches):
-        ratio = np.log10(fail[:, None] + (1 - fail[:, None]) * weight_of(np.arange(LEVELS), z)[None, :])
+    def kinds(batches):
         for batch in batches:
-            got = batch.to_pydict()
-            extra = []
-            for data in got["path"]:
-                at, times = read_cells(data)
-                size, level = at // LEVELS, at % LEVELS
-                gain = ratio[size, level]
-                extra.append(float((gain * times).sum()))
-            base = np.array(got["base"]) - np.array(got["n_tokens"]) * np.log10(z)
-            yield pa.RecordBatch.from_pydict(
-                {k: got[k] for k in ("id", "held_out", "n_tokens", "n_known")}
-                | {"train_tokens": [n] * len(extra), "base_score": base, "score": base + np.array(extra)},
-                pa.schema(
-                    [("id", pa.int64()), ("held_out", pa.bool_())]
-                    + [(k, pa.int64()) for k in ("n_tokens", "n_known", "train_tokens")]
-                    + [("base_score", pa.float64()), ("score", pa.float64())]
-                ),
-            )
-
-    out = walked.where("held_out is not null").mapInArrow(
-        finish,
-        "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
-    )
-    return out.withColumnRenamed("id", id_col)
+            for data in batch.column("docs").to_pylist():
+                docs = blocks.unpack_docs(data)
+                tokens = Tokens(docs, training(docs))
+                n = tokens.seen(tokens.word_at, len(tokens.words))
+                yield pa.RecordBatch.from_pydict({"word": tokens.words[n > 0].view(np.int64), "n": n[n > 0]})
 
-
-def _left_out(walked: DataFrame) -> np.ndarray:
-    """The left-out cells of all blocks, summed: at most SIZES x LEVELS rows reach the driver."""
-
-    def run(batches):
+    def asking(batches):
         for batch in batches:
-            whole = np.zeros(SIZES * LEVELS, np.int64)
-            for data in batch.column("path").to_pylist():
-                at, n = read_cells(data)
-                np.add.at(whole, at, n)
-            used = np.flatnonzero(whole)
-            yield pa.RecordBatch.from_pydict({"cell": used.astype(np.int32), "n": whole[used]})
-
-    table = np.zeros(SIZES * LEVELS)
-    found = walked.where("held_out is null").select("path").mapInArrow(run, "cell int, n long")
-    for row in found.groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        table[row["cell"]] = row["n"]
-    return table.reshape(SIZES, LEVELS)
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("docs").to_pylist()):
+                docs = blocks.unpack_docs(data)
+                lists = ask_counts(Tokens(docs, training(docs)), buckets)
+                used = [k for k, x in enumerate(lists) if x]
+                yield pa.RecordBatch.from_pydict({"block": [block] * len(used), "bucket": used, "keys": [lists[k] for k in used]}, blocks.ASK)
+
+    counts = packed.mapInArrow(releasing(kinds), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
+    n, v = sums["n"] or 0, sums["v"]
+    asked = packed.mapInArrow(releasing(asking), "block long, bucket int, keys binary")
+    told = blocks.answer_together(asked, sum_counts)
+    out = blocks.meet(packed, told, lambda docs, answers: walk(docs, answers, training(docs), buckets, n, float(n + v + 1)), SCORED)
+    return out.withColumnRenamed("id", id_col)

@@ -68,7 +68,7 @@ def _shrunk_sql(level: str, above: str, up: str) -> str:
     return f"""
 {level}_all AS (
   SELECT sum(n)::DOUBLE AS t, count(*) AS g, sum(bad)::DOUBLE / sum(n) AS p,
-         sum(bad::DOUBLE * bad / n) AS sq, sum(n * n)::DOUBLE AS n2
+         sum(bad::DOUBLE * bad / n) AS sq, sum(n::DOUBLE * n) AS n2
   FROM {level}_n WHERE n > 0
 ), {level}_k AS (
   SELECT coalesce(CASE WHEN var > 0 THEN greatest(1.0, least(1000.0, p * (1 - p) / var - 1)) ELSE 1000.0 END, 1000.0)::DOUBLE AS k
@@ -106,8 +106,8 @@ WITH parts AS (
   FROM said
 ), host_n AS (
   SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS bad,
-         CASE WHEN contains(host, '.') THEN split_part(host, '.', -2) || '.' || split_part(host, '.', -1) ELSE host END AS domain,
-         split_part(host, '.', -1) AS suffix
+         any_value(CASE WHEN regexp_matches(host, '__CO__') THEN regexp_extract(host, '[^.]*[.][^.]*[.][^.]*$') WHEN contains(host, '.') THEN regexp_extract(host, '[^.]*[.][^.]*$') ELSE host END) AS domain,
+         any_value(CASE WHEN regexp_matches(host, '__CO__') THEN regexp_extract(host, '[^.]*[.][^.]*$') ELSE split_part(host, '.', -1) END) AS suffix
   FROM outcomes GROUP BY host
 ), domain_n AS (
   SELECT domain, suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM host_n GROUP BY domain, suffix
@@ -121,7 +121,7 @@ SELECT page_id, host, path, rule,
        CASE WHEN bad = 1 THEN 'block' WHEN bad = 0 THEN 'allow'
             WHEN mean - 1.645 * sqrt(mean * (1 - mean) / (weight + 1)) > 0.5 THEN 'block' ELSE 'allow' END AS verdict
 FROM (SELECT o.*, h.mean, h.weight FROM outcomes o JOIN host_m h ON o.host = h.host)
-"""
+""".replace("__CO__", "[.](" + "|".join(url_filter.SECOND) + ")[.][^.][^.]$")
 
 def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))

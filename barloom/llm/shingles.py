@@ -1,12 +1,17 @@
-"""Near-deduplication by the Jaccard likeness of word shingles; no pair that reaches the likeness is lost.
+"""Near-deduplication by SimHash and by the Jaccard likeness of word shingles; no pair that reaches the likeness is lost.
 
-Each text is the set of hashes of its runs of five words. All sets are sorted by one order, in which hashes that are
-common in a sample come last. Two sets of likeness t share one of their first n - ceil(t * n) + 1 hashes, n being the
-set's own size, so texts only meet under those hashes, most of which no other text has. Texts that meet are compared by
-their whole sets. The order decides how many texts meet, never what is found.
+Proposals are verified by the Jaccard likeness of whole texts; only verified links count.
 
-A hash under which many texts meet is split in tiles, and pairs of tiles are compared in different tasks. A task links
-texts that it finds alike and compares none that are linked already.
+1. SimHash: texts of one fingerprint, and of fingerprints that the pivot tables leave (barloom.llm.simhash), are proposed.
+   That finds most copies, and all of large groups, at one comparison each; but no Hamming limit is sure to reach every
+   pair of a given Jaccard likeness.
+2. So each text also has its first hashes. All sets of shingles are sorted by one order, in which hashes that are common
+   in a sample come last. Two sets of likeness t share one of their first n - ceil(t * n) + 1 hashes, n being the set's
+   own size, so alike texts meet under those hashes, most of which no other text has. The order decides how many texts
+   meet, never what is found. Under each hash the text of the smallest component is proposed to the other components.
+3. What then still meets under a hash without being linked is compared text by text, so that nothing is left out. Hashes
+   under which the same components meet are one place. A place with many texts is split in tiles, and pairs of tiles are
+   compared in different tasks. A task returns the links that joined something, never all pairs.
 """
 
 from __future__ import annotations
@@ -20,36 +25,49 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import checkpoint, releasing, small_batches
-from barloom.llm.components import components
-from barloom.llm.simhash import Forest
+from barloom.llm.common import checkpoint, free_name, releasing, small_batches
+from barloom.llm.components import Forest, components
+from barloom.llm.simhash import near_links
 
 #: About how many texts the order is taken from, and over how many counters (a power of two) their hashes are spread.
 SAMPLE, COUNTERS = 65_536, 1 << 20
 #: Counters travel in so many pieces.
 PIECES = 64
-#: Most texts that meet under a hash in one tile.
-TILE = 1024
+#: Most texts of a place in one tile.
+TILE = 256
+#: Times that the texts under a hash are proposed to the smallest component there before all others are compared.
+ROUNDS = 2
 
 
-def shingles(text: bytes, width: int) -> np.ndarray:
-    """The sorted, distinct XXH64 (seed 42) of the text's runs of width words; a text of fewer words is one run."""
+def run_hashes(text: bytes, width: int) -> np.ndarray:
+    """The XXH64 (seed 42) of each run of width words, A-Z lower-cased; a text of fewer words is one run."""
     words = text.lower().split()
     digest = xxhash.xxh64_intdigest
-    if len(words) <= width:
-        return np.array([digest(b" ".join(words), 42)], dtype=np.uint64)
     whole = b" ".join(words)
+    if len(words) <= width:
+        return np.array([digest(whole, 42)], dtype=np.uint64)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
-    hashes = [digest(whole[a:b], 42) for a, b in zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist())]
-    return np.unique(np.array(hashes, dtype=np.uint64))
+    return np.array([digest(whole[a:b], 42) for a, b in zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist())], dtype=np.uint64)
+
+
+def shingles(text: bytes, width: int) -> np.ndarray:
+    """The sorted, distinct hashes of a text's runs of words."""
+    return np.unique(run_hashes(text, width))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash fingerprint: bits set in over half of the hashes, repeats included."""
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    over = bits.sum(0, dtype=np.int64) * 2 > len(hashes)
+    return int(np.packbits(over, bitorder="little").view("<u8")[0])
 
 
 def sample_counts(texts: DataFrame, width: int) -> np.ndarray:
     """How often hashes fall on each counter in a sample of texts (text)."""
     every = max(1, texts.count() // SAMPLE)
-    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).repartition(16)
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
 
     def count(batches):
         sums = np.zeros(COUNTERS, np.uint32)
@@ -64,7 +82,7 @@ def sample_counts(texts: DataFrame, width: int) -> np.ndarray:
         n = np.minimum(sums, 65_535).astype(np.uint16).tobytes()
         return pa.table({"piece": table.column("piece")[:1], "n": pa.array([n], pa.binary())})
 
-    pieces = some.select("text").mapInArrow(releasing(count), "piece int, n binary")
+    pieces = some.select("text").coalesce(16).mapInArrow(releasing(count), "piece int, n binary")
     found = {r["piece"]: r["n"] for r in pieces.groupBy("piece").applyInArrow(add, "piece int, n binary").collect()}
     if not found:
         return np.zeros(COUNTERS, np.uint16)
@@ -87,6 +105,62 @@ def alike(a: np.ndarray, b: np.ndarray, likeness: Fraction) -> bool:
     return both * likeness.denominator >= (len(a) + len(b) - both) * likeness.numerator
 
 
+def key(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """What tells rows apart: the identifier, and for identifiers that repeat a hash of the text."""
+    return F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def profiles(df: DataFrame, id_col: str, text_col: str, likeness: Fraction, width: int) -> DataFrame:
+    """(node, id, h, fp, first): a number, the key, the fingerprint and the first hashes of each distinct key."""
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")
+    own, h = key(id_col, text_col)
+    rows = small_batches(df).select(own.alias("id"), h.alias("h"), text)
+    counts = sample_counts(rows.select("text"), width)
+    kind = dict(rows.dtypes)["id"]
+
+    def run(batches):
+        for batch in batches:
+            fps, firsts = [], []
+            for t in batch.column("text").to_pylist():
+                hashes = run_hashes(t, width)
+                fps.append(majority(hashes) if t.split() else 0)
+                firsts.append(first(np.unique(hashes), counts, likeness).view(np.int64))
+            made = pa.ListArray.from_arrays(
+                pa.array(np.concatenate([[0], np.cumsum([len(f) for f in firsts])]).astype(np.int32)),
+                pa.array(np.concatenate(firsts) if firsts else np.zeros(0, np.int64)),
+            )
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("h"), pa.array(np.array(fps, np.uint64).view(np.int64)), made], ["id", "h", "fp", "first"]
+            )
+
+    made = rows.mapInArrow(releasing(run), f"id {kind}, h long, fp long, first array<long>")
+    made = checkpoint(made.withColumn("node", F.monotonically_increasing_id()))
+    return made.groupBy("id", "h").agg(F.min("node").alias("node"), F.min("fp").alias("fp"), F.any_value("first").alias("first"))
+
+
+def verified(proposed: DataFrame, texts: DataFrame, likeness: Fraction, width: int) -> DataFrame:
+    """The pairs of nodes of proposed (a, b) whose texts (node, text) are alike."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            last, held = None, None
+            for a, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "x", "y"))):
+                if a != last:
+                    last, held = a, shingles(x, width)
+                keep.append(alike(held, shingles(y, width), likeness))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    x = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
+    y = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
+    return checkpoint(proposed.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(releasing(run), "a long, b long"))
+
+
+def rooted(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """met with root: the smallest node that a node is linked to."""
+    return met.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select(*met.columns, F.coalesce("root", "node").alias("root"))
+
+
 def _meet(nodes: list[int], sets: list[np.ndarray], sides: list[bool], cross: bool, likeness: Fraction, forest: Forest) -> None:
     """Link what is alike among the texts of one place; where tiles cross, texts of different sides only."""
     trees: dict[int, list[int]] = {}
@@ -107,32 +181,26 @@ def _meet(nodes: list[int], sets: list[np.ndarray], sides: list[bool], cross: bo
         trees[root] = sorted(joined, key=lambda m: len(sets[m])) if len(joined) > 1 else joined
 
 
-def near_links(texts: DataFrame, likeness: Fraction, width: int) -> DataFrame:
-    """(a, b): enough links between the nodes of texts (node, text) to connect what is connected."""
-    counts = sample_counts(texts, width)
-
-    def spread(batches):
-        for batch in batches:
-            found = [first(shingles(t, width), counts, likeness) for t in batch.column("text").to_pylist()]
-            if found:
-                nodes = np.repeat(batch.column("node").to_numpy(), [len(f) for f in found])
-                hashes = np.concatenate(found).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(nodes)], ["hash", "node"])
-
-    rows = texts.mapInArrow(releasing(spread), "hash long, node long")
-    met = rows.withColumn("n", F.count("*").over(Window.partitionBy("hash"))).where("n > 1")
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("node"), tiles).cast("int")
+def compared(met: DataFrame, texts: DataFrame, likeness: Fraction, width: int) -> DataFrame:
+    """(a, b): links between the nodes of met (hash, node, root) that have a hash in common and are alike; enough of them
+    to connect what is connected, given that nodes of one root are."""
+    here = met.groupBy("hash", "root").agg(F.lit(1).alias("one"))
+    several = here.groupBy("hash").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("root")).alias("which")).where("n > 1")
+    several = checkpoint(several.select("hash", F.xxhash64("n", "which").alias("spot")))
+    placed = checkpoint(met.join(several, "hash").select("spot", "node", "root").distinct())
+    tiles = checkpoint(placed.groupBy("spot").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")))
+    own = F.pmod(F.xxhash64("node"), "tiles").cast("int")
     # A tile meets itself and every other one; the smaller number names the place's first side.
-    dealt = met.select("hash", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
-    placed = dealt.select(
-        F.xxhash64("hash", F.least("own", "other"), F.greatest("own", "other")).alias("place"),
+    dealt = placed.join(tiles, "spot").select("spot", "node", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    dealt = dealt.select(
+        F.xxhash64("spot", F.least("own", "other"), F.greatest("own", "other")).alias("place"),
         (F.col("own") > F.col("other")).alias("side"),
         (F.col("own") != F.col("other")).alias("cross"),
         "node",
+        "root",
     )
 
-    def compare(batches):
+    def run(batches):
         forest, sent, kept = Forest(), 0, None
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
@@ -145,11 +213,13 @@ def near_links(texts: DataFrame, likeness: Fraction, width: int) -> DataFrame:
                 return
             else:
                 end, place = len(kept), kept.column("place").to_numpy()
-            nodes = kept.column("node").to_pylist()
+            nodes, roots = kept.column("node").to_pylist(), kept.column("root").to_pylist()
             side, cross = (kept.column(c).to_pylist() for c in ("side", "cross"))
             texts = kept.column("text")
             cuts = [0, *(np.flatnonzero(np.diff(place[:end])) + 1).tolist(), end]
             for a, b in itertools.pairwise(cuts):
+                for x, r in zip(nodes[a:b], roots[a:b]):
+                    forest.join(x, r)
                 if b - a > 1 and len({forest.root(x) for x in nodes[a:b]}) > 1:
                     sets = [shingles(texts[k].as_py(), width) for k in range(a, b)]
                     _meet(nodes[a:b], sets, side[a:b], cross[a], likeness, forest)
@@ -160,29 +230,67 @@ def near_links(texts: DataFrame, likeness: Fraction, width: int) -> DataFrame:
                 ends = np.array(new, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
 
-    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    full = placed.join(texts, "node").repartition(n, "place").sortWithinPartitions("place")
-    return full.select("place", "side", "cross", "node", "text").mapInArrow(releasing(compare), "a long, b long")
+    n = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    full = dealt.join(texts, "node").repartition(n, "place").sortWithinPartitions("place")
+    return full.select("place", "side", "cross", "node", "root", "text").mapInArrow(releasing(run), "a long, b long")
 
 
-def _node(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+def linked(df: DataFrame, id_col: str, text_col: str, likeness: Fraction, width: int, limit: int, n_pivots: int) -> tuple[DataFrame, DataFrame]:
+    """(nodes, roots): nodes has node, id and h of each distinct key; roots (node, root) the nodes that aren't their own."""
+    nodes = checkpoint(profiles(df, id_col, text_col, likeness, width))
+    hashes = nodes.select("node", F.explode("first").alias("hash"))
+    met = checkpoint(hashes.withColumn("n", F.count("*").over(Window.partitionBy("hash"))).where("n > 1").select("hash", "node"))
+    # SimHash: a text and the smallest of its fingerprint, and the smallest ones of near fingerprints.
+    found = checkpoint(nodes.groupBy("fp").agg(F.min("node").alias("least")))
+    same = nodes.join(found, "fp").where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    near = near_links(found.select("fp"), limit, n_pivots)
+    ends = [found.select(F.col("fp").alias(c), F.col("least").alias(f"of_{c}")) for c in "ab"]
+    near = near.join(ends[0], "a").join(ends[1], "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    proposed = checkpoint(same.union(near))
+    # The texts of all nodes that anything is ever proposed for.
+    wanted = proposed.select("a").union(proposed.select("b")).union(met.select("node")).distinct().toDF("_n")
+    wanted = nodes.join(wanted, F.col("node") == F.col("_n"), "left_semi").select("node", F.col("id").alias("_id"), F.col("h").alias("_h"))
+    own, h = key(id_col, text_col)
+    said = df.select(own.alias("id"), h.alias("h"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    texts = said.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("node", "text")
+    texts = checkpoint(texts.dropDuplicates(["node"]))
+    links = verified(proposed, texts, likeness, width)
+    roots = components(links)
+    for _ in range(ROUNDS):
+        here = rooted(met, roots)
+        lead = F.min(F.struct("root", "node")).over(Window.partitionBy("hash")).alias("lead")
+        pairs = here.select("node", "root", lead).where("root != lead.root")
+        turn = F.min(F.struct(F.col("node").alias("a"), F.col("lead.node").alias("b"))).alias("e")
+        proposed = checkpoint(pairs.groupBy("root", F.col("lead.root").alias("to")).agg(turn).select("e.a", "e.b"))
+        more = verified(proposed, texts, likeness, width)
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        roots = components(links)
+    more = checkpoint(compared(rooted(met, roots), texts, likeness, width))
+    if not more.isEmpty():
+        roots = components(links.union(more))
+    return nodes, roots
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", likeness: float = 0.8, width: int = 5) -> DataFrame:
+def keep_one(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", likeness: float = 0.8, width: int = 5, limit: int = 4, n_pivots: int = 16
+) -> DataFrame:
     """The rows of df, with all their columns, without those linked to a row of smaller identifier.
 
     Rows are linked at a Jaccard likeness of `likeness` or more between their sets of width-word shingles, and over other
     rows. Null text counts as empty, and texts without words are alike. Of each component one row stays: the smallest
-    identifier, nulls last, then the smallest hash of identifier and text; rows that share both stay or go together.
+    identifier, nulls last, then the smallest hash of the text; rows that agree in identifier and text stay or go together.
+    limit and n_pivots are those of the SimHash fingerprints that propose links; they don't change the result.
     """
     ratio = Fraction(likeness).limit_denominator(1000)
-    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    texts = small_batches(df).select(_node(id_col, text_col).alias("node"), text.alias("text"))
-    linked = checkpoint(components(near_links(texts, ratio, width)))
-    members = linked.union(linked.select("root", "root").distinct())
-    ids = df.select(_node(id_col, text_col).alias("node"), F.col(id_col).alias("id"))
-    turn = F.struct(F.col("id").isNull().alias("last"), "id", "node")
-    best = members.join(ids, "node").groupBy("root").agg(F.min(turn)["node"].alias("best"))
-    gone = members.join(best, "root").where("node != best").select(F.col("node").alias("_gone"))
-    return df.join(gone, _node(id_col, text_col) == F.col("_gone"), "left_anti")
+    nodes, roots = linked(df, id_col, text_col, ratio, width, limit, n_pivots)
+    members = roots.union(roots.select("root", "root").distinct())
+    named = checkpoint(members.join(nodes.select(F.col("node").alias("_n"), "id", "h"), F.col("node") == F.col("_n")).drop("_n"))
+    turn = F.struct(F.col("id").isNull().alias("last"), "id", "h", "node")
+    best = checkpoint(named.groupBy("root").agg(F.min(turn)["node"].alias("best")))
+    gone = checkpoint(named.join(best, "root").where("node != best").select(F.col("id").alias("id"), "h"))
+    own, h = key(id_col, text_col)
+    mark = free_name(df, "gone")
+    gone = gone.toDF(f"{mark}i", f"{mark}h")
+    return df.join(gone, own.eqNullSafe(F.col(f"{mark}i")) & (h == F.col(f"{mark}h")), "left_anti")

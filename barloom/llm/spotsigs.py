@@ -1,9 +1,9 @@
 """SpotSigs document fingerprints, in DataFrame operations only.
 
-A signature is a common word (the anchor) and the chain of content words that follows it, up to the next anchor or the
-chain's length. A document's fingerprint is the sorted set of its signatures' 32-bit hashes. Sets are partitioned by
-length, so that sets whose lengths alone rule out the wanted likeness are never intersected; the rest is compared by
-Jaccard.
+A signature is an anchor and the chain of content words that follows it, up to the next anchor or the chain's length.
+Anchors are common words, the beginning of a text, and, so that texts of any language have some, words whose hash says so
+(one in eight). The rule is the same for all texts, long or short. A document's fingerprint is the sorted set of its
+signatures' 32-bit hashes; fingerprints are compared by Jaccard.
 """
 
 from __future__ import annotations
@@ -24,45 +24,33 @@ ANCHORS = (
 ).split()
 #: A rare character that no word has, in front of anchors.
 SPOT = "\u0001"
-#: Likeness under which two sets count as unlike (0) without being intersected.
-LEAST = 0.05
+#: One in so many words is an anchor whatever it means.
+SAMPLED = 8
 #: Most ranges that identifiers are cut in to find each document's next one.
 MOST_RANGES = 1 << 16
 
 
-def with_signatures(df: DataFrame, text: str, out: str, chain: int = 2, few: int = 8, anchors=tuple(ANCHORS)) -> DataFrame:
+def with_signatures(df: DataFrame, text: str, out: str, chain: int = 2, anchors=tuple(ANCHORS)) -> DataFrame:
     """df with out: the sorted, distinct hashes (0 to 2^32 - 1) of the signatures of column text.
 
-    Words are runs of letters and digits, lower-cased. A text with fewer than `few` chains, such as a short one or one in
-    another language, has single words, too: of each distinct word's hash, a share of 1 - chains / few of all hashes is
-    taken, the smallest first. One chain more or less thus changes the words by an eighth, never all of them; two texts
-    share the words that both take. A text without words has none.
+    Words are runs of letters and digits, lower-cased. An anchor right before another one has no chain. A text without
+    words has no signature, any other at least one: its beginning's, or its anchors alone if it has only those.
     """
     words, chains = f"_{out}_words", f"_{out}_chains"
 
     def spotted(w: Column) -> Column:
-        return F.when(w.isin(*anchors), F.concat(F.lit(SPOT), w)).otherwise(w)
+        sampled = F.pmod(F.xxhash64(w), F.lit(SAMPLED)) == 0
+        return F.when(w.isin(*anchors) | sampled, F.concat(F.lit(SPOT), w)).otherwise(w)
 
-    marked = F.split(F.array_join(F.transform(words, spotted), " "), SPOT)
-    cut = F.transform(F.slice(marked, 2, 1 << 30), lambda s: F.substring_index(F.rtrim(s), " ", chain + 1))
-
-    def hashed(strings: Column) -> Column:
-        return F.transform(strings, lambda s: F.xxhash64(s).bitwiseAND(F.lit(0xFFFFFFFF)))
-
-    def below(most: int):
-        return lambda h: h < F.lit(most)
-
-    # For each number of chains a branch with a constant: a count inside the lambda would be worked out for each word.
-    used = hashed(F.col(chains))
-    for n in range(few):
-        share = (1 << 32) * (few - n) // few
-        single = F.filter(hashed(F.filter(words, lambda w: w != "")), below(share))
-        used = F.when(F.size(chains) == n, F.concat(hashed(F.col(chains)), single)).otherwise(used)
+    marked = F.split(F.array_join(F.transform(F.filter(words, lambda w: w != ""), spotted), " "), SPOT)
+    first = F.concat(F.lit("^ "), F.element_at(marked, 1))
+    cut = F.transform(F.concat(F.array(first), F.slice(marked, 2, 1 << 30)), lambda s: F.substring_index(F.rtrim(s), " ", chain + 1))
+    whole = F.filter(cut, lambda s: F.contains(s, F.lit(" ")))
     # A column for each step: the optimizer then computes none of them twice.
     return (
         df.withColumn(words, F.split(F.lower(text), r"[^\p{L}\p{N}]+"))
-        .withColumn(chains, F.filter(cut, lambda s: F.contains(s, F.lit(" "))))
-        .withColumn(out, F.array_sort(F.array_distinct(used)))
+        .withColumn(chains, F.when(F.size(whole) > 0, whole).otherwise(F.filter(cut, lambda s: s != "^")))
+        .withColumn(out, F.array_sort(F.array_distinct(F.transform(chains, lambda s: F.xxhash64(s).bitwiseAND(F.lit(0xFFFFFFFF))))))
         .drop(words, chains)
     )
 
@@ -72,18 +60,25 @@ def spelled(signature: Column) -> Column:
     return F.array_join(F.transform(signature, lambda h: F.lower(F.lpad(F.hex(h), 8, "0"))), " ")
 
 
-def length_partition(n: Column, least: float = LEAST) -> Column:
-    """Number of a set's length partition: sets more than one apart can't reach the likeness."""
+def length_partition(n: Column, least: float) -> Column:
+    """Number of a set's length partition: sets more than one apart can't reach the likeness least."""
     return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / math.log(1 / least))
 
 
-def pruned_jaccard(a: Column, b: Column, least: float = LEAST) -> Column:
-    """Jaccard likeness of two sets; 0 where their lengths rule out `least`; 1 for two empty sets."""
+def jaccard(a: Column, b: Column, least: float | None = None) -> Column:
+    """Jaccard likeness of two sorted sets; 1 for two empty ones. Sets that have no number range in common aren't intersected.
+
+    With least, likenesses under it are null: pairs whose length partitions are more than one apart, or whose lengths rule
+    it out, aren't intersected either.
+    """
     n, m = F.size(a), F.size(b)
-    apart = F.abs(length_partition(n, least) - length_partition(m, least)) > 1
-    short = F.least(n, m) < F.greatest(n, m) * least
+    disjoint = (n == 0) | (m == 0) | (F.element_at(a, -1) < F.get(b, F.lit(0))) | (F.element_at(b, -1) < F.get(a, F.lit(0)))
     both = F.size(F.array_intersect(a, b))
-    return F.when((n == 0) & (m == 0), 1.0).when(apart | short, 0.0).otherwise(both / (n + m - both))
+    exact = F.when((n == 0) & (m == 0), 1.0).when(F.coalesce(disjoint, F.lit(True)), 0.0).otherwise(both / (n + m - both))
+    if least is None:
+        return exact
+    far = F.abs(length_partition(n, least) - length_partition(m, least)) > 1
+    return F.when(~far & (F.least(n, m) >= F.greatest(n, m) * least), F.when(exact >= least, exact))
 
 
 def _range(key: Column, cuts: list[int]) -> Column:
@@ -140,7 +135,8 @@ def compare_edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     of the document's fingerprint to the edited text's and to the next document's.
 
     Null text counts as empty; the fingerprint is then the empty string, and two empty ones are alike (1). Rows of equal
-    identifier are in the order of their text's hash; null identifiers come last. A single row is its own next.
+    identifier are in the order of their text's hash; null identifiers come last. A single row is its own next. Given pairs
+    are compared, so no likeness is too small to be told.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("tie"))
@@ -156,6 +152,6 @@ def compare_edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.sha2("edited", 256).alias("edited_sha256"),
         spelled(F.col("sig")).alias("fingerprint"),
         spelled(F.col("edited_sig")).alias("edited_fingerprint"),
-        pruned_jaccard(F.col("sig"), F.col("edited_sig")).alias("near_edited"),
-        pruned_jaccard(F.col("sig"), F.col("next_sig")).alias("near_next"),
+        jaccard(F.col("sig"), F.col("edited_sig")).alias("near_edited"),
+        jaccard(F.col("sig"), F.col("next_sig")).alias("near_next"),
     )

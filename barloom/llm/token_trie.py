@@ -4,19 +4,27 @@ Distinct pre-tokens (words, each after the vocabulary's word mark) are dealt to
 forward score of a prefix (the best sum of piece scores over its segmentations) and its number of tokens depend on the
 prefix alone, so they are computed once at its trie node and shared by all pre-tokens below; terminal nodes store their
 counts. The counts come back to the blocks of documents and are added up over each whole text.
+
+The pieces are a public vocabulary's. Their probabilities are fitted to the corpus: segmentations under Zipf's law over
+the pieces' rank are counted over all pre-tokens of all documents, and the counts are the model's (one round of hard
+expectation-maximisation).
 """
 
 from __future__ import annotations
 
 import functools
 import math
+import struct
+from array import array
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from barloom.llm import blocks
-from barloom.llm.common import spread
+from barloom.llm.common import releasing, spread
 
 MARK = "▁"
 COUNTS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_tokens", pa.int64())])
@@ -29,90 +37,170 @@ def load(path: str) -> bytes:
 
 
 @functools.lru_cache(maxsize=2)
-def scores(model: bytes) -> dict[str, float]:
-    """Score of each piece: log-probability by Zipf's law over the pieces' rank in the vocabulary.
-
-    Byte, control and unknown pieces aren't part of segmentations; see BYTE.
-    """
+def vocabulary(model: bytes) -> tuple[str, ...]:
+    """The pieces by rank. Byte, control and unknown pieces aren't part of segmentations; see BYTE."""
     import sentencepiece
 
     read = sentencepiece.SentencePieceProcessor(model_proto=model)
     plain = [i for i in range(read.vocab_size()) if not (read.is_byte(i) or read.is_control(i) or read.is_unknown(i))]
-    whole = math.log(sum(1 / r for r in range(1, len(plain) + 1)))
-    return {read.id_to_piece(i): -math.log(r) - whole for r, i in enumerate(plain, 1)}
+    return tuple(read.id_to_piece(i) for i in plain)
+
+
+def zipf(model: bytes) -> dict[str, float]:
+    """Log-probability of each piece by Zipf's law over its rank."""
+    pieces = vocabulary(model)
+    whole = math.log(sum(1 / r for r in range(1, len(pieces) + 1)))
+    return {p: -math.log(r) - whole for r, p in enumerate(pieces, 1)}
 
 
 #: Score of each byte of a character that no piece covers: under any piece's, so pieces win.
 BYTE = -30.0
+#: Characters of a word that are trie nodes; the rest of a longer word is scored without being kept.
+DEPTH = 64
+#: Nodes of a trie, about 300 bytes each; beyond, a bucket begins a new one.
+NODES = 400_000
 
 
 class Trie:
-    """Pre-tokens as nested dictionaries of characters; None leads to a terminal's count."""
-
-    def __init__(self, model: bytes):
-        self.score = scores(model)
-        self.longest = max(map(len, self.score), default=1)
-        self.root: dict = {}
-
-    def insert(self, word: str) -> None:
-        node = self.root
-        for c in word:
-            node = node.setdefault(c, {})
-        node[None] = 0
-
-    def count(self) -> dict[str, int]:
-        """Walk the trie once, carrying the forward scores and token numbers of the prefixes above."""
-        found: dict[str, int] = {}
-        prefix: list[str] = []
-        best, tokens = [0.0], [0]
-        stack = [(0, None, self.root)]
-        while stack:
-            depth, char, node = stack.pop()
-            if char is not None:
-                del prefix[depth - 1 :], best[depth:], tokens[depth:]
-                prefix.append(char)
-                self._forward(prefix, best, tokens)
-            if None in node:
-                found["".join(prefix)] = node[None] = tokens[depth]
-            stack.extend((depth + 1, c, below) for c, below in node.items() if c is not None)
+    """Prefixes of pre-tokens as numbered nodes with their forward score, number of tokens and last piece's length."""
+
+    def __init__(self, score: dict[str, float]):
+        self.score = score
+        self.longest = max(map(len, score), default=1)
+        self.clear()
+
+    def clear(self) -> None:
+        self.below: dict[tuple[int, str], int] = {}
+        self.best, self.tokens, self.back = [0.0], [0], [0]
+        self.terminal: dict[int, int] = {}
+
+    def _step(self, word: str, end: int, best) -> tuple[float, int, int]:
+        """Score of the prefix that ends at end, its last piece's length (0: a character spelled in bytes) and tokens."""
+        top, size, cost = -math.inf, 0, 1
+        get = self.score.get
+        for k in range(min(self.longest, end), 0, -1):
+            s = get(word[end - k : end])
+            if s is not None and (s := s + best[end - k]) > top:
+                top, size = s, k
+        if get(word[end - 1]) is None:
+            spelled = len(word[end - 1].encode())
+            if (s := best[end - 1] + BYTE * spelled) > top:
+                top, size, cost = s, 0, spelled
+        return top, size, cost
+
+    def walk(self, word: str) -> tuple[int, array, int]:
+        """Insert a word: its number of tokens, the last pieces' lengths by prefix, and its node (-1 beyond DEPTH)."""
+        node, best, tokens, back = 0, array("d", [0.0]), array("q", [0]), array("i", [0])
+        for end in range(1, len(word) + 1):
+            shared = end <= DEPTH
+            at = self.below.get((node, word[end - 1])) if shared else None
+            if at is None:
+                top, size, cost = self._step(word, end, best)
+                n = tokens[end - max(size, 1)] + cost
+                if shared:
+                    at = self.below[node, word[end - 1]] = len(self.best)
+                    self.best.append(top)
+                    self.tokens.append(n)
+                    self.back.append(size)
+            else:
+                top, n, size = self.best[at], self.tokens[at], self.back[at]
+            node = at if shared else -1
+            best.append(top)
+            tokens.append(n)
+            back.append(size)
+        return tokens[-1], back, node
+
+    def count(self, word: str) -> int:
+        """A word's number of tokens, stored at its terminal node."""
+        n, _, node = self.walk(word)
+        if node >= 0:
+            self.terminal[node] = n
+        if len(self.best) > NODES:
+            self.clear()
+        return n
+
+    def pieces(self, word: str) -> list[str]:
+        """The pieces of a word's best segmentation, from the last to the first, without what is spelled in bytes."""
+        _, back, _ = self.walk(word)
+        found, end = [], len(word)
+        while end:
+            if back[end]:
+                found.append(word[end - back[end] : end])
+            end -= max(back[end], 1)
+        if len(self.best) > NODES:
+            self.clear()
         return found
 
-    def _forward(self, prefix: list[str], best: list[float], tokens: list[int]) -> None:
-        end, get = len(prefix), self.score.get
-        tail = "".join(prefix[max(0, end - self.longest) :])
-        size = len(tail)
-        top, n = -math.inf, 0
-        for k in range(size):
-            s = get(tail[k:])
-            if s is not None and (s := s + best[end - size + k]) > top:
-                top, n = s, tokens[end - size + k] + 1
-        if get(prefix[-1]) is None:
-            spelled = len(prefix[-1].encode())
-            if (s := best[-1] + BYTE * spelled) > top:
-                top, n = s, tokens[-1] + spelled
-        best.append(top)
-        tokens.append(n)
-
-
-def replies(model: bytes, lists: list[bytes]) -> list[bytes]:
-    words = [blocks.swell(x).split(b"\n") for x in lists]
-    trie = Trie(model)
-    for w in {w for block in words for w in block}:
-        trie.insert(MARK + w.decode())
-    counts = {w[len(MARK) :].encode(): n for w, n in trie.count().items()}
-    return [
-        blocks.squeeze(blocks.mark(block) + np.array([counts[w] for w in block], dtype="<u4").tobytes()) for block in words
-    ]
-
-
-def added(model: bytes, docs: blocks.Docs, told: dict[int, bytes], buckets: int) -> pa.Table:
+
+def counted_keys(buckets: int):
+    """Lists of a block's words as for counting, each word with how often the block has it."""
+
+    def keys(docs: blocks.Docs) -> list[bytes]:
+        times = Counter()
+        for t in docs[1]:
+            times.update(t.split())
+        lists = blocks.word_lists(times, buckets)
+        return [blocks.squeeze(struct.pack("<I", len(x)) + np.array([times[w] for w in x], "<u8").tobytes() + b"\n".join(x)) if x else b"" for x in lists]
+
+    return keys
+
+
+def fit(rows: DataFrame, model: bytes, buckets: int) -> dict[str, float]:
+    """The pieces' log-probabilities from all documents; a row for each piece of the vocabulary comes to the driver."""
+    start = zipf(model)
+
+    def run(batches):
+        trie, found, words, bucket = Trie(start), Counter(), Counter(), None
+
+        def flush():
+            for w, n in words.items():
+                for p in trie.pieces(MARK + w.decode()):
+                    found[p] += n
+            words.clear()
+
+        for batch in batches:
+            for b, data in zip(batch.column("bucket").to_pylist(), batch.column("keys").to_pylist()):
+                if b != bucket:
+                    flush()
+                    trie.clear()
+                    bucket = b
+                data = blocks.swell(data)
+                (n,) = struct.unpack_from("<I", data)
+                for w, k in zip(data[4 + 8 * n :].split(b"\n"), np.frombuffer(data, "<u8", n, 4).tolist()):
+                    words[w] += k
+                if len(words) > 100_000:
+                    flush()
+        flush()
+        yield pa.RecordBatch.from_pydict({"piece": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.int64())})
+
+    asked = blocks.ask(rows, counted_keys(buckets)).select("bucket", "keys")
+    dealt = asked.repartition("bucket").sortWithinPartitions("bucket")
+    sums = dealt.mapInArrow(releasing(run), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+    times = {r["piece"]: r["n"] for r in sums}
+    whole = math.log(sum(times.values()) + len(start))
+    return {p: math.log(times.get(p, 0) + 1) - whole for p in start}
+
+
+def replies(score: dict[str, float]):
+    """A function that answers a list of words with its mark and the words' numbers of tokens."""
+    trie = Trie(score)
+
+    def reply(data: bytes) -> bytes:
+        words = blocks.swell(data).split(b"\n")
+        counts = np.array([trie.count(MARK + w.decode()) for w in words], dtype="<u4")
+        return blocks.squeeze(blocks.mark(words) + counts.tobytes())
+
+    return reply
+
+
+def added(score: dict[str, float], docs: blocks.Docs, told: dict[int, bytes], buckets: int) -> pa.Table:
     names, bodies = docs
     counts: dict[bytes, int] = {}
     for k, words in enumerate(blocks.word_lists(blocks.distinct_words(bodies), buckets)):
         if words:
             data = blocks.swell(told[k]) if k in told else b""
             if data[:8] != blocks.mark(words):  # dealt otherwise when read again: count this list here
-                data = blocks.swell(replies(model, [blocks.squeeze(b"\n".join(words))])[0])
+                data = blocks.swell(replies(score)(blocks.squeeze(b"\n".join(words))))
             counts.update(zip(words, np.frombuffer(data, "<u4", offset=8).tolist()))
     split = [t.split() for t in bodies]
     return pa.Table.from_pydict(
@@ -120,22 +208,25 @@ def added(model: bytes, docs: blocks.Docs, told: dict[int, bytes], buckets: int)
     )
 
 
-def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def count_tokens(
+    df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", score: dict[str, float] | None = None
+) -> DataFrame:
     """One row for each row of df: id_col, n_words, n_tokens.
 
     n_tokens is the number of pieces in the best segmentation of each word (a run of anything but ASCII white space, after
-    the mark U+2581), added up over the text. Of equal scores the longer last piece counts. A character that no piece
-    covers counts as one token for each byte. Null text counts as empty and has no tokens. Identifiers are integers and
-    may be null or repeat; each row is counted.
+    the mark U+2581), added up over the text. score has the pieces' log-probabilities; without it they are fitted to df.
+    Of equal scores the longer last piece counts. A character that no piece covers counts as one token for each byte. Null
+    text counts as empty and has no tokens. Identifiers are integers and may be null or repeat; each row is counted.
     """
     model = load(path)
     rows = blocks.columns(df, id_col, text_col)
-    buckets = spread(df, 4 << 20)
-    told = blocks.answer(blocks.ask(rows, blocks.word_keys(buckets)), lambda lists: replies(model, lists))
+    buckets = spread(df, 4 << 20, blocks.MOST_BUCKETS)
+    known = score or fit(rows, model, buckets)
+    told = blocks.answer(blocks.ask(rows, blocks.word_keys(buckets)), lambda: replies(known))
     out = blocks.meet(
         blocks.blocks(rows),
         told,
-        lambda docs, answers: added(model, docs, answers, buckets),
+        lambda docs, answers: added(known, docs, answers, buckets),
         "doc_id long, n_words long, n_tokens long",
     )
     return out.withColumnRenamed("doc_id", id_col)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm import blocks, labelled
-from barloom.llm.common import releasing, remainder, small_batches
+from barloom.llm.common import checkpoint, releasing, remainder, small_batches
 
 #: Letters that a character may stand for. Fixed values.
 LOOKS = {
@@ -267,7 +267,7 @@ def odds(pos, neg, n_pos: float, n_neg: float):
 
 
 class Model:
-    """Character model, lexicon of weights and regression: bounded by the lexicon's size, whatever the corpus."""
+    """Character model, lexicon of weights and regression: bounded by the sample, whatever the corpus."""
 
     def __init__(self, logp: np.ndarray, lexicon: dict[str, float], weights: np.ndarray):
         self.logp, self.lexicon, self.weights = logp, lexicon, weights
@@ -334,13 +334,12 @@ def train(
     divisor: int,
     held: int,
     most: int = 20_000,
-    lexicon_size: int = 4096,
     least_docs: int = 5,
     least_odds: float = 1.5,
 ) -> Model:
     """Character model of all texts; lexicon and regression of a bounded sample of at most `most` labelled rows.
 
-    The lexicon has at most lexicon_size features, the largest log-odds first, each in least_docs toxic documents or more.
+    The lexicon has every feature of the sample with log-odds of least_odds or more in least_docs toxic documents or more.
     When a document of the sample is weighed for the regression, its own label is taken out of the counts.
     """
     spark = df.sparkSession
@@ -351,6 +350,7 @@ def train(
     found = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).join(
         F.broadcast(wanted), F.col("id") == F.col("_id")
     )
+    found = checkpoint(found.select("text", "y"))  # read three times
     bare = Model(logp, {}, np.zeros(4))
 
     def count(batches):
@@ -379,9 +379,7 @@ def train(
         sums.where(pos >= least_docs)
         .withColumn("lean", lean)
         .where(F.col("lean") >= least_odds)
-        .orderBy(F.desc("lean"), "f")
-        .limit(lexicon_size)
-        .collect()
+        .collect()  # words of the sample's texts: bounded as it is
     )
     lexicon = {r["f"]: r["lean"] for r in rows}
     counts = {r["f"]: (r["pos"], r["neg"]) for r in rows}

@@ -1,7 +1,8 @@
 """URL filter by empirical-Bayes host reputation, in DataFrame operations only.
 
-Outcomes of labelled pages (1 bad, 0 good) are counted by host, registered domain (last two labels) and suffix (last
-label). Each level's rate is shrunk toward the level above by a beta prior whose weight comes from the spread of the
+Outcomes of labelled pages (1 bad, 0 good) are counted by host, registered domain and public suffix. The suffix is the
+last label, or the last two where the first of them is one under which countries' registries sell names (co.uk); the
+registered domain is the suffix and the label before it. Each level's rate is shrunk toward the level above by a beta prior whose weight comes from the spread of the
 groups (method of moments for the beta-binomial). A host is blocked if the lower posterior bound of its bad rate is
 over the limit.
 """
@@ -23,6 +24,8 @@ RULES = (
 )
 #: Most rules that one call compiles into its plan.
 MOST_RULES = 1000
+#: Labels that are part of a public suffix before a country's label of two letters. Fixed values.
+SECOND = ("ac", "co", "com", "edu", "gob", "gov", "gv", "ltd", "me", "mil", "ne", "net", "nhs", "nom", "or", "org", "plc", "sch")
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -57,8 +60,8 @@ def shrunk(groups: DataFrame, above: DataFrame, key: str, up: str, least: float,
         n.alias("all_n"),
         F.count("*").alias("g"),
         rate.alias("p"),
-        F.sum(F.col("bad") * F.col("bad") / F.col("n")).alias("sq"),
-        F.sum(F.col("n") * F.col("n")).alias("n2"),
+        F.sum(F.col("bad").cast("double") * F.col("bad") / F.col("n")).alias("sq"),
+        F.sum(F.col("n").cast("double") * F.col("n")).alias("n2"),
     )
     p, total = F.col("p"), F.col("all_n").cast("double")
     room = total - F.col("n2") / total
@@ -82,8 +85,10 @@ def reputation(pages: DataFrame, host: str = "host", outcome: str = "outcome", l
     outcome is 1 (bad), 0 (good) or null (not labelled); hosts without labelled pages get their domain's posterior mean.
     """
     labels = F.split(F.col("host"), r"\.")
-    suffix = F.element_at(labels, -1)
-    domain = F.when(F.size(labels) > 1, F.concat_ws(".", F.element_at(labels, -2), suffix)).otherwise(suffix)
+    country = (F.size(labels) > 2) & (F.length(F.element_at(labels, -1)) == 2) & F.element_at(labels, -2).isin(*SECOND)
+    suffix = F.substring_index("host", ".", -1)
+    suffix = F.when(country, F.substring_index("host", ".", -2)).otherwise(suffix)
+    domain = F.when(country, F.substring_index("host", ".", -3)).otherwise(F.substring_index("host", ".", -2))
     hosts = (
         pages.select(F.col(host).alias("host"), F.col(outcome).cast("long").alias("bad"))
         .groupBy("host")

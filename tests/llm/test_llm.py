@@ -10,8 +10,10 @@ import duckdb
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+import regex
 import xxhash
 from barloom.llm import (
+    blocks,
     bpe,
     components,
     exact_dedup,
@@ -26,6 +28,7 @@ from barloom.llm import (
     toxicity,
     url_filter,
 )
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, source string, id string, keep_id int, score string, size string, bucket int, fp string, pattern int, y string, held_out int"
 LONG = "word " * 30_000 + "x" * 50_000
@@ -142,42 +145,37 @@ def test_bpe_decode_round_trip(spark):
 # LM scoring
 
 
-def model_scores(rows, fail):
-    """Brute force with dictionaries and the rounding of arc weights."""
-    count, pair, history, tokens = Counter(), Counter(), Counter(), []
+def model_scores(rows):
+    """Brute force with dictionaries: one pass from left to right, with the history as the state."""
+    count, pair, tokens = Counter(), {}, []
     for i, t in rows:
         w = [*lower(t).split(), b""]
         tokens.append((i, w))
         if zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2:
             count.update(w)
-            pair.update(zip([None, *w], w))
-            history.update([None, *w[:-1]])
+            for h, x in zip([None, *w], w):
+                pair.setdefault(h, Counter())[x] += 1
     n, v = sum(count.values()), len(count)
     out = []
     for i, w in tokens:
         base = score = 0.0
-        for h, x in zip([None, *w], w):
+        state = None
+        for x in w:
             p = (count[x] + 1) / (n + v + 1)
             base += math.log10(p)
-            if history[h]:
-                size = min(15, int(math.log2(history[h]) / 2 + 1e-12))
-                arc = pair[h, x] / history[h] / p
-                if arc:
-                    arc = 2 ** (-math.ceil(-4 * math.log2(arc / (n + v + 1)) - 1e-9) / 4) * (n + v + 1)
-                score += math.log10(fail[size] * p + (1 - fail[size]) * arc * p)
-            else:
-                score += math.log10(p)
+            if state in pair:
+                met, kinds = sum(pair[state].values()), len(pair[state])
+                p = (pair[state][x] + kinds * p) / (met + kinds)
+            score += math.log10(p)
+            state = x
         out.append((i, len(w), sum(count[x] > 0 for x in w), n, base, score))
     return out
 
 
-def test_lm_against_brute_force(spark, odd, none, sf_dir, monkeypatch):
-    seen = []
-    fit = lm.fit_failure
-    monkeypatch.setattr(lm, "fit_failure", lambda *a: seen.append(fit(*a)) or seen[-1])
+def test_lm_against_brute_force(spark, odd, none, sf_dir):
     for df, rows in ((odd, [(r[0], r[1]) for r in ODD]), (spark.read.parquet(f"{sf_dir}/documents.parquet"), [r[:2] for r in documents(sf_dir)])):
         got = sorted(tuple(r) for r in lm.score(df).drop("held_out").na.fill(-1, ["doc_id"]).collect())
-        want = sorted((-1 if r[0] is None else r[0], *r[1:]) for r in model_scores(rows, seen[-1]))
+        want = sorted((-1 if r[0] is None else r[0], *r[1:]) for r in model_scores(rows))
         assert [g[:4] for g in got] == [w[:4] for w in want]
         assert np.allclose([g[4:] for g in got], [w[4:] for w in want], rtol=1e-9)
     held = [r for r in lm.score(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect() if r.held_out]
@@ -185,15 +183,43 @@ def test_lm_against_brute_force(spark, odd, none, sf_dir, monkeypatch):
     assert lm.score(none).count() == 0
 
 
-def test_lm_arcs_and_failure_sum_to_one_at_most():
-    fail, z = 0.3, 100.0
-    counts = {"a": 6, "b": 2}
-    unigram = {"a": 40 / z, "b": 30 / z, "c": 30 / z}
-    total = 0.0
-    for w, p in unigram.items():
-        c = lm.cells(np.array([8.0]), np.array([float(counts.get(w, 0))]), np.array([p * z - 1]))[0]
-        total += fail * p + (1 - fail) * p * lm.weight_of(np.array([c % lm.LEVELS]), z)[0]
-    assert 0.8 < total <= 1 + 1e-9
+def test_lm_reads_rows_in_any_order(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    mixed = docs.orderBy(F.rand()).repartition(5, F.rand())
+    got = {r.doc_id: (r.score, r.base_score, r.n_known) for r in lm.score(mixed).collect()}
+    want = {r.doc_id: (r.score, r.base_score, r.n_known) for r in lm.score(docs).collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
+
+
+def test_lm_weights_of_a_state_sum_to_one():
+    train = ([1, 2, 3], [b"a b a c a b d", b"b a b", b"c c a"])
+    z, buckets = 0.0, 3
+    # every word after every history, and an unknown one, in texts that aren't training
+    probe = [f"{h} {w}".encode() for h in ("a", "b", "c", "d") for w in ("a", "b", "c", "d", "unknown")] + [b"a", b"b", b"c", b"d"]
+    docs = (train[0] + [None] * len(probe), train[1] + probe)
+    t = lm.Tokens(docs, [True] * 3 + [False] * len(probe))
+    lists = lm.ask_counts(t, buckets)
+    told = {k: x for k, x in enumerate(lists) if x}
+    told = {k: lm.sum_counts([x])[0] for k, x in told.items()}
+    automaton = lm.Automaton(t, told, buckets)
+    n, v = int(t.train.sum()), 5
+    weights = 10 ** automaton.log_weights(t, n + v + 1.0)
+    first = np.cumsum(t.sizes) - t.sizes
+    second = {docs[1][k]: weights[first[k] + 1] for k in range(3, len(docs[1]))}
+    for h in ("a", "b", "c", "d"):
+        total = sum(second[f"{h} {w}".encode()] for w in ("a", "b", "c", "d", "unknown")) + second[h.encode()]
+        assert total == pytest.approx(1.0)
+
+
+def test_lm_counts_have_64_bits():
+    t = lm.Tokens(([1], [b"x y"]), [True])
+    (data,) = lm.ask_counts(t, 1)
+    keys = lm.Lists(t, 1).keys(0)
+    big = blocks.squeeze(keys + lm.planes(np.full(len(t.words), 3 << 33)) + lm.planes(np.full(len(t.pair_word), 3 << 33)))
+    a = lm.Automaton(t, {0: lm.sum_counts([data, big])[0]}, 1)
+    assert a.word.tolist() == [(3 << 33) + 1] * 3 and a.met.tolist() == [(3 << 33) + 1] * 3
+    with pytest.raises(RuntimeError):
+        lm.Automaton(lm.Tokens(([1], [b"x z"]), [True]), {0: lm.sum_counts([data])[0]}, 1)
 
 
 # Mixing
@@ -447,24 +473,35 @@ def test_near_copies_on_a_table(spark):
 # SpotSigs
 
 
-def test_spotsigs_edits_and_next(spark, odd, none, sf_dir):
+def brute_signatures(text):
+    found = [w for w in regex.split(r"[^\p{L}\p{N}]+", (text or "").lower()) if w]
+    parts = [["^"]]
+    for w in found:
+        if w in spotsigs.ANCHORS or xxhash.xxh64_intdigest(w.encode(), 42) % spotsigs.SAMPLED == 0:
+            parts.append([w])
+        else:
+            parts[-1].append(w)
+    chains = [" ".join(p[:3]) for p in parts if len(p) > 1] or [p[0] for p in parts if p != ["^"]]
+    return {f"{xxhash.xxh64_intdigest(c.encode(), 42) & 0xFFFFFFFF:08x}" for c in chains}
+
+
+def likeness(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_spotsigs_against_brute_force(spark, odd, none, sf_dir):
     docs = sorted(documents(sf_dir), key=lambda r: -r[0])
     got = {r.doc_id: r for r in queries.op8_spotsigs(spark, sf_dir).collect()}
     assert len(got) == len(docs)
-    sets = {i: set(r.fingerprint.split()) for i, r in got.items()}
     for k, (i, text, _) in enumerate(docs):
-        j, follow, _ = docs[(k + 1) % len(docs)]
+        follow = docs[(k + 1) % len(docs)][1]
         cut = len(text) // 3
         edited = text[: len(text) - cut] + follow[:cut]
         r = got[i]
         assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        for near, other in ((r.near_next, sets[j]), (r.near_edited, set(r.edited_fingerprint.split()))):
-            both, either = len(sets[i] & other), len(sets[i] | other)
-            want = both / either if either else 1.0
-            assert near == pytest.approx(want) or (near == 0 and want < spotsigs.LEAST)
-    same = {}
-    for i, text, _ in docs:
-        assert same.setdefault(text, got[i].fingerprint) == got[i].fingerprint
+        own, other, after = (brute_signatures(t) for t in (text, edited, follow))
+        assert r.fingerprint == " ".join(sorted(own)) and r.edited_fingerprint == " ".join(sorted(other))
+        assert r.near_edited == pytest.approx(likeness(own, other)) and r.near_next == pytest.approx(likeness(own, after))
     rows = spotsigs.compare_edited(odd).collect()
     assert Counter((r.doc_id, r.n_chars) for r in rows) == Counter((r[0], len(r[1] or "")) for r in ODD)
     assert spotsigs.compare_edited(none).count() == 0
@@ -472,25 +509,18 @@ def test_spotsigs_edits_and_next(spark, odd, none, sf_dir):
     assert len(one) == 1 and one[0].near_next == 1.0
 
 
-def test_spotsigs_signatures(spark):
-    df = spark.createDataFrame([("the quick brown fox of the old house",)], "text string")
-    sig = spotsigs.with_signatures(df, "text", "sig", few=0).first()["sig"]
-    want = [xxhash.xxh64_intdigest(s.encode(), 42) & 0xFFFFFFFF for s in ("the quick brown", "the old house")]
-    assert sig == sorted(want)
+def test_spotsigs_of_texts_of_any_length(spark):
+    texts = [" ".join(f"the w{2 * k} w{2 * k + 1}" for k in range(n)) for n in range(0, 14)]
+    texts += ["the quick brown fox of the old house", "the of and", "one", "", "  ", "日本 語 の 文", "a" * 5000]
+    found = spotsigs.with_signatures(spark.createDataFrame([(t,) for t in texts], "text string"), "text", "sig").collect()
+    assert {r.text: {f"{x:08x}" for x in r.sig} for r in found} == {t: brute_signatures(t) for t in texts}
 
 
-def test_spotsigs_change_gradually_with_chains(spark):
-    words = [f"w{k}" for k in range(300)]
-
-    def text(n):
-        return " ".join(f"the {words[2 * k]} {words[2 * k + 1]}" for k in range(n)) + " the " + " ".join(words[30:])
-
-    rows = [(n, text(n)) for n in range(0, 13)]
-    found = spotsigs.with_signatures(spark.createDataFrame(rows, "n int, text string"), "text", "sig").collect()
-    sets = {r.n: set(r.sig) for r in found}
-    for n in range(7, 12):
-        both, either = len(sets[n] & sets[n + 1]), len(sets[n] | sets[n + 1])
-        assert both / either > 0.6, (n, both / either)
+def test_likeness_of_small_and_pruned_sets(spark):
+    rows = [(list(range(10)), list(range(500))), ([1, 2], [5, 6]), ([], []), ([], [1]), ([1, 2, 3, 4], [1, 2, 3, 4, 5])]
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>")
+    got = [tuple(r) for r in df.select(spotsigs.jaccard(F.col("a"), F.col("b")), spotsigs.jaccard(F.col("a"), F.col("b"), 0.8)).collect()]
+    assert got == [(0.02, None), (0.0, None), (1.0, 1.0), (0.0, None), (0.8, 0.8)]
 
 
 # URL filter
@@ -515,6 +545,9 @@ def test_urls_odd_and_reputation(spark):
     labelled += [("http://bad.x.net/new", None), ("http://good.y.net/new", None), ("http://new.y.net/", None), ("http://new.x.net/", None)]
     pages = spark.createDataFrame([(i, u, y) for i, (u, y) in enumerate(labelled)], "page_id long, url string, bad int")
     said = {r.host: r.verdict for r in url_filter.judge_urls(pages, outcome_col="bad", rules=()).collect()}
+    many = spark.createDataFrame([("h", "d.com", 4 * 10**9, 10**9), ("i", "d.com", 10, 1)], "host string, domain string, n long, bad long")
+    above = spark.createDataFrame([("d.com", 0.5)], "domain string, mean double")
+    assert all(0 < r.mean < 1 for r in url_filter.shrunk(many, above, "host", "domain", 1.0, 1000.0).collect())
     assert said["bad.x.net"] == "block" and said["good.y.net"] == said["new.y.net"] == "allow"
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
 
@@ -522,6 +555,32 @@ def test_urls_odd_and_reputation(spark):
 # Token counts
 
 
+def brute_pieces(score, word):
+    """The pieces of the best segmentation, character by character; what is spelled in bytes is none."""
+    best = [(0.0, ())]
+    for e in range(1, len(word) + 1):
+        options = [(best[b][0] + score[word[b:e]], -b, (*best[b][1], word[b:e])) for b in range(max(0, e - 32), e) if word[b:e] in score]
+        if word[e - 1] not in score:
+            options.append((best[e - 1][0] + len(word[e - 1].encode()) * token_trie.BYTE, -(e - 1), best[e - 1][1]))
+        top = max(options, key=lambda o: o[:2])
+        best.append((top[0], top[2]))
+    return best[-1][1]
+
+
+def test_trie_of_long_words():
+    """A word's tail beyond the trie's depth scores as it would inside, in bounded memory."""
+    rng = random.Random(3)
+    score = {c: -2.0 - k / 7 for k, c in enumerate("abcde")} | {"ab": -2.5, "bcd": -3.1, "cde": -3.0, "deab": -3.7}
+    trie = token_trie.Trie(score)
+    for n in (1, 63, 64, 65, 200):
+        word = "".join(rng.choice("abcdeé") for _ in range(n))
+        assert trie.count(word) == brute_count(score, word) == trie.count(word)
+        assert tuple(reversed(trie.pieces(word))) == brute_pieces(score, word)
+    nodes = len(trie.best)
+    trie.count("x" * 300_000)
+    assert len(trie.best) <= nodes + token_trie.DEPTH
+
+
 def brute_count(score, word):
     best = [(0.0, 0)]
     for e in range(1, len(word) + 1):
@@ -536,7 +595,14 @@ def brute_count(score, word):
 
 def test_token_counts(spark, odd, none, sf_dir):
     path = queries.tokenizer_path("piece_bpe_32k.model")
-    score = token_trie.scores(token_trie.load(path))
+    model = token_trie.load(path)
+    # the model's probabilities, fitted by brute force: Zipf's law, then the counts of its segmentations
+    start, times = token_trie.zipf(model), Counter()
+    for w, n in Counter(w for _, t, _ in documents(sf_dir) for w in words(t)).items():
+        for p in brute_pieces(start, token_trie.MARK + w.decode()):
+            times[p] += n
+    whole = math.log(sum(times.values()) + len(start))
+    score = {p: math.log(times[p] + 1) - whole for p in start}
     docs = documents(sf_dir)[:40]
     known = {}
 
@@ -547,7 +613,7 @@ def test_token_counts(spark, odd, none, sf_dir):
     assert len(got) == len(documents(sf_dir))
     assert {i: got[i] for i, _, _ in docs} == {i: count(t) for i, t, _ in docs}
     short = odd.where("doc_id is null or doc_id != 6")
-    rows = token_trie.count_tokens(short, path).collect()
+    rows = token_trie.count_tokens(short, path, score=score).collect()
     assert Counter((r.doc_id, r.n_words, r.n_tokens) for r in rows) == Counter((r[0], len(words(r[1])), count(r[1])) for r in ODD if r[0] != 6)
     assert [r.n_words for r in token_trie.count_tokens(odd.where("doc_id = 6"), path).collect()] == [30_001]
     assert token_trie.count_tokens(none, path).count() == 0
