@@ -9,13 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.catalogue import sql as q
-from barloom.config import COMPOSITE_WEIGHTS, DEMO, RETURNS
+from barloom.config import COMPOSITE_WEIGHTS, DEMO, RETURNS, SETUP_WEIGHTS
 from barloom.functions import fib
 from barloom.functions.frames import by
 from barloom.functions.symbol import SMAS, STEPS
 from barloom.operators import calendar, cross_section, indices, quality, risk, series, store
 from barloom.operators.adjust import unreconciled, with_factors
-from barloom.plans import backtest, presets, screens
+from barloom.plans import backtest, nightly, presets, screens
 from barloom.plans.engine import metrics
 from barloom.sources import bars as source
 
@@ -277,22 +277,122 @@ def nearest_support(spark, d):
     return rows(measured(spark, d, *names), num("support_level"), num("support_distance_pct"), "is_at_support")
 
 
-@query("reversal_score")
+#: Everything by symbol that SQL needs recursion for, next to m3: r0 has a row for each bar.
+_RECURRENT = f"""{q.M1}, {q.SERIES}, {q.EMAS[21]}, {q.ATR}, {q.RSI}, {q.MACD}, f AS (SELECT token, history_days, low, {_fractal('low', '<', 'min')} AS s FROM adj),
+lows AS (SELECT token, history_days AS rn, low FROM f WHERE s),
+best AS (
+  SELECT m.token, m.history_days, max(l.low) AS swing FROM m3 m JOIN lows l ON l.token = m.token AND l.rn BETWEEN m.history_days - 62 AND m.history_days AND l.low <= m.close
+  GROUP BY m.token, m.history_days
+), r0 AS (
+  SELECT m.*, m.history_days AS rn, e.v AS ema_21, a.v AS atr_14, CASE WHEN dn.v = 0 THEN 100 ELSE 100 - 100 / (1 + u.v / dn.v) END AS rsi_14, ml.line - sg.v AS hist,
+         greatest(b.swing, CASE WHEN m.sma_50 <= m.close THEN m.sma_50 END, CASE WHEN e.v <= m.close THEN e.v END) AS support_level
+  FROM m3 m LEFT JOIN best b USING (token, history_days) LEFT JOIN ema_21 e ON e.token = m.token AND e.rn = m.history_days
+  LEFT JOIN atr a ON a.token = m.token AND a.rn = m.history_days LEFT JOIN up u ON u.token = m.token AND u.rn = m.history_days
+  LEFT JOIN down dn ON dn.token = m.token AND dn.rn = m.history_days LEFT JOIN line ml ON ml.token = m.token AND ml.rn = m.history_days
+  LEFT JOIN signal sg ON sg.token = m.token AND sg.rn = m.history_days
+), r1 AS (
+  SELECT *, close / support_level - 1 AS away, rsi_14 IS NOT NULL AND hist IS NOT NULL AND ema_21 IS NOT NULL AS scored,
+         coalesce((rsi_14 > {q.lag("rsi_14")} AND min(rsi_14) {q.frame(5)} <= 45)::INT, 0) + coalesce((hist > {q.lag("hist")} AND {q.lag("hist")} > {q.lag("hist", 2)})::INT, 0)
+         + coalesce((close > ema_21 AND {q.lag("close")} <= {q.lag("ema_21")})::INT, 0) + coalesce((close > open AND high > low AND (close - low) / (high - low) >= 0.66)::INT, 0)
+         + coalesce((close > {q.lag("close")} AND rel_volume >= 1.2)::INT, 0) AS signs
+  FROM r0
+), rev AS (
+  SELECT *, CASE WHEN scored THEN signs END AS reversal_score, CASE WHEN scored THEN signs >= 2 END AS is_reversal,
+         CASE WHEN scored AND away IS NOT NULL THEN coalesce(signs >= 2 AND away <= 0.03 AND -pullback_from_high_pct BETWEEN 0.03 AND 0.25 AND close > sma_200, false) END AS is_pullback_reversal
+  FROM r1
+)"""
+
+
+def _recurrent(tail: str, more: str = "") -> str:
+    return f"WITH RECURSIVE {q.WALK}, {_RECURRENT}{more} {tail}"
+
+
+@query("reversal_score", _recurrent(f"SELECT symbol, trade_date, {q.whole('reversal_score')}, is_reversal, is_pullback_reversal FROM rev"))
 def reversal_score(spark, d):
     names = ("reversal_score", "is_reversal", "is_pullback_reversal")
     return rows(measured(spark, d, *names), *names)
 
 
-@query("fib_leg")
+#: The retracement rule in relations: legs, the three newest known for each session, the first valid one.
+_FIB = f""", tops AS (SELECT token, history_days AS rn, high, row_number() OVER (PARTITION BY token ORDER BY history_days) AS k FROM (SELECT *, {_fractal('high', '>', 'max')} AS s FROM adj) WHERE s),
+pairs AS (SELECT t.token, t.rn AS b, t.high AS top, t.k, arg_min(l.rn, (l.low, l.rn)) AS a FROM tops t JOIN lows l ON l.token = t.token AND l.rn >= t.rn - 250 AND l.rn < t.rn GROUP BY ALL),
+shocks AS (SELECT p.token, p.b, max(abs(m.ret_1d)) AS shock FROM pairs p JOIN m3 m ON m.token = p.token AND m.history_days > p.a AND m.history_days <= p.b GROUP BY ALL),
+valid AS (
+  SELECT p.*, m.low AS bottom FROM pairs p JOIN shocks s USING (token, b) JOIN m3 m ON m.token = p.token AND m.history_days = p.a
+  WHERE (p.top - m.low) / m.low >= 0.20 AND p.b - p.a >= 15 AND s.shock <= 0.20
+),
+beaten AS (SELECT v.token, v.b, min(m.history_days) AS at FROM valid v JOIN m3 m ON m.token = v.token AND m.history_days >= v.a AND m.high > v.top + 1e-12 GROUP BY ALL),
+known AS (SELECT r.token, r.rn, max(t.k) AS newest FROM r0 r JOIN tops t ON t.token = r.token AND t.rn <= r.rn - 3 GROUP BY ALL),
+served AS (
+  SELECT n.token, n.rn, max(v.b) AS b FROM known n JOIN valid v ON v.token = n.token AND v.k BETWEEN n.newest - 2 AND n.newest
+  LEFT JOIN beaten x ON x.token = v.token AND x.b = v.b WHERE n.rn - v.b <= 60 AND (x.at IS NULL OR x.at > n.rn) GROUP BY ALL
+),
+vol AS (SELECT token, history_days AS rn, sum(volume) OVER ({q.BY} ROWS UNBOUNDED PRECEDING) AS total FROM adj),
+shaped AS (
+  SELECT v.*, v.top - v.bottom AS span, (vb.total - coalesce(va.total, 0)) / (v.b - v.a + 1) AS advance,
+         (coalesce(va.total, v1.total) - coalesce(vp.total, 0)) / (greatest(v.a - 1, 1) - greatest(v.a - 50, 1) + 1) AS prior
+  FROM valid v JOIN vol vb ON vb.token = v.token AND vb.rn = v.b LEFT JOIN vol va ON va.token = v.token AND va.rn = v.a - 1 JOIN vol v1 ON v1.token = v.token AND v1.rn = 1
+  LEFT JOIN vol vp ON vp.token = v.token AND vp.rn = greatest(v.a - 50, 1) - 1
+),
+z0 AS (
+  SELECT r.*, g.a, g.b, g.top, g.bottom, g.span, g.advance, g.prior, g.b IS NOT NULL AS found, max(g.b) OVER (PARTITION BY r.token) IS NOT NULL AS ever_found,
+         count(*) OVER (PARTITION BY r.token) AS n,
+         g.top - 0.5::DOUBLE * g.span AS l500, g.top - 0.618::DOUBLE * g.span AS l618, g.top - 0.382::DOUBLE * g.span AS l382, g.top - 0.786::DOUBLE * g.span AS l786
+  FROM r0 r LEFT JOIN served s ON s.token = r.token AND s.rn = r.rn LEFT JOIN shaped g ON g.token = s.token AND g.b = s.b
+),
+turns AS (SELECT z.token, z.rn, min(l.low) AS turn FROM z0 z JOIN lows l ON l.token = z.token AND l.rn BETWEEN z.b AND z.rn - 3 AND l.low BETWEEN z.l618 AND z.l500 GROUP BY ALL),
+deep AS (SELECT z.token, z.rn, min(m.low) AS deepest FROM z0 z JOIN m3 m ON m.token = z.token AND m.history_days BETWEEN z.b AND z.rn GROUP BY ALL),
+z1 AS (
+  SELECT z.*, d.deepest, t.turn, found AND close BETWEEN l618 AND l500 AS inside, rn - b - 1 AS resting, (w.total - vb.total) / (rn - b - 1) AS pullback
+  FROM z0 z LEFT JOIN deep d USING (token, rn) LEFT JOIN turns t USING (token, rn) LEFT JOIN vol vb ON vb.token = z.token AND vb.rn = z.b
+  LEFT JOIN vol w ON w.token = z.token AND w.rn = z.rn - 1 AND z.rn - z.b - 1 >= 1
+),
+z2 AS (
+  SELECT *, coalesce(inside, false) AS inz, CASE WHEN found AND prior > 0 THEN advance / prior END AS impulse, CASE WHEN found AND advance > 0 THEN pullback / advance END AS dryup,
+         CASE WHEN found AND resting >= 3 AND pullback > 0 THEN volume / pullback END AS turn_ratio, CASE WHEN found THEN least(l786, turn - 0.5 * atr_14) END AS stop
+  FROM z1
+),
+z3 AS (
+  SELECT *, coalesce(found AND close > open AND high > low AND (close - low) / (high - low) >= 0.60 AND turn_ratio >= 1.5 AND low <= l500, false) AS turned,
+         coalesce(impulse >= 1.20 AND dryup <= 0.80, false) AS shape, CASE WHEN close > stop THEN (top - close) / (close - stop) END AS rr, found AND close < bottom AS broken,
+         rn - max(CASE WHEN NOT inz THEN rn ELSE 0 END) OVER ({q.BY} ROWS UNBOUNDED PRECEDING) AS run,
+         coalesce(lag(inz) OVER ({q.BY}), false) AS was, coalesce(max(inz::INT) OVER ({q.BY} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS ever, {q.lag("low")} AS low_1
+  FROM z2
+), fz AS (
+  SELECT *, CASE WHEN found AND low_1 > l500 AND high < l618 THEN 'GAP_THROUGH' WHEN inz AND ever AND NOT was THEN 'RE_ENTERED' WHEN inz THEN 'TRADED_INTO' END AS entry_type,
+         CASE WHEN inz AND shape AND turned AND NOT broken THEN 'TRIGGERED' WHEN inz AND shape AND NOT broken THEN 'ARMED' ELSE 'NONE' END AS status,
+         CASE WHEN n < 65 THEN 'INSUFFICIENT_HISTORY' WHEN broken THEN 'LEG_BROKEN' WHEN NOT found THEN 'NO_VALID_LEG' WHEN NOT inz THEN 'OUT_OF_ZONE' WHEN NOT shape THEN 'VOLUME_UNCONFIRMED'
+              WHEN NOT turned THEN 'NO_REVERSAL_BAR' WHEN rr >= 2.0 THEN NULL ELSE 'RR_BELOW_FLOOR' END AS reason
+  FROM z3
+)"""
+
+
+@query("fib_leg", _recurrent(f"""SELECT f.symbol, f.trade_date, {q.num("fib_leg_low_price", "bottom")}, {q.num("fib_leg_high_price", "top")}, da.trade_date AS fib_leg_low_date, db.trade_date AS fib_leg_high_date,
+dc.trade_date AS fib_leg_confirmed_date, {q.num("fib_leg_amplitude_pct", "span / bottom")}, {q.whole("fib_leg_sessions", "b - a")}
+FROM fz f LEFT JOIN adj da ON da.token = f.token AND da.history_days = f.a LEFT JOIN adj db ON db.token = f.token AND db.history_days = f.b LEFT JOIN adj dc ON dc.token = f.token AND dc.history_days = f.b + 3""", _FIB))
 def fib_leg(spark, d):
-    names = ("fib_leg_low_price", "fib_leg_high_price", *fib.DATES, "fib_leg_amplitude_pct", "fib_leg_sessions")
-    return rows(measured(spark, d, *names), *names)
+    prices, rest = ("fib_leg_low_price", "fib_leg_high_price", "fib_leg_amplitude_pct"), (*fib.DATES, "fib_leg_sessions")
+    return rows(measured(spark, d, *prices, *rest), *map(num, prices), *rest)
+
 
+_ZONE = {
+    **{f"fib_level_{k}": f"l{k}" for k in ("382", "500", "618", "786")},
+    "fib_retracement_ratio": "CASE WHEN span > 0 THEN (top - close) / span END",
+    "fib_max_retracement": "CASE WHEN span > 0 THEN (top - deepest) / span END",
+    "vol_impulse_ratio": "impulse",
+    "vol_dryup_ratio": "dryup",
+    "fib_turn_vol_ratio": "turn_ratio",
+    "fib_stop": "stop",
+    "fib_target": "top",
+    "fib_reward_risk": "rr",
+}
 
-@query("fib_zone")
+
+@query("fib_zone", _recurrent(f"""SELECT symbol, trade_date, {", ".join(q.num(k, x) for k, x in _ZONE.items())}, CASE WHEN ever_found THEN run::BIGINT END AS fib_sessions_in_zone, inz AS in_fib_zone,
+turned AS is_fib_reversal_bar, status AS fib_zone_status, entry_type AS fib_zone_entry_type, reason AS fib_exclusion_reason FROM fz""", _FIB))
 def fib_zone(spark, d):
-    names = [n for n in (*fib.NUMBERS, *fib.FLAGS, *fib.TEXTS) if not n.startswith("fib_leg")]
-    return rows(measured(spark, d, *names), *names)
+    rest = ("fib_sessions_in_zone", *fib.FLAGS, *fib.TEXTS)
+    return rows(measured(spark, d, *_ZONE, *rest), *map(num, _ZONE), *rest)
 
 
 # Cross-section
@@ -354,18 +454,47 @@ def all_metrics(spark, d, key="brand", as_of=None):
     return metrics(source.bars(spark, d, key), source.actions_of(walked), source.instruments(spark, d, key), source.index_series(walked), DEMO, as_of)
 
 
-@query("metrics_all")
+#: All by-symbol columns, base included, then everything across symbols: x5.
+_WHOLE = _FIB + f""", fb0 AS (SELECT *, {q.full("close", 63, "min")} AS trough, {q.full("atr_14", 63, "max", 1)} AS peak FROM fz),
+fb1 AS (SELECT *, {q.lag("CASE WHEN trough > 0 THEN close / trough - 1 END", 14)} AS gain FROM fb0),
+fb2 AS (SELECT *, rn - 1 >= 77 AND base_depth_pct IS NOT NULL AND peak IS NOT NULL AND gain IS NOT NULL AS base_known FROM fb1),
+fb3 AS (SELECT *, base_known AND coalesce(base_depth_pct <= 0.15 AND atr_14 < 0.75 * peak AND gain >= 0.25, false) AS in_base FROM fb2),
+fb AS (
+  SELECT *, CASE WHEN base_known THEN in_base END AS is_in_base, atr_14 / close AS atr_pct_14, CASE WHEN ever_found THEN run END AS fib_sessions_in_zone,
+         CASE WHEN base_known THEN rn - coalesce(max(CASE WHEN NOT in_base THEN rn END) OVER ({q.BY} ROWS UNBOUNDED PRECEDING), 0) END AS base_length_days,
+         CASE WHEN dryup > 0 THEN 1 / dryup END AS inv_vol_dryup, close / support_level - 1 AS support_distance_pct
+  FROM (SELECT f.*, v.reversal_score, v.is_reversal, v.is_pullback_reversal FROM fb3 f JOIN rev v USING (token, history_days))
+){q.ELIGIBLE.replace("m3", "fb")}, x5 AS (
+  SELECT *, trend_template_score >= 8 AS is_trend_template,
+         CASE WHEN close IS NOT NULL AND ema_21 IS NOT NULL AND sma_50 IS NOT NULL AND ret_1w IS NOT NULL AND rsi_14 IS NOT NULL AND trend_template_score IS NOT NULL
+              THEN coalesce(ma_alignment, false) AND trend_template_score >= 8 AND (abs(close / ema_21 - 1) <= 0.03 OR abs(close / sma_50 - 1) <= 0.03) AND ret_1w < 0 AND rsi_14 BETWEEN 40 AND 55 END AS is_pullback
+  FROM x4
+)"""
+
+
+def all_metrics(spark, d, key="brand", as_of=None):
+    walked = source.walked(spark, d, key)
+    return metrics(source.bars_of(walked), source.actions_of(walked), source.instruments_of(walked), source.index_series(walked), DEMO, as_of)
+
+
+_TEMPLATE = ("pct_from_52w_high", "momentum_score", "atr_pct_14", "rel_volume", "rsi_14", "ema_21", "support_level", "support_distance_pct")
+_MARKS = ("is_trend_template", "is_pullback", "is_eligible", "ineligible_reason", "is_in_base", "is_reversal", "is_pullback_reversal")
+_COUNTS = ("rs_rating", "momentum_rank", "trend_template_score", "base_length_days", "reversal_score", "fib_sessions_in_zone")
+
+
+@query("metrics_all", _recurrent(f"SELECT symbol, trade_date, {', '.join(map(q.num, (*RETURNS, *_AVERAGES, *_RANGE, *_TEMPLATE)))}, {', '.join(map(q.whole, _COUNTS))}, {', '.join(_MARKS)}, reason AS fib_exclusion_reason FROM x5", _WHOLE))
 def metrics_all(spark, d):
-    """All metrics of all sessions, as they are stored."""
-    return all_metrics(spark, d)
+    """All metrics of all sessions are computed, as they are stored; those that have no query of their own side by side."""
+    made = all_metrics(spark, d)
+    return rows(made, *map(num, (*RETURNS, *_AVERAGES, *_RANGE, *_TEMPLATE)), *map(whole, _COUNTS), *_MARKS, "fib_exclusion_reason")
 
 
-@query("pullback_flag")
+@query("pullback_flag", _recurrent("SELECT symbol, trade_date, is_pullback FROM x5", _WHOLE))
 def pullback_flag(spark, d):
     return rows(all_metrics(spark, d), "is_pullback")
 
 
-@query("fib_setup_score")
+@query("fib_setup_score", _recurrent(f"SELECT symbol, trade_date, {q.num('fib_setup_score')} FROM scored", _WHOLE + q.scored("fib_setup_score", SETUP_WEIGHTS, "x5")))
 def fib_setup_score(spark, d):
     return rows(all_metrics(spark, d), num("fib_setup_score"))
 
@@ -387,8 +516,8 @@ def screen_sql(where: str, tail: str = "", eligible: bool = True) -> str:
     return q.select(q.num("close"), q.whole("momentum_rank"), source=f"x4 WHERE trade_date = {LAST} AND ({where}){guard} {tail}", parts=q.ELIGIBLE)
 
 
-def screened(spark, d, conditions, op="AND", sort="-close instrument_token", limit=None, everyone=False):
-    definition = presets._screen("query", [], sort, limit, op, everyone)
+def screened(spark, d, conditions, op="AND", sort=(("close", "desc"), ("instrument_token", "asc")), limit=None, everyone=False):
+    definition = presets.screen_of("query", [], sort, limit, op, everyone)
     definition["filters"]["conditions"] = [c if isinstance(c, dict) else dict(zip(("field", "operator", "value"), c)) for c in conditions]
     definition["universe"]["exclude_ineligible"] = not everyone
     return definition
@@ -425,7 +554,7 @@ def ranked_sql(order: str, keep: str) -> str:
 register_screen("screen_top_n", ranked_sql("ret_3m DESC", "7"), ("ret_3m", "top n", 7))
 register_screen("screen_bottom_n", ranked_sql("ret_3m", "5"), ("ret_3m", "bottom n", 5))
 register_screen("screen_top_pct", ranked_sql("ret_3m DESC", "greatest(1, round_even(n * 0.25, 0))"), ("ret_3m", "top n%", 25))
-register_screen("screen_sort_limit", screen_sql("true", "ORDER BY rs_rating DESC NULLS LAST, token LIMIT 6"), sort="-rs_rating instrument_token", limit=6)
+register_screen("screen_sort_limit", screen_sql("true", "ORDER BY rs_rating DESC NULLS LAST, token LIMIT 6"), sort=[("rs_rating", "desc"), ("instrument_token", "asc")], limit=6)
 
 
 @query("screen_matched_count", f"WITH RECURSIVE {q.WALK}, {q.M1}{q.ELIGIBLE} SELECT count(*)::BIGINT AS n FROM x4 WHERE trade_date = {LAST} AND ret_1m > 0 AND is_eligible")
@@ -448,18 +577,50 @@ for _name, _sql in {
 
     _add()
 
-for _name in ("52-Week High Breakout", "Volatility Contraction", "Pullback to Support", "Pullback + Reversal", "Fibonacci Reversal Zone"):
+def signals_sql(where: str, order: str, first: str, limit: int | None, more: str = "", source: str = "x5") -> str:
+    """All matches of all sessions, in the order of the definition."""
+    inner = f"SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY {order}, token) AS place FROM {source} WHERE ({where}) AND is_eligible"
+    cut = f" WHERE place <= {limit}" if limit else ""
+    return _recurrent(f"SELECT trade_date, token, symbol, {q.num('score', f'{first}::DOUBLE')}, place FROM ({inner}){cut}", _WHOLE + more)
 
-    def _add_all(name=_name):
-        @query("preset_" + "".join(c if c.isalnum() else "_" for c in name.lower()))
+
+for _name, _sql in {
+    "52-Week High Breakout": signals_sql("is_52w_high_breakout AND rel_volume >= 1.5 AND atr_pct_14 <= 0.07", "momentum_score DESC NULLS LAST", "momentum_score", 50),
+    "Volatility Contraction": signals_sql(
+        "is_in_base AND base_length_days >= 10 AND rs_rating >= 70 AND range_position_52w >= 0.7", "base_length_days DESC NULLS LAST", "base_length_days", 50
+    ),
+    "Pullback to Support": signals_sql("is_pullback", "momentum_score DESC NULLS LAST", "momentum_score", 50),
+    "Pullback + Reversal": signals_sql(
+        "is_pullback_reversal", "reversal_score DESC NULLS LAST, rs_rating DESC NULLS LAST, support_distance_pct ASC NULLS LAST", "reversal_score", None
+    ),
+    "Fibonacci Reversal Zone": signals_sql(
+        "is_long_term_uptrend AND sma_200_slope_1m > 0 AND rs_rating >= 70 AND inz AND impulse >= 1.20 AND dryup <= 0.80 AND turned AND rr >= 2.0",
+        "fib_setup_score DESC NULLS LAST", "fib_setup_score", 25, q.scored("fib_setup_score", SETUP_WEIGHTS, "x5"), "scored",
+    ),
+}.items():
+
+    def _add_all(name=_name, sql=_sql):
+        @query("preset_" + "".join(c if c.isalnum() else "_" for c in name.lower()), sql)
         def run(spark, d):
             """Matches of every session: on one session these screens are mostly empty."""
-            return screens.signals(all_metrics(spark, d), presets.PRESETS[name], order="definition")
+            found = screens.signals(all_metrics(spark, d), presets.PRESETS[name], order="definition")
+            return found.select("trade_date", "token", "symbol", num("score"), "place")
 
     _add_all()
 
 
-@query("fib_funnel")
+_GATED = "is_eligible AND is_long_term_uptrend AND sma_200_slope_1m > 0 AND rs_rating >= 70"
+_FUNNEL = {
+    "gated": _GATED,
+    "valid_leg": f"{_GATED} AND found",
+    "in_zone": f"{_GATED} AND inz",
+    "volume_shape": f"{_GATED} AND inz AND shape",
+    "reversal_bar": f"{_GATED} AND inz AND shape AND turned",
+    "passed_rr": f"{_GATED} AND inz AND shape AND turned AND rr >= 2.0",
+}
+
+
+@query("fib_funnel", _recurrent(f"SELECT trade_date, count(*)::BIGINT AS universe, {', '.join(f'count_if({x})::BIGINT AS {k}' for k, x in _FUNNEL.items())} FROM x5 GROUP BY trade_date", _WHOLE))
 def fib_funnel(spark, d):
     return presets.fib_funnel(all_metrics(spark, d), DEMO)
 
@@ -571,17 +732,42 @@ def missing_sessions(spark, d):
     return quality.missing_bars(source.bars(spark, d), weekdays)
 
 
-@query("gate_all")
+def other_source(spark, d):
+    """Another source's closes: every thirtieth day of a year token 15's are off by 0.2 %."""
+    off = (F.col("token") == 15) & (F.dayofyear("trade_date") % 30 == 0)
+    return source.bars(spark, d).select("token", "trade_date", (F.col("close") * F.when(off, 1.002).otherwise(1.0)).alias("close"))
+
+
+_CHECKS = {
+    "V1": ("BLOCK", "SELECT CASE WHEN abs(n - 25) > 0.05 * 25 THEN abs(n - 25) ELSE 0 END FROM (SELECT count_if(trade_date = DATE '1998-06-01') AS n FROM sb)"),
+    "V2": ("BLOCK", "SELECT count(*) FROM (SELECT token, trade_date FROM sb GROUP BY ALL HAVING count(*) > 1)"),
+    "V3": ("BLOCK", "SELECT count_if(low > least(open, close) OR high < greatest(open, close)) FROM sb"),
+    "V4": ("BLOCK", "SELECT count_if(open IS NULL OR open <= 0 OR high IS NULL OR high <= 0 OR low IS NULL OR low <= 0 OR close IS NULL OR close <= 0) FROM sb"),
+    "V5": ("WARN", """SELECT count(*) FROM (SELECT token, trade_date, c / lag(c) OVER (PARTITION BY token ORDER BY trade_date) - 1 AS ret FROM (SELECT s.token, s.trade_date, s.close * f.adj_factor AS c
+FROM sb s JOIN fbars f USING (token, trade_date))) r WHERE abs(ret) > 0.35 AND NOT EXISTS (SELECT 1 FROM actions a WHERE a.token = r.token AND a.ex_date = r.trade_date)"""),
+    "V6": ("WARN", "SELECT count_if(coalesce(volume, 0) = 0) FROM sb"),
+    "V7": ("BLOCK", "SELECT count(DISTINCT trade_date) FROM sb WHERE trade_date NOT IN (SELECT trade_date FROM cal)"),
+    "V8": ("WARN", "SELECT count(*) FROM cal WHERE trade_date NOT IN (SELECT trade_date FROM walk)"),
+    "V9": ("WARN", "SELECT count_if(abs(s.close / b.close - 1) > 0.001) FROM sb s JOIN (SELECT token, trade_date, close * CASE WHEN token = 15 AND dayofyear(trade_date) % 30 = 0 THEN 1.002::DOUBLE ELSE 1 END AS close FROM bars) b USING (token, trade_date)"),
+}
+_GATE = f"WITH {q.WALK}, {CAL}, {SPOILED}, gate AS (" + " UNION ALL ".join(
+    f"SELECT '{k}' AS check_id, '{severity}' AS severity, ({sql})::BIGINT AS affected" for k, (severity, sql) in _CHECKS.items()
+) + "), checked AS (SELECT check_id, severity, affected = 0 AS passed, affected FROM gate)"
+
+
+@query("gate_all", _GATE + " SELECT * FROM checked")
 def gate_all(spark, d):
-    return quality.gate(spoiled(spark, d), source.corporate_actions(spark, d), every_day(spark, d), dt.date(1998, 6, 1), 25)
+    return quality.gate(spoiled(spark, d), source.corporate_actions(spark, d), every_day(spark, d), dt.date(1998, 6, 1), 25, other_source(spark, d))
 
 
-@query("gate_decision", "SELECT true AS blocked, 'V1,V2,V3,V4' AS failed_blocks, 'V6,V8' AS warnings WHERE false")
+@query("gate_decision", _GATE + """ SELECT bool_or(NOT passed AND severity = 'BLOCK') AS blocked, coalesce(string_agg(check_id, ',' ORDER BY check_id) FILTER (WHERE NOT passed AND severity = 'BLOCK'), '') AS failed_blocks,
+coalesce(string_agg(check_id, ',' ORDER BY check_id) FILTER (WHERE NOT passed AND severity = 'WARN'), '') AS warnings FROM checked""")
 def gate_decision(spark, d):
     return quality.decision(gate_all(spark, d))
 
 
-SQL.pop("gate_decision")
+gate_query("gate_v1", lambda s, d: quality.row_count(spoiled(s, d), dt.date(1998, 6, 1), 25), "V1", "BLOCK", _CHECKS["V1"][1].replace("FROM (SELECT count_if", "AS affected FROM (SELECT count_if"))
+gate_query("gate_v9", lambda s, d: quality.cross_source(spoiled(s, d), other_source(s, d)), "V9", "WARN", _CHECKS["V9"][1].replace(" FROM sb s", " AS affected FROM sb s"))
 
 
 @query("discontinuities", f"""WITH {q.WALK}, r AS (SELECT token, trade_date, row_number() OVER ({q.BY}) AS rn, close / {q.lag("close")} - 1 AS ret FROM bars),
@@ -606,6 +792,51 @@ def upsert_bars(spark, d):
     return merged.select("token", "trade_date", "close", "delivery_pct")
 
 
+@query("upsert_instruments", f"""WITH {q.WALK} SELECT token, CASE WHEN token % 2 = 0 THEN symbol || '-N' ELSE symbol END AS symbol, series, CASE WHEN token % 4 = 0 THEN 'moved' ELSE industry END AS industry,
+token % 3 <> 0 OR token % 2 = 0 AS is_active, DATE '1995-01-02' AS first_seen, CASE WHEN token % 2 = 0 THEN DATE '1998-01-05' ELSE DATE '1995-01-02' END AS last_seen FROM instruments
+UNION ALL SELECT 99, 'NEW', 'EQ', NULL, true, DATE '1998-01-05', DATE '1998-01-05'""")
+def upsert_instruments(spark, d):
+    """Every second name is listed again, under a new symbol; some with a new industry; one is new."""
+    old = source.instruments(spark, d).selectExpr("token", "symbol", "series", "industry", "token % 3 != 0 as is_active", "date'1995-01-02' as first_seen", "date'1995-01-02' as last_seen")
+    seen = old.where("token % 2 = 0").selectExpr("token", "symbol || '-N' as symbol", "cast(null as string) as series", "if(token % 4 = 0, 'moved', null) as industry")
+    new = spark.createDataFrame([(99, "NEW", "EQ", None)], "token long, symbol string, series string, industry string")
+    return store.upsert_instruments(old, seen.unionByName(new), dt.date(1998, 1, 5))
+
+
+_LATE = "trade_date >= DATE '1998-08-01'"
+
+
+@query("end_of_day", f"""WITH {q.WALK}, touched AS (SELECT DISTINCT trade_date FROM bars WHERE {_LATE} AND token % 2 = 0)
+SELECT token, trade_date, {q.num("close", f"CASE WHEN {_LATE} AND token % 2 = 0 THEN close * 1.01 ELSE close END")}, delivery_pct, trade_date IN (SELECT trade_date FROM touched) AS touched FROM bars""")
+def end_of_day(spark, d):
+    """Corrected closes of the members' last sessions are merged; which sessions have to be computed again."""
+    stored = source.bars(spark, d)
+    named = source.instruments(spark, d)
+    fetched = stored.where(_LATE).withColumn("close", F.col("close") * 1.01).drop("token", "delivery_pct")
+    day = nightly.end_of_day(stored, fetched, named.where("token % 2 = 0"), source.corporate_actions(spark, d), named, source.index_series(source.walk(spark, d)), DEMO)
+    touched = F.broadcast(day.sessions.withColumn("touched", F.lit(True)))
+    return day.bars.join(touched, "trade_date", "left").select("token", "trade_date", num("close"), "delivery_pct", F.coalesce("touched", F.lit(False)).alias("touched"))
+
+
+@query("to_backfill", f"""WITH {q.WALK}, k AS (SELECT token, count(*) AS n, min(trade_date) AS a FROM bars WHERE token % 3 <> 0 OR trade_date > DATE '1995-01-01' GROUP BY token)
+SELECT i.token FROM instruments i LEFT JOIN k USING (token) WHERE NOT coalesce(n >= 252 AND a <= DATE '1994-12-01' + 45, false)""")
+def to_backfill(spark, d):
+    held = source.bars(spark, d).where("token % 3 != 0 or trade_date > date'1995-01-01'")
+    return nightly.to_backfill(source.instruments(spark, d), held, dt.date(1994, 12, 1)).select("token")
+
+
+@query("refetch_from", f"WITH {q.WALK} SELECT min(trade_date) AS start FROM (SELECT DISTINCT trade_date FROM bars ORDER BY trade_date DESC LIMIT 5)")
+def refetch_from(spark, d):
+    return nightly.refetch_from(source.bars(spark, d))
+
+
+@query("relative_strength_as_of", f"WITH RECURSIVE {q.WALK}, {q.M1}, ix AS (SELECT * FROM idx WHERE day(trade_date) % 5 <> 0), ir AS (SELECT trade_date, {_IDX} FROM ix) SELECT symbol, trade_date{_RS} FROM m3 ASOF LEFT JOIN ir USING (trade_date)")
+def relative_strength_as_of(spark, d):
+    """Dates that the index hasn't got take its last session before."""
+    index = source.index_series(source.walk(spark, d)).where("day(trade_date) % 5 != 0")
+    return rows(cross_section.relative_strength(series.returns(adj(spark, d)), index), *map(num, cross_section.INDEX_RETURNS))
+
+
 @query("replace_actions", f"WITH {q.WALK} SELECT token, ex_date, CASE WHEN token % 2 = 0 THEN 'BONUS' ELSE action_type END AS action_type FROM actions")
 def replace_actions(spark, d):
     old = source.corporate_actions(spark, d)
@@ -683,9 +914,24 @@ def index_trend_state(spark, d):
     return indices.trend_states(source.segment_index(spark, d)).select("index_name", "trade_date", "state", "sessions_in_state")
 
 
-@query("index_summary")
+_SUMMARY = f"""WITH {SEGMENTS}, r AS (
+  SELECT *, {_ifull("high", 252, "max")} AS high_52w, {_ifull("low", 252, "min")} AS low_52w, max(high) OVER p AS period_high, arg_max(rn, (high, -rn)) OVER p AS top_rn,
+         {_ifull("close", 50, "avg")} AS s50, {_ifull("close", 200, "avg")} AS s200 FROM seg WINDOW p AS ({IBY} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), t AS (SELECT *, s200 / lag(s200, 21) OVER ({IBY}) - 1 AS slope FROM r),
+u AS (SELECT *, CASE WHEN slope IS NOT NULL THEN CASE WHEN close > s200 AND s50 > s200 AND slope > 0.001 THEN 'UPTREND' WHEN close < s200 AND s50 < s200 AND slope < -0.001 THEN 'DOWNTREND' ELSE 'TRANSITIONAL' END END AS state FROM t),
+v AS (SELECT *, state IS DISTINCT FROM lag(state) OVER ({IBY}) OR rn = 1 AS turned FROM u),
+w AS (SELECT *, rn - max(CASE WHEN turned THEN rn END) OVER ({IBY} ROWS UNBOUNDED PRECEDING) + 1 AS held, max(rn) OVER (PARTITION BY index_name) AS n, lag(trade_date, 251) OVER ({IBY}) AS since FROM v),
+x AS (SELECT *, n >= 252 AND trade_date - since <= 460 AS available FROM w WHERE rn = n)
+SELECT index_name, trade_date, {q.num("close")}, n::BIGINT AS sessions, available, {", ".join(f"CASE WHEN available THEN round({y}, 6) + 0.0 END AS {k}" for k, y in
+  (("high_52w", "high_52w"), ("low_52w", "low_52w"), ("period_high", "period_high"), ("range_position", "(close - low_52w) / (high_52w - low_52w)"), ("pct_from_52w_high", "close / high_52w - 1"), ("pct_from_period_high", "close / period_high - 1")))},
+       CASE WHEN available THEN (rn - top_rn)::BIGINT END AS sessions_since_high, CASE WHEN available THEN state END AS state, CASE WHEN available AND state IS NOT NULL THEN held::BIGINT END AS sessions_in_state,
+       CASE WHEN NOT available OR state IS NULL THEN 3 WHEN state = 'UPTREND' THEN 0 WHEN state = 'TRANSITIONAL' THEN 1 ELSE 2 END::INT AS sort_key FROM x"""
+
+
+@query("index_summary", _SUMMARY)
 def index_summary(spark, d):
-    return indices.index_metrics(source.segment_index(spark, d))
+    made = indices.index_metrics(source.segment_index(spark, d))
+    return made.select("index_name", "trade_date", num("close"), "sessions", "available", *map(num, _IR), "sessions_since_high", "state", "sessions_in_state", "sort_key")
 
 
 @query("index_coverage", f"""WITH {SEGMENTS}, a AS (SELECT index_name, min(trade_date) AS first_date, max(trade_date) AS last_date, count(*)::BIGINT AS sessions FROM seg GROUP BY index_name),
@@ -775,7 +1021,7 @@ def tax_on_gain(spark, d):
 
 def leaders(spark, d):
     """Signals of all sessions: the strongest names in an uptrend."""
-    definition = screened(spark, d, [("momentum_rank", "<=", 5), ("is_long_term_uptrend", "=", True)], sort="momentum_rank", limit=5)
+    definition = screened(spark, d, [("momentum_rank", "<=", 5), ("is_long_term_uptrend", "=", True)], sort=[("momentum_rank", "asc")], limit=5)
     made = cross_section.momentum_rank(named(spark, d, "atr_14", "support_level"))
     return made, screens.signals(made, definition, order="definition")
 
@@ -786,10 +1032,14 @@ def signals_over_range(spark, d):
     return leaders(spark, d)[1].select("symbol", "trade_date", "token", num("score"), "place")
 
 
-@query("price_panel")
+_PRICES = {"open": "open", "high": "high", "low": "low", "close": "close", "atr": "atr_14", "support": "support_level"}
+
+
+@query("price_panel", _recurrent(f"""SELECT trade_date, token, {", ".join(q.num(k, x) for k, x in _PRICES.items())} FROM r0
+WHERE token IN (SELECT token FROM x4 WHERE momentum_rank <= 5 AND is_long_term_uptrend AND is_eligible)""", q.ELIGIBLE))
 def price_panel(spark, d):
     made, signals = leaders(spark, d)
-    return backtest.price_panel(made, signals)
+    return backtest.price_panel(made, signals).select("trade_date", "token", *map(num, _PRICES))
 
 
 @query("simulate_atr")
@@ -833,6 +1083,14 @@ def sweep(spark, d):
     return backtest.sweep(made, signals, None, backtest.Config(max_positions=5), "atr_multiple", [1.5, 2.0, 2.5, 3.0])
 
 
+@query("walk_forward")
+def walk_forward(spark, d):
+    """Windows of two years and one: the multiple that did best is measured on the year after."""
+    made, signals = leaders(spark, d)
+    made = made.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else made
+    return backtest.walk_forward(made, signals, backtest.Config(max_positions=5), "atr_multiple", [1.5, 2.5], 504, 252)
+
+
 @query("survivorship", f"WITH {q.WALK} SELECT 10::BIGINT AS closed_memberships, DATE '1995-01-02' AS first_membership, min(trade_date) AS first_bar, DATE '1995-01-02' <= min(trade_date) AS reconstructable FROM walk")
 def survivorship(spark, d):
     members = spark.range(25).selectExpr("date'1995-01-02' as valid_from", "if(id < 10, date'1998-01-05', null) as valid_to")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from datetime import date, datetime, timedelta
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,12 +73,24 @@ def staleness(data_as_of: date | None, expected: date | None, stamped: str | Non
     return False, None
 
 
-def engine_fingerprint() -> str:
-    """A digest of the modules that define the metrics; line ends don't count."""
-    import hashlib
-    from pathlib import Path
-
-    root, digest = Path(__file__).resolve().parent.parent, hashlib.blake2b(digest_size=16)
-    for name in ("config.py", "functions/frames.py", "functions/recurrences.py", "functions/fib.py", "operators/series.py", "operators/adjust.py", "operators/cross_section.py"):
+#: The modules that define the metrics.
+DEFINING = (
+    "config.py",
+    "functions/fib.py",
+    "functions/frames.py",
+    "functions/recurrences.py",
+    "functions/symbol.py",
+    "functions/windows.py",
+    "operators/adjust.py",
+    "operators/cross_section.py",
+    "operators/series.py",
+    "plans/engine.py",
+)
+
+
+def engine_fingerprint(root: Path | None = None) -> str:
+    """A digest of the modules that define the metrics (under root); line ends don't count."""
+    root, digest = root or Path(__file__).resolve().parent.parent, hashlib.blake2b(digest_size=16)
+    for name in DEFINING:
         digest.update((root / name).read_bytes().replace(b"\r\n", b"\n"))
     return digest.hexdigest()

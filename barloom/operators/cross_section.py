@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.config import COMPOSITE_WEIGHTS, DEFAULT, SETUP_WEIGHTS, Settings
@@ -36,14 +36,29 @@ def eligibility(rows: DataFrame, s: Settings = DEFAULT, excluded: DataFrame | No
     return rows.withColumn("is_eligible", F.col("ineligible_reason").isNull())
 
 
-def relative_strength(rows: DataFrame, index: DataFrame) -> DataFrame:
-    """rs_1m .. rs_12m against index (trade_date, close): one row a session, so the joined side is small and bounded."""
-    from pyspark.sql import Window
+def index_returns(index: DataFrame) -> DataFrame:
+    """(since, until, _rs_1m ..): the index's returns of each session, which hold until the next session begins.
 
+    index (trade_date, close) has one row a session, so a window over all of it is small and bounded.
+    """
     line = Window.orderBy("trade_date")
     c = F.col("close")
-    back = index.select("trade_date", *[(over(c, F.lag(c, n).over(line)) - 1).alias(f"_{k}") for k, n in INDEX_RETURNS.items()])
-    joined = rows.join(back, "trade_date", "left")
+    made = [(over(c, F.lag(c, n).over(line)) - 1).alias(f"_{k}") for k, n in INDEX_RETURNS.items()]
+    return index.select(F.col("trade_date").alias("since"), F.lead("trade_date").over(line).alias("until"), *made)
+
+
+def relative_strength(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """rs_1m .. rs_12m against index (trade_date, close), as of each row's date: a date that the index hasn't got takes the
+    last session before it."""
+    day, spans = F.col("trade_date"), index_returns(index)
+    months = F.sequence(F.trunc("since", "MM"), F.trunc(F.date_sub("until", 1), "MM"), F.expr("interval 1 month"))
+    # one row a session of one index: a few thousand rows of 50 bytes
+    closed = spans.where("until is not null").withColumn("_month", F.explode(months))
+    here = (F.trunc(day, "MM") == F.col("_month")) & (day >= F.col("since")) & (day < F.col("until"))
+    latest = spans.where("until is null").select(F.col("since").alias("_last"), *[F.col(f"_{k}").alias(f"_last_{k}") for k in INDEX_RETURNS])
+    joined = rows.join(F.broadcast(closed), here, "left").join(F.broadcast(latest), day >= F.col("_last"), "left")
+    joined = joined.withColumns({f"_{k}": F.when(F.col("_last").isNotNull(), F.col(f"_last_{k}")).otherwise(F.col(f"_{k}")) for k in INDEX_RETURNS})
+    joined = joined.drop("since", "until", "_month", "_last", *[f"_last_{k}" for k in INDEX_RETURNS])
     made = {k: F.when(F.col(f"_{k}") > -1, (1 + F.col(k.replace("rs_", "ret_"))) / (1 + F.col(f"_{k}")) - 1) for k in INDEX_RETURNS}
     return joined.withColumns(made).drop(*[f"_{k}" for k in INDEX_RETURNS])
 

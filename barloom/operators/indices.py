@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.frames import over
@@ -22,8 +22,12 @@ def _full(c: str, n: int, agg):
 
 
 def index_ranges(index: DataFrame) -> DataFrame:
-    """index (index_name, trade_date, high, low, close) with its 52-week range, today included, and earlier period high."""
+    """index (index_name, trade_date, high, low, close) with its 52-week range, today included, and earlier period high.
+
+    A null high or low, as in a series of closes alone, is the close.
+    """
     c = F.col("close")
+    index = index.withColumns({"high": F.coalesce("high", "close"), "low": F.coalesce("low", "close")})
     made = index.withColumns(
         {
             "rn": F.row_number().over(by()).cast("long"),
@@ -58,31 +62,64 @@ def trend_states(index: DataFrame) -> DataFrame:
     return made.withColumn("sessions_in_state", F.when(F.col("state").isNotNull(), F.col("_rn") - began + 1).cast("long")).drop("_rn")
 
 
+MEASURED = ("high_52w", "low_52w", "period_high", "range_position", "pct_from_52w_high", "pct_from_period_high", "sessions_since_high", "state", "sessions_in_state", "sma_50", "sma_200")
+
+
 def index_metrics(index: DataFrame) -> DataFrame:
-    """The latest row of each index with ranges and trend, uptrends first, then by range position."""
+    """The latest row of each index with ranges and trend, uptrends first, then by range position.
+
+    available is false, and all measures are null, where the last 252 sessions aren't daily (coverage()): a 52-week window
+    would then measure another span than it names. reason says why something isn't there.
+    """
     rows = trend_states(index_ranges(index))
     latest = rows.withColumn("_p", F.row_number().over(Window.partitionBy("index_name").orderBy(F.desc("trade_date")))).where("_p = 1").drop("_p")
+    known = coverage(index).select("index_name", "daily", "sessions", F.datediff("last_date", "window_from").alias("span"))
+    joined = latest.join(known, "index_name").withColumnRenamed("daily", "available")
+    joined = joined.withColumns({c: F.when(F.col("available"), F.col(c)) for c in MEASURED})
+    thin = F.concat(F.lit("the last sessions span "), F.col("span").cast("string"), F.lit(" days: not a daily series"))
+    short = F.concat(F.col("sessions").cast("string"), F.lit(" sessions; a trend state needs 221"))
     rank = F.when(F.col("state") == "UPTREND", 0).when(F.col("state") == "TRANSITIONAL", 1).when(F.col("state") == "DOWNTREND", 2).otherwise(3)
-    return latest.withColumn("sort_key", rank).orderBy("sort_key", F.desc_nulls_last("range_position"), "index_name")
+    made = joined.withColumns({"reason": F.when(~F.col("available"), thin).when(F.col("state").isNull(), short), "sort_key": rank})
+    return made.drop("rn", "slope", "span").orderBy("sort_key", F.desc_nulls_last("range_position"), "index_name")
+
+
+def weekdays_between(first: Column, last: Column) -> Column:
+    """Monday to Friday, both ends included: whole weeks, and those of the rest from the first day on."""
+    span = F.datediff(last, first) + 1
+    extra = F.size(F.filter(F.sequence(F.lit(0), F.lit(6)), lambda k: (k < span % 7) & ((F.weekday(first) + k) % 7 < 5)))
+    return (F.floor(span / 7) * 5 + extra).cast("long")
 
 
-def coverage(index: DataFrame) -> DataFrame:
-    """(index_name, first_date, last_date, sessions, expected, density, daily): expected counts weekdays."""
+def coverage(index: DataFrame, calendar: DataFrame | None = None, inception: DataFrame | None = None) -> DataFrame:
+    """(index_name, first_date, last_date, sessions, window_from, expected, density, daily, reaches_inception).
+
+    expected counts the trading days of calendar (trade_date, is_trading_day) where it spans the whole series, else
+    weekdays. daily: the last 252 sessions lie within 460 days. inception (index_name, inception) says when an index
+    began; unknown counts as not reached.
+    """
     back = Window.partitionBy("index_name").orderBy(F.desc("trade_date"))
     recent = index.withColumn("_p", F.row_number().over(back))
     made = recent.groupBy("index_name").agg(
         F.min("trade_date").alias("first_date"),
         F.max("trade_date").alias("last_date"),
         F.count("*").alias("sessions"),
-        F.min(F.when(F.col("_p") <= YEAR, F.col("trade_date"))).alias("_from"),
+        F.min(F.when(F.col("_p") <= YEAR, F.col("trade_date"))).alias("window_from"),
     )
-    span = F.datediff("last_date", "first_date") + 1
-    # weekdays: whole weeks, and those of the rest from the first day on
-    rest, at = span % 7, F.weekday("first_date")
-    extra = F.size(F.filter(F.sequence(F.lit(0), F.lit(6)), lambda k: (k < rest) & ((at + k) % 7 < 5)))
-    expected = (F.floor(span / 7) * 5 + extra).cast("long")
-    daily = (F.col("sessions") >= YEAR) & (F.datediff("last_date", "_from") <= DAILY_SPAN)
-    return made.withColumns({"expected": expected, "daily": daily}).withColumn("density", F.col("sessions") / F.col("expected")).drop("_from")
+    usual = weekdays_between(F.col("first_date"), F.col("last_date"))
+    if calendar is not None:
+        span = F.col("trade_date").between(F.col("first_date"), F.col("last_date"))
+        # a row for each index, and a calendar of a few thousand days
+        within = made.join(F.broadcast(calendar), span).groupBy("index_name").agg(F.count_if("is_trading_day").alias("_open"))
+        ends = calendar.agg(F.min("trade_date").alias("_a"), F.max("trade_date").alias("_b"))
+        made = made.join(within, "index_name", "left").join(F.broadcast(ends), (F.col("_a") <= F.col("first_date")) & (F.col("_b") >= F.col("last_date")), "left")
+        usual = F.when(F.col("_a").isNotNull(), F.coalesce("_open", F.lit(0))).otherwise(usual)
+    reached = F.lit(False)
+    if inception is not None:
+        made = made.join(F.broadcast(inception.select("index_name", F.col("inception").alias("_began"))), "index_name", "left")
+        reached = F.coalesce(F.col("first_date") <= F.col("_began"), F.lit(False))
+    daily = (F.col("sessions") >= YEAR) & (F.datediff("last_date", "window_from") <= DAILY_SPAN)
+    made = made.withColumns({"expected": usual, "daily": daily, "reaches_inception": reached})
+    return made.withColumn("density", F.col("sessions") / F.col("expected")).drop("_open", "_a", "_b", "_began")
 
 
 def valuation(history: DataFrame, horizons: tuple[int, ...] = (7, 10)) -> DataFrame:

@@ -18,10 +18,33 @@ def _row(checked: DataFrame, check: str, severity: str, affected: Column) -> Dat
     )
 
 
+def bad_order() -> Column:
+    """V3's condition: a low above the open or close, or a high under them."""
+    return (F.col("low") > F.least("open", "close")) | (F.col("high") < F.greatest("open", "close"))
+
+
+def bad_price() -> Column:
+    """V4's condition: a price that isn't there or not above 0."""
+    bad = F.lit(False)
+    for c in ("open", "high", "low", "close"):
+        bad = bad | F.col(c).isNull() | (F.col(c) <= 0)
+    return bad
+
+
+def no_volume() -> Column:
+    """V6's condition."""
+    return F.coalesce("volume", F.lit(0)) == 0
+
+
+def rows_off(as_of, expected: int) -> Column:
+    """V1's count: how far the session's rows are from what is expected; null within 5 %."""
+    n = F.count_if(F.col("trade_date") == F.lit(as_of))
+    return F.when(F.abs(n - expected) > ROWS_OFF * expected, F.abs(n - expected))
+
+
 def row_count(bars: DataFrame, as_of, expected: int) -> DataFrame:
     """V1: the session has a number of rows within 5 % of what is expected."""
-    n = F.count_if(F.col("trade_date") == F.lit(as_of))
-    return _row(bars, "V1", "BLOCK", F.when(F.abs(n - expected) > ROWS_OFF * expected, F.abs(n - expected)))
+    return _row(bars, "V1", "BLOCK", rows_off(as_of, expected))
 
 
 def duplicates(bars: DataFrame) -> DataFrame:
@@ -31,16 +54,20 @@ def duplicates(bars: DataFrame) -> DataFrame:
 
 def ohlc_order(bars: DataFrame) -> DataFrame:
     """V3: low <= open, close <= high."""
-    bad = (F.col("low") > F.least("open", "close")) | (F.col("high") < F.greatest("open", "close"))
-    return _row(bars, "V3", "BLOCK", F.count_if(bad))
+    return _row(bars, "V3", "BLOCK", F.count_if(bad_order()))
 
 
 def positive(bars: DataFrame) -> DataFrame:
     """V4: prices are there and above 0."""
-    bad = F.lit(False)
-    for c in ("open", "high", "low", "close"):
-        bad = bad | F.col(c).isNull() | (F.col(c) <= 0)
-    return _row(bars, "V4", "BLOCK", F.count_if(bad))
+    return _row(bars, "V4", "BLOCK", F.count_if(bad_price()))
+
+
+def by_row(bars: DataFrame, as_of, expected: int) -> DataFrame:
+    """V1, V3, V4 and V6, which look at each row alone, in one aggregation."""
+    counts = {"V1": rows_off(as_of, expected), "V3": F.count_if(bad_order()), "V4": F.count_if(bad_price()), "V6": F.count_if(no_volume())}
+    sums = bars.agg(*[F.coalesce(n, F.lit(0)).cast("long").alias(k) for k, n in counts.items()])
+    found = [F.struct(F.lit(k).alias("check_id"), F.lit("WARN" if k == "V6" else "BLOCK").alias("severity"), (F.col(k) == 0).alias("passed"), F.col(k).alias("affected")) for k in counts]
+    return sums.select(F.inline(F.array(*found)))
 
 
 def outliers(bars: DataFrame, actions: DataFrame) -> DataFrame:
@@ -53,7 +80,7 @@ def outliers(bars: DataFrame, actions: DataFrame) -> DataFrame:
 
 def zero_volume(bars: DataFrame) -> DataFrame:
     """V6."""
-    return _row(bars, "V6", "WARN", F.count_if(F.coalesce("volume", F.lit(0)) == 0))
+    return _row(bars, "V6", "WARN", F.count_if(no_volume()))
 
 
 def session_validity(bars: DataFrame, calendar: DataFrame) -> DataFrame:
@@ -85,27 +112,25 @@ def cross_source(bars: DataFrame, other: DataFrame) -> DataFrame:
 
 
 def gate(bars: DataFrame, actions: DataFrame, calendar: DataFrame, as_of, expected: int, other: DataFrame | None = None) -> DataFrame:
-    """(check_id, severity, passed, affected) of V1 to V9; bars have adj_factor. Without another source V9 passes."""
+    """(check_id, severity, passed, affected) of V1 to V9; bars have adj_factor. Without another source V9 isn't run: its
+    passed and affected are null."""
+    not_run = bars.sparkSession.createDataFrame([("V9", "WARN", None, None)], "check_id string, severity string, passed boolean, affected long")
     checks = [
-        row_count(bars, as_of, expected),
         duplicates(bars),
-        ohlc_order(bars),
-        positive(bars),
         _row(outliers(bars, actions), "V5", "WARN", F.count("*")),
-        zero_volume(bars),
         session_validity(bars, calendar),
         _row(missing_sessions(bars, calendar), "V8", "WARN", F.count("*")),
-        cross_source(bars, other if other is not None else bars),
+        cross_source(bars, other) if other is not None else not_run,
     ]
-    whole = checks[0]
-    for c in checks[1:]:
+    whole = by_row(bars, as_of, expected)
+    for c in checks:
         whole = whole.union(c)
     return whole
 
 
 def decision(checks: DataFrame) -> DataFrame:
-    """(blocked, failed_blocks, warnings): blocked if any blocking check failed."""
-    failed = ~F.col("passed")
+    """(blocked, failed_blocks, warnings): blocked if any blocking check failed; one that wasn't run hasn't failed."""
+    failed = F.coalesce(~F.col("passed"), F.lit(False))
     names = {k: F.array_join(F.array_sort(F.collect_list(F.when(failed & (F.col("severity") == k), F.col("check_id")))), ",") for k in ("BLOCK", "WARN")}
     return checks.agg(
         F.coalesce(F.bool_or(failed & (F.col("severity") == "BLOCK")), F.lit(False)).alias("blocked"),

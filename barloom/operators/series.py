@@ -44,8 +44,8 @@ def as_arrow(values: np.ndarray, kind: T.DataType) -> pa.Array:
     return pa.array(values.tolist(), ARROW[kind.simpleString()])
 
 
-def measured(bars: DataFrame, only: list[str] | tuple[str, ...] | None = None, s: Settings = DEFAULT, as_of=None) -> DataFrame:
-    """Adjusted bars with the metrics named in only (all without it), for all sessions or the session as_of alone.
+def measured(bars: DataFrame, only: list[str] | tuple[str, ...] | None = None, s: Settings = DEFAULT, sessions: list | None = None) -> DataFrame:
+    """Adjusted bars with the metrics named in only (all without it), for all sessions or those listed alone.
 
     What isn't known is null: windows that aren't full, or have a null in them. Bars of one symbol and date are expected
     once. An empty table gives an empty result.
@@ -65,13 +65,13 @@ def measured(bars: DataFrame, only: list[str] | tuple[str, ...] | None = None, s
             p[c] = np.array(column.to_pylist(), dtype=object) if dates else column.cast(pa.float64()).to_numpy()
         made = compute(p, steps, s)
         table = pa.table([*group.columns, *(as_arrow(made[c], KINDS[c]) for c in wanted)], names=schema.names)
-        return table if as_of is None else table.filter(pa.compute.equal(table.column("trade_date"), pa.scalar(as_of, pa.date32())))
+        return table if sessions is None else table.filter(pa.compute.is_in(table.column("trade_date"), pa.array(sessions, pa.date32())))
 
     import pyarrow.compute  # noqa: F401
 
     return bars.groupBy("token").applyInArrow(run, schema)
 
 
-def series_metrics(bars: DataFrame, s: Settings = DEFAULT, as_of=None) -> DataFrame:
+def series_metrics(bars: DataFrame, s: Settings = DEFAULT, sessions: list | None = None) -> DataFrame:
     """Every by-symbol metric, from bars with adj_factor."""
-    return measured(adjusted(bars), None, s, as_of)
+    return measured(adjusted(bars), None, s, sessions)

@@ -23,6 +23,21 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep_known: list[str
     return a.join(b, on, "full").select(*[pick(c) for c in old.columns])
 
 
+def upsert_instruments(old: DataFrame, seen: DataFrame, day) -> DataFrame:
+    """old (token, symbol, ..., is_active, first_seen, last_seen) after `seen` was listed on day.
+
+    A listed instrument takes the new symbol, keeps what is known where the list says nothing, and is active again; a new
+    one was first seen on day; the rest stay as they are. seen must have one row for each token.
+    """
+    on = F.lit(day).cast("date")
+    marks = {"is_active": F.lit(True), "last_seen": on, "first_seen": on}
+    given = seen.withColumns({c: v for c, v in marks.items() if c in old.columns})
+    kept = [c for c in old.columns if c not in ("token", "symbol", *marks)]
+    first = old.select("token", F.col("first_seen").alias("_first"))
+    merged = upsert(old, given, ["token"], kept).join(first, "token", "left")
+    return merged.withColumn("first_seen", F.coalesce("_first", "first_seen")).select(*old.columns)
+
+
 def replace_keys(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """old without any row of the keys that new has, and new."""
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new.select(*old.columns))

@@ -1,7 +1,7 @@
 """Replay of a screen: signals and prices by Catalyst, then one sequential fold for each configuration.
 
-A fold can't be split over time, so configurations are the unit of parallelism: each is one group of an Arrow grouped
-map. What a group reads is a panel of at most a few thousand sessions of the symbols that ever had a signal.
+A fold can't be split over time, so configurations are the unit of parallelism: they are dealt to the groups of an Arrow
+grouped map. What a group reads is a panel of at most a few thousand sessions of the symbols that ever had a signal.
 """
 
 from __future__ import annotations
@@ -34,7 +34,8 @@ class Config:
     first_give: float = 0.04
     second_mark: float = 0.12
     second_give: float = 0.02
-    cooldown: int = 0
+    #: Sessions before a symbol is entered again after an exit (tiered only); None: it may be at once.
+    cooldown: int | None = None
     max_hold: int | None = None
     hold_only_losers: bool = False
     withhold: bool = True
@@ -115,13 +116,14 @@ class Book:
         return total
 
     def fill(self, t: Trade, slot: int) -> tuple[float, str] | None:
-        """Price and reason of an exit in this session."""
+        """Price and reason of an exit that is due in this session; the price is NaN if it waits for an open."""
         open_, c, day = self.at(t.token, "open", slot), self.c, self.panel.days[slot]
         if self.at(t.token, "low", slot) <= t.stop:
             return (t.stop if open_ != open_ else min(open_, t.stop)), "stop"
         if slot and t.token in self.exits.get(self.panel.days[slot - 1], ()):
-            return (open_, "exit_signal") if open_ == open_ else None
-        if c.max_hold is not None and (day - t.entry_date).days >= c.max_hold and open_ == open_:
+            return open_, "exit_signal"
+        if c.max_hold is not None and (day - t.entry_date).days >= c.max_hold:
+            # of losers alone: without an open there is no telling, and the trade goes on
             if not c.hold_only_losers or open_ / t.entry - 1 <= 0:
                 return open_, "time"
         return None
@@ -131,7 +133,7 @@ class Book:
         if c.exit_rule == "tiered":
             t.peak = max(t.peak, close / t.entry - 1)
             for mark, give in ((c.first_mark, c.first_give), (c.second_mark, c.second_give)):
-                if t.peak >= mark - 1e-12:
+                if t.peak >= mark:
                     t.stop = max(t.stop, t.entry * (1 + t.peak - give))
         elif c.trailing:
             atr = self.at(t.token, "atr", slot)
@@ -162,7 +164,7 @@ class Book:
         c = self.c
         if token in self.open or token not in self.panel.rows or not slot:
             return
-        if c.exit_rule == "tiered" and token in self.left_at and slot - self.left_at[token] <= c.cooldown:
+        if c.exit_rule == "tiered" and c.cooldown is not None and slot - self.left_at.get(token, -c.cooldown) < c.cooldown:
             return
         open_, atr = self.at(token, "open", slot), self.at(token, "atr", slot - 1)
         if not open_ > 0 or atr != atr:
@@ -193,7 +195,7 @@ class Book:
             found = self.fill(t, slot)
             if found is None:
                 self.raise_stop(t, slot)
-            else:
+            elif found[0] == found[0]:
                 self.leave(t, *found, slot)
         for token in self.entries.get(self.panel.days[slot - 1], ()) if slot else ():
             if len(self.open) >= self.c.max_positions:
@@ -223,11 +225,28 @@ def _by_day(pdf: pd.DataFrame) -> dict:
 RESULT = "config_id int, kind string, trade_date date, equity double, exposure double, token long, entry_date date, entry double, exit double, quantity long, reason string, costs double, tds double, holding_days int, net_return_pct double"
 
 
-def backtests(metrics: DataFrame, entries: DataFrame, exits: DataFrame | None, configs: list[Config]) -> DataFrame:
+def played(panel: pd.DataFrame, entries: dict, exits: dict, days: list, number: int, c: Config) -> pd.DataFrame:
+    """The rows of RESULT for one configuration over days."""
+    book = Book(Panel.of(panel, days), entries, exits, c).run()
+    equity = pd.DataFrame(book.curve, columns=["trade_date", "equity", "exposure"]).assign(kind="equity")
+    trades = pd.DataFrame(book.closed).assign(kind="trade")
+    if len(book.closed):
+        trades["trade_date"] = trades["exit_date"]
+    whole = pd.concat([equity, trades]).assign(config_id=number)
+    whole = whole.reindex(columns=[x.split()[0] for x in RESULT.split(", ")])
+    for name in ("token", "quantity", "holding_days"):
+        whole[name] = whole[name].astype("Int64")
+    for name in ("entry_date", "reason"):
+        whole[name] = whole[name].astype(object).where(whole[name].notna(), None)
+    return whole
+
+
+def backtests(metrics: DataFrame, entries: DataFrame, exits: DataFrame | None, configs: list[Config], spans: list[tuple] | None = None) -> DataFrame:
     """Equity (kind "equity") and closed trades (kind "trade") of each configuration, all in parallel.
 
-    entries and exits come from screens.signals(). Each configuration gets a copy of the panel and signals: a few MB,
-    bounded by symbols with signals times sessions.
+    entries and exits come from screens.signals(). spans has the first and last date for each configuration; without it
+    each runs over all sessions of metrics. Configurations are dealt to as many tasks as there are shuffle partitions at
+    most, and each task has one copy of the panel and signals: symbols with signals times sessions.
     """
     spark = metrics.sparkSession
     panel = price_panel(metrics, entries)
@@ -239,28 +258,23 @@ def backtests(metrics: DataFrame, entries: DataFrame, exits: DataFrame | None, c
             parts = parts.union(signals.select(F.lit(name), "trade_date", "token", *nothing, "place"))
     days = metrics.select("trade_date").distinct()
     parts = parts.union(days.select(F.lit("d"), "trade_date", F.lit(0).cast("long"), *nothing, place))
-    ids = spark.createDataFrame([(i,) for i in range(len(configs))], "config_id int")  # a row for each configuration
-    copies = parts.crossJoin(F.broadcast(ids))
+    tasks = min(len(configs), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    copies = parts.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        c = configs[key[0]]
         part = {k: v for k, v in pdf.groupby("part")}
         empty = pdf.iloc[:0]
-        dates = sorted(part["d"]["trade_date"])
-        book = Book(Panel.of(part.get("p", empty), dates), _by_day(part.get("e", empty)), _by_day(part.get("x", empty)), c).run()
-        equity = pd.DataFrame(book.curve, columns=["trade_date", "equity", "exposure"]).assign(kind="equity")
-        trades = pd.DataFrame(book.closed).assign(kind="trade")
-        if len(book.closed):
-            trades["trade_date"] = trades["exit_date"]
-        whole = pd.concat([equity, trades]).assign(config_id=key[0])
-        whole = whole.reindex(columns=[x.split()[0] for x in RESULT.split(", ")])
-        for name in ("token", "quantity", "holding_days"):
-            whole[name] = whole[name].astype("Int64")
-        for name in ("entry_date", "reason"):
-            whole[name] = whole[name].astype(object).where(whole[name].notna(), None)
-        return whole
-
-    return copies.groupBy("config_id").applyInPandas(run, RESULT)
+        dates, panel = sorted(part["d"]["trade_date"]), part.get("p", empty)
+        entries, exits = _by_day(part.get("e", empty)), _by_day(part.get("x", empty))
+        made = []
+        for number in range(key[0], len(configs), tasks):
+            a, b = spans[number] if spans else (dates[0], dates[-1])
+            here = [d for d in dates if a <= d <= b]
+            rows = panel[(panel["trade_date"] >= a) & (panel["trade_date"] <= b)]
+            made.append(played(rows, entries, exits, here, number, configs[number]))
+        return pd.concat(made)
+
+    return copies.groupBy("task").applyInPandas(run, RESULT)
 
 
 def with_and_without_tax(config: Config) -> list[Config]:
@@ -381,22 +395,34 @@ def verdict(points: list[tuple[float, float]], tolerance: float = 0.25) -> dict:
 def walk_forward(metrics: DataFrame, entries: DataFrame, base: Config, name: str, values: list, train: int, test: int) -> DataFrame:
     """(train_from, test_from, test_to, value, in_sample, out_of_sample, degraded): choose on one span, measure on the next.
 
-    The list of sessions (a few thousand dates) and one score for each value and window come to the driver.
+    All windows and values run in one job, then all chosen values in another. The list of sessions (a few thousand dates)
+    and one score for each value and window come to the driver. metrics is read by both jobs, so it should be a written
+    table.
     """
+    spark = metrics.sparkSession
     sessions = [r[0] for r in metrics.select("trade_date").distinct().orderBy("trade_date").collect()]
-    rows = []
-
-    def between(df, a, b):
-        return df.where(F.col("trade_date").between(F.lit(a), F.lit(b)))
-
-    for a, b, c, d in windows(sessions, train, test):
-        seen = sweep(between(metrics, a, b), between(entries, a, b), None, base, name, values).orderBy("value_no").collect()
-        best = verdict([(r["value"], r["score"]) for r in seen])
-        if best["best"] is None:
-            continue
-        after = sweep(between(metrics, c, d), between(entries, c, d), None, base, name, [best["best"]]).first()["score"]
-        rows.append((a, c, d, float(best["best"]), best["score"], after, after is not None and after < best["score"] / 2))
-    return metrics.sparkSession.createDataFrame(
+    cut = windows(sessions, train, test)
+    trials = [(w, v) for w in cut for v in values]
+
+    def scores(runs: list[tuple], first: int) -> list[float | None]:
+        """Net CAGR of each (window, value) over the window's span that begins at its element `first`."""
+        if not runs:
+            return []
+        configs = [replace(base, **{name: v}) for _, v in runs]
+        made = backtests(metrics, entries, None, configs, [(w[first], w[first + 1]) for w, _ in runs])
+        found = performance(made.where("kind = 'equity'"), base.initial).select("config_id", "cagr_pct").collect()
+        by_run = {r["config_id"]: r["cagr_pct"] for r in found}
+        return [by_run.get(k) for k in range(len(runs))]
+
+    seen = scores(trials, 0)
+    chosen = []
+    for k, w in enumerate(cut):
+        best = verdict([(float(v), x) for v, x in zip(values, seen[k * len(values) :])])
+        if best["best"] is not None:
+            chosen.append((w, best["best"], best["score"]))
+    after = scores([(w, v) for w, v, _ in chosen], 2)
+    rows = [(w[0], w[2], w[3], float(v), x, y, y is not None and y < x / 2) for (w, v, x), y in zip(chosen, after)]
+    return spark.createDataFrame(
         rows, "train_from date, test_from date, test_to date, value double, in_sample double, out_of_sample double, degraded boolean"
     )
 

@@ -20,13 +20,15 @@ def metrics(
     as_of=None,
     excluded: DataFrame | None = None,
     breaks: DataFrame | None = None,
+    sessions: list | None = None,
 ) -> DataFrame:
-    """All metrics of all sessions, or of the session as_of alone (then later bars are never read).
+    """All metrics of all sessions, of the sessions listed, or of the session as_of alone (then later bars are never read).
 
     The series pass needs each symbol's whole history; its rows of other sessions never leave the workers.
     """
     if as_of is not None:
+        sessions = [as_of]
         bars, index = bars.where(F.col("trade_date") <= F.lit(as_of)), index.where(F.col("trade_date") <= F.lit(as_of))
-    rows = series_metrics(with_factors(bars, actions), s, as_of)
+    rows = series_metrics(with_factors(bars, actions), s, sessions)
     named = instruments.select("token", "series", "industry", "name", "float_shares")
     return cross_section(rows.join(named, "token", "left"), index, s, excluded, breaks)

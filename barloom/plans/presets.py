@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from barloom.config import DEFAULT, Settings
 
 
-def _screen(name: str, conditions: list[tuple], sort: str, limit: int | None, op: str = "AND", everyone: bool = False) -> dict:
-    """conditions: (field, operator, value); sort: fields, each with - in front for descending."""
+def screen_of(
+    name: str, conditions: list[tuple], sort: list[tuple[str, str]], limit: int | None, op: str = "AND", everyone: bool = False
+) -> dict:
+    """conditions: (field, operator, value); sort: (field, direction)."""
     made = {
         "name": name,
         "version": 1,
         "universe": {"index": DEFAULT.index_name, "exclude_ineligible": not everyone},
         "filters": {"op": op, "conditions": [{"field": f, "operator": o, "value": v} for f, o, v in conditions]},
-        "sort": [{"field": f.lstrip("-"), "direction": "desc" if f[0] == "-" else "asc"} for f in sort.split()],
+        "sort": [{"field": f, "direction": d} for f, d in sort],
     }
     return made if limit is None else made | {"limit": limit}
 
@@ -23,28 +25,28 @@ def _screen(name: str, conditions: list[tuple], sort: str, limit: int | None, op
 PRESETS = {
     p["name"]: p
     for p in (
-        _screen("Momentum Leaders", [("momentum_rank", "<=", 20), ("gap_disqualified", "=", False)], "momentum_rank", 20),
-        _screen("Trend Template", [("is_trend_template", "=", True)], "-rs_rating", 100),
-        _screen(
+        screen_of("Momentum Leaders", [("momentum_rank", "<=", 20), ("gap_disqualified", "=", False)], [("momentum_rank", "asc")], 20),
+        screen_of("Trend Template", [("is_trend_template", "=", True)], [("rs_rating", "desc")], 100),
+        screen_of(
             "52-Week High Breakout",
             [("is_52w_high_breakout", "=", True), ("rel_volume", ">=", 1.5), ("atr_pct_14", "<=", 0.07)],
-            "-momentum_score",
+            [("momentum_score", "desc")],
             50,
         ),
-        _screen(
+        screen_of(
             "Volatility Contraction",
             [("is_in_base", "=", True), ("base_length_days", ">=", 10), ("rs_rating", ">=", 70), ("range_position_52w", ">=", 0.7)],
-            "-base_length_days",
+            [("base_length_days", "desc")],
             50,
         ),
-        _screen("Pullback to Support", [("is_pullback", "=", True)], "-momentum_score", 50),
-        _screen(
+        screen_of("Pullback to Support", [("is_pullback", "=", True)], [("momentum_score", "desc")], 50),
+        screen_of(
             "Pullback + Reversal",
             [("is_pullback_reversal", "=", True)],
-            "-reversal_score -rs_rating support_distance_pct instrument_token",
+            [("reversal_score", "desc"), ("rs_rating", "desc"), ("support_distance_pct", "asc"), ("instrument_token", "asc")],
             None,
         ),
-        _screen(
+        screen_of(
             "Approaching High",
             [
                 ("pct_from_period_high", ">=", -0.03),
@@ -53,10 +55,10 @@ PRESETS = {
                 ("rel_volume", ">=", 0.8),
                 ("gap_disqualified", "=", False),
             ],
-            "-pct_from_period_high -rs_rating instrument_token",
+            [("pct_from_period_high", "desc"), ("rs_rating", "desc"), ("instrument_token", "asc")],
             50,
         ),
-        _screen(
+        screen_of(
             "Fibonacci Reversal Zone",
             [
                 ("is_long_term_uptrend", "=", True),
@@ -68,14 +70,14 @@ PRESETS = {
                 ("is_fib_reversal_bar", "=", True),
                 ("fib_reward_risk", ">=", DEFAULT.fib_min_reward_risk),
             ],
-            "-fib_setup_score instrument_token",
+            [("fib_setup_score", "desc"), ("instrument_token", "asc")],
             25,
         ),
-        _screen("All Constituents", [], "-market_cap tradingsymbol", 500, everyone=True),
-        _screen(
+        screen_of("All Constituents", [], [("market_cap", "desc"), ("tradingsymbol", "asc")], 500, everyone=True),
+        screen_of(
             "Momentum Breakdown",
             [("momentum_rank", ">", 250), ("pct_from_52w_high", "<=", -0.20)],
-            "-momentum_rank",
+            [("momentum_rank", "desc")],
             100,
             op="OR",
             everyone=True,

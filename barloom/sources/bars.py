@@ -60,6 +60,14 @@ def walk(spark: SparkSession, sf_dir: str, key: str = "brand") -> DataFrame:
     )
 
 
+def walked(spark: SparkSession, sf_dir: str, key: str = "brand") -> DataFrame:
+    """walk(), written to the checkpoint folder where there is one, since bars, actions, names and index all read it."""
+    made = walk(spark, sf_dir, key)
+    if spark.conf.get("spark.checkpoint.dir", None):
+        return made.checkpoint()
+    return made
+
+
 def actions_of(walked: DataFrame) -> DataFrame:
     """Corporate actions: a 1:2 split at session 60 of every fifth token, a 1:4 bonus at session 90 of every seventh."""
     split = walked.where("token % 5 = 0 and rn = 60").selectExpr("token", "trade_date as ex_date", "'SPLIT' as action_type", "1.0D as ratio_from", "2.0D as ratio_to", "cast(null as double) as amount")
@@ -72,8 +80,11 @@ def corporate_actions(spark: SparkSession, sf_dir: str, key: str = "brand") -> D
 
 
 def bars(spark: SparkSession, sf_dir: str, key: str = "brand") -> DataFrame:
+    return bars_of(walk(spark, sf_dir, key))
+
+
+def bars_of(walked: DataFrame) -> DataFrame:
     """Raw bars: prices before a split or bonus are as they traded then."""
-    walked = walk(spark, sf_dir, key)
     factor = F.when((F.col("token") % 5 == 0) & (F.col("rn") < 60), 0.5).otherwise(1.0) * F.when(
         (F.col("token") % 7 == 0) & (F.col("rn") < 90), 0.25
     ).otherwise(1.0)
@@ -87,8 +98,12 @@ def bars(spark: SparkSession, sf_dir: str, key: str = "brand") -> DataFrame:
 
 
 def instruments(spark: SparkSession, sf_dir: str, key: str = "brand") -> DataFrame:
-    names = trades(spark, sf_dir, key).select("token", "symbol").distinct()
-    return names.select(
+    return instruments_of(trades(spark, sf_dir, key))
+
+
+def instruments_of(traded: DataFrame) -> DataFrame:
+    """One row for each (token, symbol) of traded."""
+    return traded.select("token", "symbol").distinct().select(
         "token",
         "symbol",
         F.concat(F.lit("Company "), F.col("token").cast("string")).alias("name"),

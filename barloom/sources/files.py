@@ -72,16 +72,22 @@ def actions(spark: SparkSession, folder: str) -> DataFrame:
 OLD_DAY = {"symbol": "SYMBOL", "series": "SERIES", "open": "OPEN", "high": "HIGH", "low": "LOW", "close": "CLOSE", "volume": "TOTTRDQTY", "value": "TOTTRDVAL", "isin": "ISIN"}
 NEW_DAY = {"symbol": "TckrSymb", "series": "SctySrs", "open": "OpnPric", "high": "HghPric", "low": "LwPric", "close": "ClsPric", "volume": "TtlTradgVol", "value": "TtlTrfVal", "isin": "ISIN"}
 CHANGED_ON = "2024-07-08"
+TRADE_COUNT = "TtlNbOfTxsExctd"
 
 
 def day_file(spark: SparkSession, path: str, day: str) -> DataFrame:
-    """An unzipped day file; its layout follows from the day (ISO). EQ and BE only; a zero open, high or low is the close."""
+    """A day file, unzipped; its layout follows from the day (ISO). EQ and BE only; a zero open, high or low is the close.
+
+    Rows without a symbol or a close are left out.
+    """
     names = NEW_DAY if day >= CHANGED_ON else OLD_DAY
     df = require(_csv(spark, path), set(names.values()) - {"ISIN"}, "day file")
     close = number(names["close"])
     prices = {c: F.when(number(names[c]) > 0, number(names[c])).otherwise(close).alias(c) for c in ("open", "high", "low")}
     isin = F.col("ISIN") if "ISIN" in df.columns else F.lit(None).cast("string")
-    return df.where(F.trim(names["series"]).isin("EQ", "BE")).select(
+    count = number(TRADE_COUNT).cast("long") if TRADE_COUNT in df.columns else F.lit(None).cast("long")
+    named = (F.trim(names["symbol"]) != "") & close.isNotNull()
+    return df.where(F.trim(names["series"]).isin("EQ", "BE") & named).select(
         F.trim(names["symbol"]).alias("symbol"),
         F.trim(names["series"]).alias("series"),
         F.lit(day).cast("date").alias("trade_date"),
@@ -89,15 +95,22 @@ def day_file(spark: SparkSession, path: str, day: str) -> DataFrame:
         close.alias("close"),
         number(names["volume"]).cast("long").alias("volume"),
         number(names["value"]).alias("traded_value"),
+        F.when(count > 0, count).alias("trades"),
         isin.alias("isin"),
     )
 
 
 def delivery_file(spark: SparkSession, path: str) -> DataFrame:
-    """(symbol, series, delivery_pct as a share) from records of type 20."""
+    """(symbol, series, delivery_quantity, delivery_pct as a share) from records of type 20 that have a percentage."""
     parts = F.transform(F.split("value", ","), lambda x: F.trim(x))
     rows = spark.read.text(path).select(parts.alias("p")).where((F.get("p", F.lit(0)) == "20") & F.get("p", F.lit(3)).isin("EQ", "BE"))
-    return rows.select(F.get("p", F.lit(2)).alias("symbol"), F.get("p", F.lit(3)).alias("series"), (number(F.get("p", F.lit(6))) / 100).alias("delivery_pct"))
+    made = rows.select(
+        F.get("p", F.lit(2)).alias("symbol"),
+        F.get("p", F.lit(3)).alias("series"),
+        number(F.get("p", F.lit(5))).cast("long").alias("delivery_quantity"),
+        (number(F.get("p", F.lit(6))) / 100).alias("delivery_pct"),
+    )
+    return made.where("delivery_pct is not null")
 
 
 INDEX_COLUMNS = {"Index Name", "Closing Index Value", "P/E", "P/B", "Div Yield"}

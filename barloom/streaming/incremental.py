@@ -10,6 +10,11 @@ from barloom.operators.store import replace_partitions
 BAR = "token long, symbol string, trade_date date, open double, high double, low double, close double, volume long"
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def merge_batch(batch: DataFrame, table: str) -> None:
     """Put a batch's bars into the table of sessions: of a symbol's several bars of a session the last written counts.
 
@@ -20,14 +25,11 @@ def merge_batch(batch: DataFrame, table: str) -> None:
     days = [r[0] for r in last.select("trade_date").distinct().collect()]  # the sessions of one batch
     if not days:
         return
-    try:
+    whole = last
+    if _exists(spark, table):
         old = spark.read.parquet(table).where(F.col("trade_date").isin(days))
         kept = old.join(last.select("token", "trade_date"), ["token", "trade_date"], "left_anti")
         whole = last.unionByName(kept.select(*last.columns))
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        whole = last
     replace_partitions(whole, table)
 
 

@@ -361,7 +361,7 @@ def test_screens(market, screen, want):
 )
 def test_screens_that_are_refused(market, screen):
     with pytest.raises(screens.ScreenError):
-        screens.compile_screen(screen, set(market.columns))
+        screens.read_screen(screen)
 
 
 def test_counts_before_limit_and_client_filter(market):
