@@ -82,19 +82,19 @@ def unpack_docs(data: bytes) -> Docs:
     return [i if k else None for i, k in zip(numbers.tolist(), known.tolist())], texts
 
 
-BLOCK = pa.schema([("block", pa.int64()), ("docs", pa.binary())])
+BLOCK = pa.schema([("block", pa.int64()), ("docs", pa.binary()), ("bytes", pa.int64())])
 ASK = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary())])
 ANSWER = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("answers", pa.binary())])
 
 
 def blocks(df: DataFrame) -> DataFrame:
-    """(block, docs) of a table made by columns()."""
+    """(block, docs, bytes) of a table made by columns(); bytes is the size of the texts."""
 
     def run(batches):
         for number, docs in cut(batches):
-            yield pa.RecordBatch.from_pydict({"block": [number], "docs": [pack_docs(docs)]}, BLOCK)
+            yield pa.RecordBatch.from_pydict({"block": [number], "docs": [pack_docs(docs)], "bytes": [sum(map(len, docs[1]))]}, BLOCK)
 
-    return df.mapInArrow(releasing(run), "block long, docs binary")
+    return df.mapInArrow(releasing(run), "block long, docs binary, bytes long")
 
 
 def ask(df: DataFrame, keys: Callable[[Docs], list[bytes]]) -> DataFrame:

@@ -1,15 +1,17 @@
 """Near-deduplication by SimHash and by the Jaccard likeness of word shingles; no pair that reaches the likeness is lost.
 
-Proposals are verified by the Jaccard likeness of whole texts; only verified links count.
-
-1. SimHash: texts of one fingerprint, and of fingerprints that the pivot tables leave (barloom.llm.simhash), are proposed.
+1. How many documents have each shingle: blocks of documents exchange their sorted, shortened hashes with buckets
+   (barloom.llm.blocks), a byte or two for each shingle. Shortened hashes can only make a shingle seem more common. A text
+   of n shingles can't reach likeness t with any other unless t * n of its shingles are in other texts, too; all others
+   go no further.
+2. Proposals among those that are left are verified by the Jaccard likeness of whole texts; only verified links count.
+   SimHash: texts of one fingerprint, and of fingerprints that the pivot tables leave (barloom.llm.simhash), are proposed.
    That finds most copies, and all of large groups, at one comparison each; but no Hamming limit is sure to reach every
    pair of a given Jaccard likeness.
-2. So each text also has its first hashes. All sets of shingles are sorted by one order, in which hashes that are common
-   in a sample come last. Two sets of likeness t share one of their first n - ceil(t * n) + 1 hashes, n being the set's
-   own size, so alike texts meet under those hashes, most of which no other text has. The order decides how many texts
-   meet, never what is found. Under each hash the text of the smallest component is proposed to the other components.
-3. What then still meets under a hash without being linked is compared text by text, so that nothing is left out. Hashes
+3. So each text also has its first hashes: sets sorted by the same order, rarest first, share one of their first
+   n - ceil(t * n) + 1 hashes if they are alike. Under each such hash the text of the smallest component is proposed to the
+   other components.
+4. What then still meets under a hash without being linked is compared text by text, so that nothing is left out. Hashes
    under which the same components meet are one place. A place with many texts is split in tiles, and pairs of tiles are
    compared in different tasks. A task returns the links that joined something, never all pairs.
 """
@@ -25,31 +27,47 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import checkpoint, free_name, releasing, small_batches
+from barloom.llm import blocks
+from barloom.llm.common import checkpoint, free_name, releasing
 from barloom.llm.components import Forest, components
+from barloom.llm.lm import Reader, planes
 from barloom.llm.simhash import near_links
 
-#: About how many texts the order is taken from, and over how many counters (a power of two) their hashes are spread.
-SAMPLE, COUNTERS = 65_536, 1 << 20
-#: Counters travel in so many pieces.
-PIECES = 64
+#: A shortened hash has so many bits more than it takes to number all shingles: under 1 % seem more common than they are.
+SPARE_BITS = 7
+#: Packed text for which there is one bucket of shortened hashes.
+BUCKET_BYTES = 2 << 20
+#: Counts end here; shingles in more texts are as good as each other.
+MOST_COUNTED = 255
 #: Most texts of a place in one tile.
 TILE = 256
 #: Times that the texts under a hash are proposed to the smallest component there before all others are compared.
 ROUNDS = 2
 
 
-def run_hashes(text: bytes, width: int) -> np.ndarray:
-    """The XXH64 (seed 42) of each run of width words, A-Z lower-cased; a text of fewer words is one run."""
+#: Odd multipliers of the words' places, and of the finish. Fixed values.
+PLACES = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1) ** 5) % 2**64 | 1 for k in range(64)], dtype=np.uint64)
+FINISH = np.uint64(0xBF58476D1CE4E5B9)
+
+
+def run_hashes(text: bytes, width: int, known: dict[bytes, int] | None = None) -> np.ndarray:
+    """A 64-bit hash of each run of width words, A-Z lower-cased; a text of fewer words is one run.
+
+    known remembers the hashes of words. Words are hashed by XXH64, runs by a sum over their places, which numpy makes for
+    all runs at once.
+    """
+    known = {} if known is None else known
     words = text.lower().split()
-    digest = xxhash.xxh64_intdigest
-    whole = b" ".join(words)
-    if len(words) <= width:
-        return np.array([digest(whole, 42)], dtype=np.uint64)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes + 1) - 1
-    starts = ends - sizes
-    return np.array([digest(whole[a:b], 42) for a, b in zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist())], dtype=np.uint64)
+    for w in set(words) - known.keys():
+        known[w] = xxhash.xxh64_intdigest(w, 42)
+    one = np.array([known[w] for w in words], dtype=np.uint64)
+    size = min(width, len(one))
+    runs = max(1, len(one) - width + 1)
+    total = np.full(runs, size, dtype=np.uint64)
+    for k in range(size):
+        total += (one[k : k + runs] ^ (one[k : k + runs] >> np.uint64(29))) * PLACES[k]
+    total = (total ^ (total >> np.uint64(30))) * FINISH
+    return total ^ (total >> np.uint64(31))
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
@@ -64,37 +82,56 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(over, bitorder="little").view("<u8")[0])
 
 
-def sample_counts(texts: DataFrame, width: int) -> np.ndarray:
-    """How often hashes fall on each counter in a sample of texts (text)."""
-    every = max(1, texts.count() // SAMPLE)
-    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
-
-    def count(batches):
-        sums = np.zeros(COUNTERS, np.uint32)
-        for batch in batches:
-            for t in batch.column("text").to_pylist():
-                sums[(shingles(t, width) & np.uint64(COUNTERS - 1)).astype(np.int64)] += 1
-        pieces = [p.tobytes() for p in np.split(sums, PIECES)]
-        yield pa.RecordBatch.from_pydict({"piece": pa.array(range(PIECES), pa.int32()), "n": pa.array(pieces, pa.binary())})
-
-    def add(table: pa.Table) -> pa.Table:
-        sums = sum(np.frombuffer(n, np.uint32).astype(np.int64) for n in table.column("n").to_pylist())
-        n = np.minimum(sums, 65_535).astype(np.uint16).tobytes()
-        return pa.table({"piece": table.column("piece")[:1], "n": pa.array([n], pa.binary())})
-
-    pieces = some.select("text").coalesce(16).mapInArrow(releasing(count), "piece int, n binary")
-    found = {r["piece"]: r["n"] for r in pieces.groupBy("piece").applyInArrow(add, "piece int, n binary").collect()}
-    if not found:
-        return np.zeros(COUNTERS, np.uint16)
-    return np.frombuffer(b"".join(found[k] for k in range(PIECES)), np.uint16)
+class Block:
+    """The shingles of a block's texts, and its distinct shortened hashes with how many of its texts have each."""
+
+    def __init__(self, texts: list[bytes], width: int, bits: int):
+        known: dict[bytes, int] = {}
+        self.drop = np.uint64(64 - bits)
+        self.runs = [run_hashes(t, width, known) for t in texts]
+        self.sets = [np.unique(r) for r in self.runs]
+        short = [np.unique(x >> self.drop) for x in self.sets]
+        self.keys, self.counts = np.unique(np.concatenate(short), return_counts=True)
+
+    def cuts(self, buckets: int, bits: int) -> np.ndarray:
+        edges = np.array([(k << bits) // buckets for k in range(1, buckets)], dtype=np.uint64)
+        return np.concatenate([[0], np.searchsorted(self.keys, edges), [len(self.keys)]])
+
+    def lists(self, buckets: int, bits: int) -> list[bytes]:
+        at = self.cuts(buckets, bits)
+        return [
+            blocks.squeeze(planes(np.diff(self.keys[a:b], prepend=np.uint64(0))) + planes(np.minimum(self.counts[a:b], MOST_COUNTED), 1)) if b > a else b""
+            for a, b in zip(at, at[1:])
+        ]
+
+    def told(self, answers: dict[int, bytes], buckets: int, bits: int) -> np.ndarray:
+        """For each key in how many texts of all blocks it is, up to MOST_COUNTED."""
+        at = self.cuts(buckets, bits)
+        parts = [np.frombuffer(blocks.swell(answers[k]), np.uint8) if b > a else np.zeros(0, np.uint8) for k, (a, b) in enumerate(zip(at, at[1:]))]
+        return np.concatenate(parts)
+
+
+def count_texts(lists: list[bytes]) -> list[bytes]:
+    """A bucket's answers: in how many texts each key of each list is, over all lists."""
+    keys, counts = [], []
+    for data in lists:
+        reader = Reader(blocks.swell(data))
+        n = len(reader.data) // 9
+        keys.append(np.cumsum(reader.planes(n), dtype=np.uint64))
+        counts.append(reader.planes(n, 1).astype(np.float64))
+    kinds, place = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = np.minimum(np.bincount(place, weights=np.concatenate(counts)), MOST_COUNTED).astype(np.uint8)
+    ends = np.cumsum([len(k) for k in keys])
+    return [blocks.squeeze(x.tobytes()) for x in np.split(sums[place], ends[:-1])]
 
 
 def first(hashes: np.ndarray, counts: np.ndarray, likeness: Fraction) -> np.ndarray:
-    """The hashes of which another set of that likeness has one: the rarest n - ceil(likeness * n) + 1."""
+    """Of the n hashes of a set, the rarest n - ceil(likeness * n) + 1, as far as other texts have them; none if over
+    n - ceil(likeness * n) are the text's own, since then no other set reaches the likeness."""
     n = len(hashes)
     least = -(-likeness.numerator * n // likeness.denominator)
-    order = np.lexsort((hashes, counts[(hashes & np.uint64(COUNTERS - 1)).astype(np.int64)]))
-    return hashes[order[: n - least + 1]]
+    order = np.lexsort((hashes, counts))[: n - least + 1]
+    return hashes[order[counts[order] > 1]]
 
 
 def alike(a: np.ndarray, b: np.ndarray, likeness: Fraction) -> bool:
@@ -111,31 +148,55 @@ def key(id_col: str, text_col: str) -> tuple[Column, Column]:
 
 
 def profiles(df: DataFrame, id_col: str, text_col: str, likeness: Fraction, width: int) -> DataFrame:
-    """(node, id, h, fp, first): a number, the key, the fingerprint and the first hashes of each distinct key."""
-    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")
-    own, h = key(id_col, text_col)
-    rows = small_batches(df).select(own.alias("id"), h.alias("h"), text)
-    counts = sample_counts(rows.select("text"), width)
-    kind = dict(rows.dtypes)["id"]
+    """(node, id, h, fp, first, text): a number, the key, the fingerprint, the first hashes and the text of each distinct
+    key whose text other texts can reach."""
+    packed = checkpoint(blocks.blocks(blocks.columns(df, id_col, text_col)))
+    sizes = packed.agg(F.sum(F.octet_length("docs")), F.sum("bytes")).first()
+    buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(sizes[0] or 0) // BUCKET_BYTES))
+    # a shingle has a word, so texts have no more shingles than half their bytes
+    bits = min(64, ((sizes[1] or 0) // 2 + 1).bit_length() + SPARE_BITS)
+
+    def asking(batches):
+        for batch in batches:
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("docs").to_pylist()):
+                lists = Block(blocks.unpack_docs(data)[1], width, bits).lists(buckets, bits)
+                used = [k for k, x in enumerate(lists) if x]
+                yield pa.RecordBatch.from_pydict({"block": [block] * len(used), "bucket": used, "keys": [lists[k] for k in used]}, blocks.ASK)
+
+    def use(docs: blocks.Docs, answers: dict[int, bytes]) -> pa.Table:
+        here = Block(docs[1], width, bits)
+        counts = here.told(answers, buckets, bits)
+        rows = []
+        for i, text, runs, hashes in zip(docs[0], docs[1], here.runs, here.sets):
+            found = first(hashes, counts[np.searchsorted(here.keys, hashes >> here.drop)], likeness)
+            if len(found):
+                h = xxhash.xxh64_intdigest(text, 42)
+                rows.append((i, h, majority(runs) if text.split() else 0, found.astype("<u8").tobytes(), text))
+        ids, hs, fps, firsts, texts = zip(*rows) if rows else ([],) * 5
+        return pa.table(
+            [pa.array(ids, pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (hs, fps)), pa.array(firsts, pa.binary()), pa.array(texts, pa.binary())],
+            names=["id", "h", "fp", "first", "text"],
+        )
+
+    asked = packed.select("block", "docs").mapInArrow(releasing(asking), "block long, bucket int, keys binary")
+    told = blocks.answer_together(asked, count_texts)
+    made = blocks.meet(packed.select("block", "docs"), told, use, "id long, h long, fp long, first binary, text binary")
+    made = checkpoint(made.withColumn("node", F.monotonically_increasing_id()))
+    once = checkpoint(made.groupBy("id", "h").agg(F.min("node").alias("node")).select("node"))
+    return made.join(once, "node", "left_semi")
+
+
+def exploded(nodes: DataFrame) -> DataFrame:
+    """(hash, node): a row for each of the first hashes of nodes."""
 
     def run(batches):
         for batch in batches:
-            fps, firsts = [], []
-            for t in batch.column("text").to_pylist():
-                hashes = run_hashes(t, width)
-                fps.append(majority(hashes) if t.split() else 0)
-                firsts.append(first(np.unique(hashes), counts, likeness).view(np.int64))
-            made = pa.ListArray.from_arrays(
-                pa.array(np.concatenate([[0], np.cumsum([len(f) for f in firsts])]).astype(np.int32)),
-                pa.array(np.concatenate(firsts) if firsts else np.zeros(0, np.int64)),
-            )
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("h"), pa.array(np.array(fps, np.uint64).view(np.int64)), made], ["id", "h", "fp", "first"]
-            )
-
-    made = rows.mapInArrow(releasing(run), f"id {kind}, h long, fp long, first array<long>")
-    made = checkpoint(made.withColumn("node", F.monotonically_increasing_id()))
-    return made.groupBy("id", "h").agg(F.min("node").alias("node"), F.min("fp").alias("fp"), F.any_value("first").alias("first"))
+            found = [np.frombuffer(x, "<i8") for x in batch.column("first").to_pylist()]
+            if found:
+                node = np.repeat(batch.column("node").to_numpy(), [len(f) for f in found])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(node)], ["hash", "node"])
+
+    return nodes.select("node", "first").mapInArrow(releasing(run), "hash long, node long")
 
 
 def verified(proposed: DataFrame, texts: DataFrame, likeness: Fraction, width: int) -> DataFrame:
@@ -236,10 +297,10 @@ def compared(met: DataFrame, texts: DataFrame, likeness: Fraction, width: int) -
 
 
 def linked(df: DataFrame, id_col: str, text_col: str, likeness: Fraction, width: int, limit: int, n_pivots: int) -> tuple[DataFrame, DataFrame]:
-    """(nodes, roots): nodes has node, id and h of each distinct key; roots (node, root) the nodes that aren't their own."""
-    nodes = checkpoint(profiles(df, id_col, text_col, likeness, width))
-    hashes = nodes.select("node", F.explode("first").alias("hash"))
-    met = checkpoint(hashes.withColumn("n", F.count("*").over(Window.partitionBy("hash"))).where("n > 1").select("hash", "node"))
+    """(nodes, roots): nodes has node, id and h of distinct keys; roots (node, root) the nodes that aren't their own."""
+    nodes = profiles(df, id_col, text_col, likeness, width)
+    texts, nodes = nodes.select("node", "text"), nodes.drop("text")
+    met = checkpoint(exploded(nodes).withColumn("n", F.count("*").over(Window.partitionBy("hash"))).where("n > 1").select("hash", "node"))
     # SimHash: a text and the smallest of its fingerprint, and the smallest ones of near fingerprints.
     found = checkpoint(nodes.groupBy("fp").agg(F.min("node").alias("least")))
     same = nodes.join(found, "fp").where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"))
@@ -247,13 +308,6 @@ def linked(df: DataFrame, id_col: str, text_col: str, likeness: Fraction, width:
     ends = [found.select(F.col("fp").alias(c), F.col("least").alias(f"of_{c}")) for c in "ab"]
     near = near.join(ends[0], "a").join(ends[1], "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
     proposed = checkpoint(same.union(near))
-    # The texts of all nodes that anything is ever proposed for.
-    wanted = proposed.select("a").union(proposed.select("b")).union(met.select("node")).distinct().toDF("_n")
-    wanted = nodes.join(wanted, F.col("node") == F.col("_n"), "left_semi").select("node", F.col("id").alias("_id"), F.col("h").alias("_h"))
-    own, h = key(id_col, text_col)
-    said = df.select(own.alias("id"), h.alias("h"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    texts = said.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("node", "text")
-    texts = checkpoint(texts.dropDuplicates(["node"]))
     links = verified(proposed, texts, likeness, width)
     roots = components(links)
     for _ in range(ROUNDS):

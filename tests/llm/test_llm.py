@@ -1,6 +1,7 @@
 """The corpus operators: brute-force versions, round trips, held-out accuracy and odd rows."""
 
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -12,6 +13,7 @@ import pyarrow.parquet as pq
 import pytest
 import regex
 import xxhash
+import zstandard
 from barloom.llm import (
     blocks,
     bpe,
@@ -667,6 +669,48 @@ def test_deobfuscation_of_doubtful_forms(channel, noisy, clean):
     assert channel.text(f"you {noisy} are") == ["you", *clean.split(), "are"]
 
 
+def test_doubled_letters_as_in_the_lattice(channel):
+    rng = random.Random(8)
+    found = ["iidiioott", "ssttuuppiidd", "book", "all", "happy", "committee"]
+    found += ["".join(c * rng.randint(1, 2) for c in rng.choices("abeinorstu", k=rng.randint(2, 9))) for _ in range(300)]
+    for word in found:
+        value, restored = channel.best(word, False)
+        want = word if channel.best(word, False, False)[0] >= value else restored
+        assert channel.without_doubles(word) == want, word
+
+
+def brute_path(channel, word):
+    """The best of all paths through a short word's lattice, each scored as a whole."""
+    options = []
+    for i, c in enumerate(word):
+        if "a" <= c <= "z":
+            options.append([(c, 0.0)] + ([("", toxicity.DROP_REPEAT)] if i and word[i - 1] == c else []))
+        else:
+            looks = toxicity.LOOKS.get(c, "")
+            drop = toxicity.DROP_DIGIT if c.isdigit() else toxicity.DROP_LOOK if looks else toxicity.DROP_OTHER
+            options.append([(x, toxicity.LOOK + (len(looks) > 2)) for x in looks] + [("", drop)])
+    best = (-math.inf, "")
+    for path in itertools.product(*options):
+        state, value = toxicity.CONTEXTS - 1, 0.0
+        for sign, cost in path:
+            value -= cost
+            if sign:
+                at = state * toxicity.SIGNS + ord(sign) - 97
+                value, state = value + channel.logp[at], at % toxicity.CONTEXTS
+        best = max(best, (value + channel.logp[state * toxicity.SIGNS + toxicity.BOUND], "".join(x for x, _ in path)))
+    return best
+
+
+def test_viterbi_finds_the_best_of_all_paths(channel):
+    rng = random.Random(9)
+    found = ["1d10t", "st-upid", "l0s3r", "m0r0n", "h3ll0", "a55", "b!g", "i|d", "fr*it"]
+    found += ["".join(rng.choice("abeilorst01357@$!-.*") for _ in range(rng.randint(1, 8))) for _ in range(150)]
+    for word in found:
+        value, restored = channel.best(word, False)
+        want = brute_path(channel, word)
+        assert value == pytest.approx(want[0], rel=1e-9) and (restored == want[1] or value == pytest.approx(want[0], rel=1e-12)), word
+
+
 def test_deobfuscation_of_spaced_letters(channel):
     assert channel.text("you s t u p i d") == ["you", "stupid"]
     assert channel.text("are 1 d 1 0 t .") == ["are", "idiot"]
@@ -705,6 +749,37 @@ def test_classifiers_on_odd_rows(spark, odd, none, module):
     assert module.classify(odd, labels.limit(0)).count() == len(ODD)
 
 
+def labelled_texts(sf):
+    y = {r["doc_id"]: r["quality"] for r in pq.read_table(f"{sf}/labels.parquet").to_pylist() if r["quality"] is not None}
+    return [(t.encode(), y[i]) for i, t, _ in documents(sf) if i in y]
+
+
+def test_quality_sizes_and_what_the_dictionaries_add():
+    rows = labelled_texts("/root/testdata/sf0.1")
+    learn, probe = [r for k, r in enumerate(rows) if k % 4], [r for k, r in enumerate(rows) if not k % 4]
+    model = quality.fit([t for t, _ in learn], np.array([y for _, y in learn]))
+    texts, y = [t for t, _ in probe], np.array([y for _, y in probe])
+    x = quality.measures(texts, model.good, model.bad)
+    for t, row in zip(texts[:50], x):
+        sizes = []
+        for content in (model.good, model.bad, b""):
+            known = zstandard.ZstdCompressionDict(content) if content else None
+            made = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=known, write_content_size=False, write_dict_id=False).compress(t)
+            assert zstandard.ZstdDecompressor(dict_data=known).decompress(made, max_output_size=len(t) + 1) == t
+            sizes.append(len(made))
+        good, bad, plain = sizes
+        assert row[0] == pytest.approx(np.clip((bad - good) / plain, -1, 1)) and row[3] == pytest.approx(np.log1p(len(t)) / 8)
+    assert np.allclose(model.score(texts), 1 / (1 + np.exp(-(model.weights[0] + x @ model.weights[1:]))))
+    # the same regression without the dictionaries' two features and their products
+    fitted = quality.measures([t for t, _ in learn], model.good, model.bad)
+    names = [*range(4), *[(i, j) for i in range(4) for j in range(i, 4)]]
+    bare = [k for k, n in enumerate(names) if n in (2, 3) or (isinstance(n, tuple) and min(n) >= 2)]
+    w = quality.labelled.fit_logistic(fitted[:, bare], np.array([y for _, y in learn], dtype=float), penalty=0.1)
+    with_dictionaries, without = area(model.score(texts), y), area(quality.labelled.chance(x[:, bare], w), y)
+    print("area with and without dictionaries", with_dictionaries, without)
+    assert with_dictionaries > without + 0.02
+
+
 def test_labels_of_held_out_rows_are_not_read(spark):
     sf = "/root/testdata/sf0.001"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), labels_of(spark, sf)
@@ -712,6 +787,10 @@ def test_labels_of_held_out_rows_are_not_read(spark):
     a = {r.doc_id: r.score for r in quality.classify(docs, labels).collect()}
     b = {r.doc_id: r.score for r in quality.classify(docs, turned).collect()}
     assert a == b
+    turned = labels.selectExpr("doc_id", "quality", "if(crc32(cast(doc_id as string)) % 4 = 2, 1 - toxic, toxic) as toxic")
+    a = {r.doc_id: r.score for r in toxicity.classify(docs, labels).collect()}
+    b = {r.doc_id: r.score for r in toxicity.classify(docs, turned).collect()}
+    assert a == b
 
 
 def test_restore_keeps_every_row(odd, none):
