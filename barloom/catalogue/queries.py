@@ -477,16 +477,17 @@ def all_metrics(spark, d, key="brand", as_of=None):
     return metrics(source.bars_of(walked), source.actions_of(walked), source.instruments_of(walked), source.index_series(walked), DEMO, as_of)
 
 
-_TEMPLATE = ("pct_from_52w_high", "momentum_score", "atr_pct_14", "rel_volume", "rsi_14", "ema_21", "support_level", "support_distance_pct")
+_TEMPLATE = ("momentum_score", "atr_pct_14", "rel_volume", "rsi_14", "ema_21", "support_level", "support_distance_pct")
 _MARKS = ("is_trend_template", "is_pullback", "is_eligible", "ineligible_reason", "is_in_base", "is_reversal", "is_pullback_reversal")
 _COUNTS = ("rs_rating", "momentum_rank", "trend_template_score", "base_length_days", "reversal_score", "fib_sessions_in_zone")
 
 
-@query("metrics_all", _recurrent(f"SELECT symbol, trade_date, {', '.join(map(q.num, (*RETURNS, *_AVERAGES, *_RANGE, *_TEMPLATE)))}, {', '.join(map(q.whole, _COUNTS))}, {', '.join(_MARKS)}, reason AS fib_exclusion_reason FROM x5", _WHOLE))
+@query("metrics_all", _recurrent(f"SELECT symbol, trade_date, {', '.join(map(q.num, (*RETURNS, *_RANGE, *_TEMPLATE)))}, {', '.join(f'round({c}, 8) + 0.0 AS {c}' for c in _AVERAGES)}, {', '.join(map(q.whole, _COUNTS))}, {', '.join(_MARKS)}, reason AS fib_exclusion_reason FROM x5", _WHOLE))
 def metrics_all(spark, d):
     """All metrics of all sessions are computed, as they are stored; those that have no query of their own side by side."""
     made = all_metrics(spark, d)
-    return rows(made, *map(num, (*RETURNS, *_AVERAGES, *_RANGE, *_TEMPLATE)), *map(whole, _COUNTS), *_MARKS, "fib_exclusion_reason")
+    means = [(F.round(c, 8) + 0.0).alias(c) for c in _AVERAGES]
+    return rows(made, *map(num, (*RETURNS, *_RANGE, *_TEMPLATE)), *means, *map(whole, _COUNTS), *_MARKS, "fib_exclusion_reason")
 
 
 @query("pullback_flag", _recurrent("SELECT symbol, trade_date, is_pullback FROM x5", _WHOLE))
@@ -818,10 +819,10 @@ def end_of_day(spark, d):
     return day.bars.join(touched, "trade_date", "left").select("token", "trade_date", num("close"), "delivery_pct", F.coalesce("touched", F.lit(False)).alias("touched"))
 
 
-@query("to_backfill", f"""WITH {q.WALK}, k AS (SELECT token, count(*) AS n, min(trade_date) AS a FROM bars WHERE token % 3 <> 0 OR trade_date > DATE '1995-01-01' GROUP BY token)
+@query("to_backfill", f"""WITH {q.WALK}, k AS (SELECT token, count(*) AS n, min(trade_date) AS a FROM bars WHERE token % 3 <> 0 OR trade_date > DATE '1995-06-01' GROUP BY token)
 SELECT i.token FROM instruments i LEFT JOIN k USING (token) WHERE NOT coalesce(n >= 252 AND a <= DATE '1994-12-01' + 45, false)""")
 def to_backfill(spark, d):
-    held = source.bars(spark, d).where("token % 3 != 0 or trade_date > date'1995-01-01'")
+    held = source.bars(spark, d).where("token % 3 != 0 or trade_date > date'1995-06-01'")
     return nightly.to_backfill(source.instruments(spark, d), held, dt.date(1994, 12, 1)).select("token")
 
 

@@ -7,14 +7,14 @@ import random
 import duckdb
 import numpy as np
 import pytest
-from barloom.catalogue.queries import QUERIES, SQL
+from barloom.catalogue.queries import QUERIES, SQL, all_metrics
 from barloom.config import DEFAULT, Settings
 from barloom.functions import fib
 from barloom.functions import recurrences as r
 from barloom.functions import symbol, windows
 from barloom.operators import adjust, calendar, indices, quality, risk, series, store
-from barloom.plans import backtest, presets, screens
-from barloom.sources import files, sinks
+from barloom.plans import backtest, engine, nightly, presets, screens
+from barloom.sources import bars, files, sinks
 from pyspark.sql import functions as F
 
 NAN = float("nan")
@@ -369,11 +369,26 @@ def test_counts_before_limit_and_client_filter(market):
     assert tokens(screens.client_filter(market, [c("tradingsymbol", "=", "s1")])) == [1, 10]
 
 
+def test_screens_return_fixed_columns_and_refuse_others(market):
+    hidden = market.withColumns({"secret": F.lit(1), "volume": F.lit(10.0)})
+    found = screens.run_screen(hidden, definition(c("traded_value", ">=", 800.0)))
+    assert "secret" not in found.columns and found.columns[:2] == ["token", "symbol"] and tokens(found) == [8, 9, 10]
+    assert [x.market_cap for x in found.collect()] == [400.0, 450.0, 500.0]
+    for name in ("secret", "float_shares", "trend_template_partial"):
+        with pytest.raises(screens.ScreenError):
+            screens.read_screen(definition(c(name, "=", 1)))
+    with pytest.raises(screens.ScreenError):  # of the language, but not in this table
+        screens.run_screen(market, definition(c("isin", "=", "x")))
+
+
 def test_presets_name_known_fields(spark, sf_dir):
-    known = set(QUERIES["metrics_all"](spark, sf_dir).columns)
+    made = all_metrics(spark, sf_dir)
     assert len(presets.PRESETS) == 10
+    assert set(screens.METRIC_FIELDS) <= set(made.columns)
     for p in presets.PRESETS.values():
-        screens.compile_screen(p, known)
+        screen = screens.read_screen(p)
+        for name in [x.field for x in screen.filters.leaves()] + [name for name, _ in screen.sort]:
+            screens.column(name, made)
 
 
 # Store
@@ -428,7 +443,24 @@ def test_calendar(spark):
     assert calendar.expected_session({}, dt.datetime(2024, 1, 8, 13, 14)) == dt.date(2024, 1, 5)
     assert calendar.expected_session({}, dt.datetime(2024, 1, 8, 13, 15)) == dt.date(2024, 1, 8)
     assert calendar.staleness(D[0], D[0], "x", "x") == (False, None) and calendar.staleness(None, D[0], None, "x")[0]
-    assert calendar.engine_fingerprint() == calendar.engine_fingerprint()
+
+
+def test_fingerprint_covers_every_defining_module(tmp_path):
+    import shutil
+    from pathlib import Path
+
+    home = Path(calendar.__file__).resolve().parent.parent
+    shutil.copytree(home, tmp_path / "p", ignore=shutil.ignore_patterns("__pycache__", "llm"))
+    before = calendar.engine_fingerprint(tmp_path / "p")
+    assert before == calendar.engine_fingerprint()
+    for name in calendar.DEFINING:
+        path = tmp_path / "p" / name
+        text = path.read_text()
+        path.write_text(text + "\n# changed\n")
+        assert calendar.engine_fingerprint(tmp_path / "p") != before, name
+        path.write_bytes(text.replace("\n", "\r\n").encode())
+        assert calendar.engine_fingerprint(tmp_path / "p") == before
+        path.write_text(text)
 
 
 def test_gate_blocks(spark):
@@ -437,13 +469,30 @@ def test_gate_blocks(spark):
     days = frame(spark, [(d, True) for d in D[:3]], "trade_date date, is_trading_day boolean")
     none = frame(spark, [], "token long, ex_date date, action_type string")
     fine = quality.gate(frame(spark, good, schema), none, days, D[2], 2)
-    assert [x.check_id for x in fine.orderBy("check_id").collect()] == [f"V{k}" for k in range(1, 10)]
+    assert [(x.check_id, x.passed) for x in fine.orderBy("check_id").collect()] == [(f"V{k}", True if k < 9 else None) for k in range(1, 10)]
+    other = frame(spark, [(1, D[0], 10.0), (2, D[0], 10.02), (1, D[1], 0.0)], "token long, trade_date date, close double")
+    assert quality.gate(frame(spark, good, schema), none, days, D[2], 2, other).where("check_id = 'V9'").first().affected == 1
     assert tuple(quality.decision(fine).first()) == (False, "", "")
     bad = [*good, (1, D[0], 10.0, 11.0, 9.0, 10.0, 100, 1.0), (3, D[1], 10.0, 9.0, 9.5, None, 0, 1.0)]
     said = quality.decision(quality.gate(frame(spark, bad, schema), none, days, D[2], 10)).first()
     assert said.blocked and said.failed_blocks == "V1,V2,V3,V4" and said.warnings == "V6"
 
 
+def test_end_of_day_equals_a_full_run(spark, sf_dir):
+    walked = bars.walked(spark, sf_dir)
+    stored, actions, named, index = bars.bars_of(walked), bars.actions_of(walked), bars.instruments_of(walked), bars.index_series(walked)
+    late = sorted(x[0] for x in stored.select("trade_date").distinct().collect())[-3]
+    fetched = stored.where(F.col("trade_date") >= F.lit(late)).withColumn("close", F.col("close") * 1.01).drop("token", "delivery_pct")
+    given = fetched.select("symbol", "trade_date", F.lit(0.5).alias("delivery_pct"))
+    day = nightly.end_of_day(stored.where(F.col("trade_date") < F.lit(late)), fetched, named, actions, named, index, delivery=given)
+    assert day.sessions.count() == 3 and day.bars.count() == stored.count()
+    assert {x.delivery_pct for x in day.bars.where(F.col("trade_date") >= F.lit(late)).collect()} == {0.5}
+    whole = engine.metrics(day.bars, actions, named, index).where(F.col("trade_date") >= F.lit(late))
+    columns = sorted(whole.columns)
+    assert day.metrics.select(columns).exceptAll(whole.select(columns)).count() == 0
+    assert day.metrics.count() == whole.count() > 0
+
+
 # Risk and backtest
 
 
@@ -506,6 +555,68 @@ def test_settlement_holds_an_exit_back():
     assert play(p, trailing=False, settle_days=2).closed[0]["exit_date"] == dt.date(2024, 1, 4)
 
 
+def book(p, signals, exits=None, **more):
+    config = backtest.Config(**{"max_positions": 1, "risk": 1.0, "weight": 1.0, "slippage": 0.0, "costs": FREE, "settle_days": 0, "trailing": False} | more)
+    return backtest.Book(p, {p.days[i]: [1] for i in signals}, {p.days[i]: [1] for i in exits or ()}, config).run()
+
+
+@pytest.mark.parametrize("cooldown, again", [(None, 3), (0, 3), (1, 4), (3, 6)])
+def test_cooldown_counts_sessions_from_the_exit(cooldown, again):
+    """The stop is hit in session 3; a signal of the session before is there every day."""
+    p = panel([100] * 9, low=[100, 100, 100, 90, 100, 100, 100, 100, 100], support=97)
+    made = book(p, range(9), exit_rule="tiered", cooldown=cooldown)
+    assert made.closed[0]["exit_date"] == p.days[3]
+    assert [t.entry_date for t in made.open.values()] == [p.days[again]]
+
+
+def test_an_exit_that_waits_for_an_open_leaves_the_trade_alone():
+    opens = [100, 100, 100, NAN, 110, 110]
+    p = panel([100, 100, 105, 112, 111, 111], open_=opens, support=97)
+    assert not book(p, [0], exits=[2], exit_rule="tiered").closed
+    made = book(p, [0], exits=[2, 3], exit_rule="tiered")
+    assert [(t["exit_date"], t["exit"], t["reason"]) for t in made.closed] == [(p.days[4], 110, "exit_signal")]
+    # in session 3 nothing is sold and no stop is raised; without a signal for session 4 the trade goes on
+    (trade,) = book(panel([100, 100, 105, 112], open_=opens[:4], support=97), [0], exits=[2], exit_rule="tiered").open.values()
+    assert trade.stop == pytest.approx(97 - 0.5 * 4) and trade.peak == pytest.approx(0.05)
+    # a time stop waits, too
+    made = book(panel([100, 100, 105, 105, 105], open_=[100, 100, 100, NAN, 104]), [0], max_hold=2)
+    assert [(t["exit"], t["reason"]) for t in made.closed] == [(104, "time")]
+
+
+def test_walk_forward_measures_the_choice_on_the_next_span(spark):
+    rng = random.Random(4)
+    rows = []
+    for token in (1, 2, 3):
+        price = 100.0
+        for i in range(60):
+            price *= 1 + rng.uniform(-0.03, 0.033)
+            rows.append((token, dt.date(2024, 1, 1) + dt.timedelta(days=i), price, price * 1.01, price * 0.98, price, 3.0, price * 0.95))
+    metrics = frame(spark, rows, "token long, trade_date date, open double, high double, low double, close double, atr_14 double, support_level double")
+    entries = frame(spark, [(r[0], r[1], r[0]) for r in rows if r[1].day % 5 == 0], "token long, trade_date date, place int").withColumn("place", F.col("place").cast("long"))
+    base, values = backtest.Config(max_positions=2), [0.5, 2.0, 4.0]
+    got = backtest.walk_forward(metrics, entries, base, "atr_multiple", values, 30, 15).orderBy("test_from").collect()
+    days = sorted({r[1] for r in rows})
+    spans = backtest.windows(days, 30, 15)
+
+    def cagr(value, a, b):
+        part = [r for r in rows if a <= r[1] <= b]
+        here = [d for d in days if a <= d <= b]
+        p = backtest.Panel(here, {t: {k: np.array([r[j] for r in part if r[0] == t]) for k, j in (("open", 2), ("high", 3), ("low", 4), ("close", 5), ("atr", 6), ("support", 7))} for t in (1, 2, 3)})
+        signals = {d: [1, 2, 3] for d in here if d.day % 5 == 0}
+        last = backtest.Book(p, signals, {}, backtest.replace(base, atr_multiple=value)).run().curve[-1][1]
+        return ((last / 1e6) ** (252 / len(here)) - 1) * 100
+
+    want = []
+    for a, b, c_, d in spans:
+        best = backtest.verdict([(v, cagr(v, a, b)) for v in values])
+        if best["best"] is not None:
+            want.append((a, c_, d, best["best"], best["score"], cagr(best["best"], c_, d)))
+    assert len(got) == len(want) > 0
+    for x, y in zip(got, want):
+        assert tuple(x)[:4] == y[:4] and x.in_sample == pytest.approx(y[4]) and x.out_of_sample == pytest.approx(y[5])
+        assert x.degraded == (y[5] < y[4] / 2)
+
+
 def test_verdicts():
     assert backtest.verdict([(1, 10.0), (2, 11.0), (3, 10.5)])["width"] == 3
     spike = backtest.verdict([(1, 1.0), (2, 11.0), (3, 1.5)])
@@ -539,6 +650,22 @@ def test_index_high_is_before_today(spark):
     assert got.period_high == 100 and got.pct_from_period_high == pytest.approx(1.0) and got.sessions_since_high == 1
 
 
+def test_index_that_is_not_daily_has_no_measures(spark):
+    sparse = [("S", dt.date(2010, 1, 1) + dt.timedelta(days=7 * i), None, None, 100.0 + i) for i in range(260)]
+    daily = [("D", dt.date(2022, 1, 3) + dt.timedelta(days=i), None, None, 100.0 + i % 9) for i in range(260)]
+    made = {x.index_name: x for x in indices.index_metrics(frame(spark, sparse + daily, "index_name string, trade_date date, high double, low double, close double")).collect()}
+    assert not made["S"].available and made["S"].high_52w is None and made["S"].state is None and "not a daily series" in made["S"].reason
+    assert made["D"].available and made["D"].high_52w == 108.0 and made["D"].period_high == 108.0 and made["D"].reason is None
+
+
+def test_coverage_counts_the_calendar_where_it_reaches(spark):
+    rows = frame(spark, [("I", dt.date(2024, 1, d), 1.0) for d in (1, 2, 4)], "index_name string, trade_date date, close double")
+    days = frame(spark, [(dt.date(2024, 1, d), d != 3) for d in range(1, 6)], "trade_date date, is_trading_day boolean")
+    begun = frame(spark, [("I", dt.date(2024, 1, 1))], "index_name string, inception date")
+    x, y = indices.coverage(rows, days, begun).first(), indices.coverage(rows, days.where("trade_date > date'2024-01-01'")).first()
+    assert (x.expected, x.density, x.reaches_inception) == (3, 1.0, True) and (y.expected, y.reaches_inception) == (4, False)
+
+
 def test_valuation_median_is_of_months(spark):
     last = dt.date(2026, 8, 25)
     rows = [("I", last - dt.timedelta(days=k), 40.0) for k in range(730)] + [("I", last - dt.timedelta(days=730 + 30 * k), 20.0) for k in range(97)]
@@ -574,8 +701,13 @@ def test_day_and_delivery_files(spark, tmp_path):
     assert (got.symbol, got.open, got.high, got.volume) == ("A", 4.0, 5.0, 100)
     with pytest.raises(files.SchemaDrift):
         files.day_file(spark, str(tmp_path / "old.csv"), "2024-07-08")
-    (tmp_path / "dly.dat").write_text("10,MTO\n20,1,A,EQ,100,60,60.5\n20,2,B,GB,1,1,1\n")
-    assert [(x.symbol, x.delivery_pct) for x in files.delivery_file(spark, str(tmp_path / "dly.dat")).collect()] == [("A", 0.605)]
+    named = list(files.NEW_DAY.values())
+    (tmp_path / "new.csv").write_text(",".join([*named, files.TRADE_COUNT]) + "\nA,EQ,1,2,1,2,9,18,X,7\n,EQ,1,2,1,2,9,18,X,7\nB,EQ,1,2,1,,9,18,X,7\nC,BE,1,2,1,2,9,18,X,0\n")
+    rows = files.day_file(spark, str(tmp_path / "new.csv"), "2024-07-08").orderBy("symbol").collect()
+    assert [(x.symbol, x.trades) for x in rows] == [("A", 7), ("C", None)]
+    (tmp_path / "dly.dat").write_text("10,MTO\n20,1,A,EQ,100,60,60.5\n20,2,B,GB,1,1,1\n20,3,C,EQ,1,1,-\n")
+    got = files.delivery_file(spark, str(tmp_path / "dly.dat")).collect()
+    assert [(x.symbol, x.delivery_quantity, x.delivery_pct) for x in got] == [("A", 60, 0.605)]
 
 
 def test_exports(market, tmp_path):
