@@ -32,11 +32,14 @@ def remainder(id_col: Column, divisor: int) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names in spark.checkpoint.dir; only without one (tests) make a folder."""
+    """Use the folder that the cluster names in spark.checkpoint.dir; without one, one machine (tests) makes a folder, and a
+    cluster is refused: its executors don't share any."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="barloom-checkpoint-"))
 
 

@@ -18,6 +18,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 from fractions import Fraction
 
@@ -45,34 +46,53 @@ TILE = 256
 ROUNDS = 2
 
 
-#: Odd multipliers of the words' places, and of the finish. Fixed values.
-PLACES = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1) ** 5) % 2**64 | 1 for k in range(64)], dtype=np.uint64)
-FINISH = np.uint64(0xBF58476D1CE4E5B9)
+#: An odd multiplier, what it is divided by, and odd numbers for the finish. Fixed values.
+BASE = 0x9E3779B97F4A7C15
+UNBASE = pow(BASE, -1, 1 << 64)
+FINISH = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
-def run_hashes(text: bytes, width: int, known: dict[bytes, int] | None = None) -> np.ndarray:
-    """A 64-bit hash of each run of width words, A-Z lower-cased; a text of fewer words is one run.
+@functools.lru_cache(maxsize=4)
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 to base ** (n - 1), modulo 2 ** 64."""
+    found = np.full(n, base, dtype=np.uint64)
+    found[0] = 1
+    return np.cumprod(found, dtype=np.uint64)
 
-    known remembers the hashes of words. Words are hashed by XXH64, runs by a sum over their places, which numpy makes for
+
+def run_hashes(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each run of width words of each text, A-Z lower-cased, and where each text's runs begin.
+
+    Words are what white space separates; a text of fewer words is one run, as is one without any. A run's hash is the
+    polynomial of its bytes (words with one space between them) modulo 2 ** 64, mixed; sums up to each byte give those of
     all runs at once.
     """
-    known = {} if known is None else known
-    words = text.lower().split()
-    for w in set(words) - known.keys():
-        known[w] = xxhash.xxh64_intdigest(w, 42)
-    one = np.array([known[w] for w in words], dtype=np.uint64)
-    size = min(width, len(one))
-    runs = max(1, len(one) - width + 1)
-    total = np.full(runs, size, dtype=np.uint64)
-    for k in range(size):
-        total += (one[k : k + runs] ^ (one[k : k + runs] >> np.uint64(29))) * PLACES[k]
-    total = (total ^ (total >> np.uint64(30))) * FINISH
-    return total ^ (total >> np.uint64(31))
+    whole = b"\n".join([b" ".join(t.lower().split()) for t in texts])
+    data = np.frombuffer(whole, np.uint8)
+    room = 1 << (len(data) + 1).bit_length()  # few different lengths
+    upto = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(data * powers(BASE, room)[: len(data)], out=upto[1:])
+    cuts = np.flatnonzero(data == 10)
+    first, last = np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(data)]])
+    between = np.flatnonzero((data == 32) | (data == 10))
+    starts, ends = np.concatenate([[0], between + 1]), np.concatenate([between, [len(data)]])
+    of = np.searchsorted(first, starts, side="right") - 1
+    n = len(starts) - width + 1
+    inside = np.flatnonzero(of[:n] == of[width - 1 :]) if n > 0 else np.zeros(0, np.int64)
+    short = np.flatnonzero(np.bincount(of, minlength=len(texts)) < width)
+    a, b = np.concatenate([starts[inside], first[short]]), np.concatenate([ends[inside + width - 1], last[short]])
+    owner = np.concatenate([of[inside], short])
+    order = np.argsort(owner, kind="stable")
+    a, b, owner = a[order], b[order], owner[order]
+    found = (upto[b] - upto[a]) * powers(UNBASE, room)[a]
+    found = (found ^ (found >> np.uint64(30))) * FINISH[0]
+    found = (found ^ (found >> np.uint64(27))) * FINISH[1]
+    return found ^ (found >> np.uint64(31)), np.searchsorted(owner, np.arange(len(texts) + 1))
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
     """The sorted, distinct hashes of a text's runs of words."""
-    return np.unique(run_hashes(text, width))
+    return np.unique(run_hashes([text], width)[0])
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -86,12 +106,17 @@ class Block:
     """The shingles of a block's texts, and its distinct shortened hashes with how many of its texts have each."""
 
     def __init__(self, texts: list[bytes], width: int, bits: int):
-        known: dict[bytes, int] = {}
         self.drop = np.uint64(64 - bits)
-        self.runs = [run_hashes(t, width, known) for t in texts]
-        self.sets = [np.unique(r) for r in self.runs]
-        short = [np.unique(x >> self.drop) for x in self.sets]
-        self.keys, self.counts = np.unique(np.concatenate(short), return_counts=True)
+        found, at = run_hashes(texts, width)
+        self.runs = np.split(found, at[1:-1])
+        owner = np.repeat(np.arange(len(texts)), np.diff(at))
+        found = np.concatenate([np.sort(r) for r in self.runs])
+        new = np.concatenate([[True], (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])])
+        found, owner = found[new], owner[new]
+        self.sets = np.split(found, np.searchsorted(owner, np.arange(1, len(texts))))
+        short = found >> self.drop
+        new = np.concatenate([[True], (short[1:] != short[:-1]) | (owner[1:] != owner[:-1])])
+        self.keys, self.counts = np.unique(short[new], return_counts=True)
 
     def cuts(self, buckets: int, bits: int) -> np.ndarray:
         edges = np.array([(k << bits) // buckets for k in range(1, buckets)], dtype=np.uint64)

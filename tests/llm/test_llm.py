@@ -436,6 +436,21 @@ def brute_survivors(rows):
     return set(least.values())
 
 
+def test_run_hashes_tell_runs_apart():
+    rng = random.Random(1)
+    texts = [b" \t".join(rng.choices([b"a", b"B", b"cc", b"d\xc3\xa9"], k=rng.randint(0, 12))) for _ in range(400)] + [b"", b" \n", b"a " * 3000]
+    found = {}
+    here = shingles.Block(texts, 5, 40)
+    for t, runs, hashes in zip(texts, here.runs, here.sets):
+        w = t.lower().split()
+        want = [tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))]
+        assert len(runs) == len(want) and np.array_equal(np.unique(runs), hashes) and np.array_equal(shingles.shingles(t, 5), hashes)
+        for run, h in zip(want, runs.tolist()):
+            assert found.setdefault(run, h) == h
+    assert len(set(found.values())) == len(found)
+    assert dict(zip(here.keys.tolist(), here.counts.tolist())) == Counter(int(h) >> 24 for x in here.sets for h in {int(y) >> 24 << 24 for y in x})
+
+
 def edited_copies(rng, n_base, n_copies, length=120):
     """Documents, and copies of them with a few words changed: likeness on both sides of 0.8."""
     rows = []
