@@ -65,8 +65,9 @@ class Trie:
     """Prefixes of pre-tokens as numbered nodes with their forward score, number of tokens and last piece's length."""
 
     def __init__(self, score: dict[str, float]):
-        self.score = score
-        self.longest = max(map(len, score), default=1)
+        # ends of pieces that aren't pieces have no score: what isn't even an end is in no longer piece
+        self.ends: dict[str, float | None] = {p[k:]: None for p in score for k in range(1, len(p))}
+        self.ends.update(score)
         self.clear()
 
     def clear(self) -> None:
@@ -74,59 +75,72 @@ class Trie:
         self.best, self.tokens, self.back = [0.0], [0], [0]
         self.terminal: dict[int, int] = {}
 
-    def _step(self, word: str, end: int, best) -> tuple[float, int, int]:
-        """Score of the prefix that ends at end, its last piece's length (0: a character spelled in bytes) and tokens."""
+    def _step(self, word: str, end: int, best, at) -> tuple[float, int, int]:
+        """Score of the prefix that ends at end, its last piece's length (0: a character spelled in bytes) and tokens.
+
+        best[at[k]] is the score of the prefix of k characters.
+        """
         top, size, cost = -math.inf, 0, 1
-        get = self.score.get
-        for k in range(min(self.longest, end), 0, -1):
-            s = get(word[end - k : end])
-            if s is not None and (s := s + best[end - k]) > top:
-                top, size = s, k
-        if get(word[end - 1]) is None:
+        ends, covered = self.ends, False
+        for k in range(1, end + 1):
+            s = ends.get(word[end - k : end], False)
+            if s is False:
+                break
+            if s is not None:
+                covered |= k == 1
+                if (s := s + best[at[end - k]]) >= top:
+                    top, size = s, k
+        if not covered:
             spelled = len(word[end - 1].encode())
-            if (s := best[end - 1] + BYTE * spelled) > top:
+            if (s := best[at[end - 1]] + BYTE * spelled) > top:
                 top, size, cost = s, 0, spelled
         return top, size, cost
 
-    def walk(self, word: str) -> tuple[int, array, int]:
-        """Insert a word: its number of tokens, the last pieces' lengths by prefix, and its node (-1 beyond DEPTH)."""
-        node, best, tokens, back = 0, array("d", [0.0]), array("q", [0]), array("i", [0])
-        for end in range(1, len(word) + 1):
-            shared = end <= DEPTH
-            at = self.below.get((node, word[end - 1])) if shared else None
+    def walk(self, word: str) -> list[int]:
+        """Insert a word, as far as nodes go: the nodes of its prefixes, from the empty one."""
+        below, best, tokens, node, path = self.below, self.best, self.tokens, 0, [0]
+        for end, char in enumerate(word[:DEPTH], 1):
+            at = below.get((node, char))
             if at is None:
-                top, size, cost = self._step(word, end, best)
-                n = tokens[end - max(size, 1)] + cost
-                if shared:
-                    at = self.below[node, word[end - 1]] = len(self.best)
-                    self.best.append(top)
-                    self.tokens.append(n)
-                    self.back.append(size)
-            else:
-                top, n, size = self.best[at], self.tokens[at], self.back[at]
-            node = at if shared else -1
+                top, size, cost = self._step(word, end, best, path)
+                at = below[node, char] = len(best)
+                best.append(top)
+                tokens.append(tokens[path[end - (size or 1)]] + cost)
+                self.back.append(size)
+            path.append(at)
+            node = at
+        return path
+
+    def beyond(self, word: str, path: list[int]) -> tuple[int, array]:
+        """Number of tokens and last pieces' lengths by prefix of a word that is longer than the trie is deep."""
+        best, tokens, back = (array(kind, [x[k] for k in path]) for kind, x in (("d", self.best), ("q", self.tokens), ("i", self.back)))
+        for end in range(len(path), len(word) + 1):
+            top, size, cost = self._step(word, end, best, range(end))
             best.append(top)
-            tokens.append(n)
+            tokens.append(tokens[end - (size or 1)] + cost)
             back.append(size)
-        return tokens[-1], back, node
+        return tokens[-1], back
 
     def count(self, word: str) -> int:
         """A word's number of tokens, stored at its terminal node."""
-        n, _, node = self.walk(word)
-        if node >= 0:
-            self.terminal[node] = n
+        path = self.walk(word)
+        if len(word) > DEPTH:
+            return self.beyond(word, path)[0]
+        n = self.terminal[path[-1]] = self.tokens[path[-1]]
         if len(self.best) > NODES:
             self.clear()
         return n
 
     def pieces(self, word: str) -> list[str]:
         """The pieces of a word's best segmentation, from the last to the first, without what is spelled in bytes."""
-        _, back, _ = self.walk(word)
+        path = self.walk(word)
+        back = self.beyond(word, path)[1] if len(word) > DEPTH else [self.back[k] for k in path]
         found, end = [], len(word)
         while end:
-            if back[end]:
-                found.append(word[end - back[end] : end])
-            end -= max(back[end], 1)
+            size = back[end]
+            if size:
+                found.append(word[end - size : end])
+            end -= size or 1
         if len(self.best) > NODES:
             self.clear()
         return found
