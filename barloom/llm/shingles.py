@@ -18,7 +18,6 @@
 
 from __future__ import annotations
 
-import functools
 import itertools
 from fractions import Fraction
 
@@ -52,12 +51,21 @@ UNBASE = pow(BASE, -1, 1 << 64)
 FINISH = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
-@functools.lru_cache(maxsize=4)
+#: Powers that a worker keeps: those of the longest text or block so far, up to so many.
+POWERS: dict[int, np.ndarray] = {}
+MOST_KEPT = 1 << 23
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 to base ** (n - 1), modulo 2 ** 64."""
-    found = np.full(n, base, dtype=np.uint64)
-    found[0] = 1
-    return np.cumprod(found, dtype=np.uint64)
+    known = POWERS.get(base)
+    if known is None or len(known) < n:
+        known = np.full(n + n // 8 + 1, base, dtype=np.uint64)
+        known[0] = 1
+        np.cumprod(known, dtype=np.uint64, out=known)
+        if len(known) <= MOST_KEPT:
+            POWERS[base] = known
+    return known[:n]
 
 
 def run_hashes(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,9 +77,8 @@ def run_hashes(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     """
     whole = b"\n".join([b" ".join(t.lower().split()) for t in texts])
     data = np.frombuffer(whole, np.uint8)
-    room = 1 << (len(data) + 1).bit_length()  # few different lengths
     upto = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(data * powers(BASE, room)[: len(data)], out=upto[1:])
+    np.cumsum(data * powers(BASE, len(data)), out=upto[1:])
     cuts = np.flatnonzero(data == 10)
     first, last = np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(data)]])
     between = np.flatnonzero((data == 32) | (data == 10))
@@ -84,7 +91,7 @@ def run_hashes(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     owner = np.concatenate([of[inside], short])
     order = np.argsort(owner, kind="stable")
     a, b, owner = a[order], b[order], owner[order]
-    found = (upto[b] - upto[a]) * powers(UNBASE, room)[a]
+    found = (upto[b] - upto[a]) * powers(UNBASE, len(data) + 1)[a]
     found = (found ^ (found >> np.uint64(30))) * FINISH[0]
     found = (found ^ (found >> np.uint64(27))) * FINISH[1]
     return found ^ (found >> np.uint64(31)), np.searchsorted(owner, np.arange(len(texts) + 1))
@@ -337,8 +344,9 @@ def linked(df: DataFrame, id_col: str, text_col: str, likeness: Fraction, width:
     roots = components(links)
     for _ in range(ROUNDS):
         here = rooted(met, roots)
-        lead = F.min(F.struct("root", "node")).over(Window.partitionBy("hash")).alias("lead")
-        pairs = here.select("node", "root", lead).where("root != lead.root")
+        # written first, so that a hash with many texts is a skewed key of a plain join, which Spark splits
+        lead = checkpoint(here.groupBy("hash").agg(F.min(F.struct("root", "node")).alias("lead")))
+        pairs = here.join(lead, "hash").select("node", "root", "lead").where("root != lead.root")
         turn = F.min(F.struct(F.col("node").alias("a"), F.col("lead.node").alias("b"))).alias("e")
         proposed = checkpoint(pairs.groupBy("root", F.col("lead.root").alias("to")).agg(turn).select("e.a", "e.b"))
         more = verified(proposed, texts, likeness, width)
