@@ -31,3 +31,23 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def sf_dir():
     return str(DATA)
+
+
+@pytest.fixture(scope="session", autouse=True)
+def one_walk(request):
+    """The price walk that most queries begin with is computed once for each table, not once for each query."""
+    if not any("spark" in getattr(item, "fixturenames", ()) for item in request.session.items):
+        yield
+        return
+    from barloom.sources import bars
+
+    made, walk = {}, bars.walk
+
+    def kept(spark, sf_dir, key="brand"):
+        if (sf_dir, key) not in made:
+            made[sf_dir, key] = walk(spark, sf_dir, key).cache()
+        return made[sf_dir, key]
+
+    bars.walk = kept
+    yield
+    bars.walk = walk
