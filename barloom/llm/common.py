@@ -43,10 +43,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="barloom-checkpoint-"))
 
 
+#: Bits of the largest size that an estimate can tell apart: Spark's own for tables of unknown size.
+ESTIMATE_BITS = 63
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder; every executor can read the files again."""
+    """Cut the lineage through the shared folder; every executor can read the files again.
+
+    A checkpoint keeps the optimizer's estimate of its size, and joins multiply those of their sides. From round to round
+    the number has twice the digits or more, until it alone fills the driver, so one beyond all measure is cut, too.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    return unsized(out) if input_bytes(out).bit_length() > ESTIMATE_BITS else out
+
+
+def unsized(df: DataFrame) -> DataFrame:
+    """The same rows, partitioning and order of a checkpoint, as a table of unknown size."""
+    session, plan = df.sparkSession, df._jdf.queryExecution().analyzed()
+    jvm, none = session._jvm, session._jvm.scala.Option.empty()
+    known = plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), plan.isStreaming(), plan.stream()
+    bare = jvm.org.apache.spark.sql.execution.LogicalRDD(*known, session._jsparkSession, none, none)
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(session._jsparkSession, bare), session)
 
 
 def free_name(df: DataFrame, stem: str) -> str:

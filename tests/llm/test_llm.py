@@ -30,6 +30,7 @@ from barloom.llm import (
     toxicity,
     url_filter,
 )
+from barloom.llm.common import checkpoint, input_bytes, unsized
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, source string, id string, keep_id int, score string, size string, bucket int, fp string, pattern int, y string, held_out int"
@@ -370,6 +371,37 @@ def test_simhash_large_bucket_in_tiles(spark, monkeypatch):
     assert {x: got.get(x, x) for (x,) in signed} == {x: root(x) for (x,) in signed}
 
 
+def test_components_keep_the_estimate_of_their_size_small(spark, monkeypatch):
+    """The estimate is a number on the driver; each round's joins multiply it, and its digits doubled until they filled it."""
+    sizes, real = [], components.checkpoint
+
+    def seen(df):
+        out = real(df)
+        sizes.append(input_bytes(out).bit_length())
+        return out
+
+    monkeypatch.setattr(components, "checkpoint", seen)
+    monkeypatch.setattr(components, "AT_ONCE", 0)
+    path = [(i, i + 1) for i in range(40)]
+    random.Random(3).shuffle(path)
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(path, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(1, 41)}
+    assert len(sizes) > 8 and max(sizes) <= 63
+
+
+def test_checkpoint_of_unknown_size_keeps_rows_partitions_and_order(spark):
+    rows = spark.createDataFrame([(i % 7, str(i), None) for i in range(50)], "a long, b string, c double")
+    many = rows
+    for k in range(3):
+        many = many.join(rows.select(F.col("b").alias(f"b{k}")), F.col("b") == F.col(f"b{k}"))
+    many = many.select("a", "b", "c").repartition(3, "a").sortWithinPartitions("a")
+    written = checkpoint(many)
+    cut = unsized(written)
+    assert input_bytes(cut) == 2**63 - 1 and cut.schema == many.schema
+    assert cut.rdd.glom().collect() == written.rdd.glom().collect()
+    assert Counter(map(tuple, cut.collect())) == Counter(map(tuple, rows.collect()))
+
+
 @pytest.mark.parametrize("n, parts", [(10, 6), (10**9, 7), (10**11, 8)])
 def test_simhash_parts_follow_the_number_of_fingerprints(n, parts):
     lengths = simhash.parts_for(n)
