@@ -37,6 +37,7 @@ EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 EDGE_PLAIN = re.compile(r"^[\"'(\[{«¿¡.,;:|*_~#&%-]+|[\"')\]}».,;:?|*_~#&%-]+$|([^\w\s])\1+$|!$")
 REPEAT = re.compile(r"(.)\1\1")
 DOUBLE = re.compile(r"([a-z])\1")
+ALIKE = re.compile(r"([a-z])\1+")
 CLEAN = re.compile(r"[^\W\d_]+(?:['’.,;:/_\-][^\W\d_]{2,})*\Z")
 #: Letters whose decomposition isn't a letter and marks. Fixed values.
 FOLDS = str.maketrans({"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ł": "l", "ı": "i"})
@@ -77,12 +78,20 @@ def plain(chunk: str) -> str | None:
     """The folded word of a chunk that is letters and at most some marks at its end; None if it needs a closer look."""
     word = chunk if chunk.isalpha() else chunk.rstrip(".,;:?!")
     if word.isalpha():
-        word = fold(word)
-        if word.isalpha() and REPEAT.search(word) is None:
+        if word.isascii():
+            word = word.lower()
+        elif not (word := fold(word)).isalpha():
+            return None
+        if REPEAT.search(word) is None:
             return word
     return None
 
 
+def single(word: str) -> str:
+    """The word with one letter for each run of the same letter: the same for all ways to drop repeated letters."""
+    return ALIKE.sub(r"\1", word)
+
+
 class Channel:
     """Character model (27^4 log-probabilities: a fixed size) and decoder; remembers words that it has restored."""
 
@@ -97,17 +106,23 @@ class Channel:
             if len(self.known) > 150_000:
                 self.known.clear()
             word = plain(chunk)
-            if word is None:
-                word = trimmed(fold(chunk))
-            if is_noisy(word):
-                found = tuple(self.decode(word, False).split())
+            if word is not None:
+                found = self.letters(word)
             else:
-                found = tuple(w for w in re.split(r"[\W\d_]+", word) if w)
-                if is_doubtful(word):
-                    found = self.likelier(word, found)
+                word = trimmed(fold(chunk))
+                if is_noisy(word):
+                    found = tuple(self.decode(word, False).split())
+                else:
+                    found = tuple(w for w in re.split(r"[\W\d_]+", word) if w)
+                    if is_doubtful(word):
+                        found = self.likelier(word, found)
             self.known[chunk] = found
         return found
 
+    def letters(self, word: str) -> tuple[str, ...]:
+        """The restored words of a word that plain() has found: itself but for doubled letters."""
+        return (word,) if DOUBLE.search(word) is None else self.likelier(word, (word,))
+
     def likelier(self, word: str, split: tuple[str, ...]) -> tuple[str, ...]:
         """The word as its lattice restores it or, where the character model finds that no less likely, as it is split."""
         if not all("a" <= c <= "z" for w in split for c in w):
@@ -322,6 +337,9 @@ class Model:
         self.language = hashlib.blake2b(logp.tobytes(), digest_size=16).hexdigest()
         words = repr(sorted(lexicon.items())).encode()
         self.name = hashlib.blake2b(words, digest_size=16, key=self.language.encode()).hexdigest()
+        # how all words begin that weigh anything, as they are and without repeated letters
+        self.heads = {f[:LEAST] for f in lexicon}
+        self.singles = {single(f.rstrip("*")[:LEAST]) for f in lexicon}
 
     def start(self) -> Channel:
         return kept("channel", self.language, lambda: Channel(self.logp.tolist()))
@@ -330,6 +348,8 @@ class Model:
         return self.start().text(text)
 
     def weight(self, word: str) -> float:
+        if word[:LEAST] not in self.heads:
+            return 0.0
         get = self.lexicon.get
         w = get(word, 0.0)
         for n in range(LEAST, min(MOST, len(word)) + 1):
@@ -339,6 +359,18 @@ class Model:
     def weighed(self, words) -> list[tuple[str, float]]:
         return [(w, x) for w in words if (x := self.weight(w))]
 
+    def chunk(self, chunk: str) -> list[tuple[str, float]]:
+        """The weighed words of a chunk; doubled letters are only restored where some way to drop them may weigh."""
+        word = plain(chunk)
+        if word is None:
+            return self.weighed(self.start().words(chunk))
+        if DOUBLE.search(word) is None:
+            return [(word, x)] if (x := self.weight(word)) else []
+        bare = single(word[: 2 * LEAST])
+        if not any(bare[:n] in self.singles for n in range(1, LEAST + 1)):
+            return []
+        return self.weighed(self.start().letters(word))
+
     def found(self, text: str) -> tuple[list[tuple[str, float]], int]:
         """The weighed words of a text, and its number of chunks; each distinct chunk is restored and weighed once."""
         channel, known = self.start(), kept("weighed", self.name, Weighed)
@@ -350,7 +382,7 @@ class Model:
                 known.seen, new = set(), set(chunks)
                 hits.clear()
             for c in new:
-                if here := self.weighed(channel.words(c)):
+                if here := self.chunk(c):
                     hits[c] = here
             known.seen |= new
         out = [x for c in chunks if c in hits for x in hits[c]]

@@ -371,6 +371,27 @@ def test_simhash_large_bucket_in_tiles(spark, monkeypatch):
     assert {x: got.get(x, x) for (x,) in signed} == {x: root(x) for (x,) in signed}
 
 
+def test_toxicity_restores_only_what_may_weigh(monkeypatch):
+    rng = random.Random(5)
+    counts = np.random.default_rng(5).integers(0, 50, toxicity.SIGNS**4).astype(float)
+    stems = ["idiot", "ass", "foolish", "aabb", "dull", "eel", "zzz", "scum", "o", "stupid", "kisss", "naïve", "ℂℂab", "ßoo", "кооп", "１２ab"]
+    lexicon = {"idiot": 2.0, "ass": 1.6, "fool*": 1.9, "aab": 1.7, "dul": 1.5, "scum*": 2.5, "stup*": 1.8, "stupid*": 2.1, "eel": 1.5, "ab": 1.5, "кооп": 1.6, "kooll*": 1.7}
+    model = toxicity.Model(toxicity.smooth(counts), lexicon, np.zeros(4))
+    chunks = set()
+    for _ in range(4000):
+        word = rng.choice(stems) if rng.random() < 0.6 else "".join(rng.choices("aabdefiklosu", k=rng.randint(1, 9)))
+        word = "".join(c * rng.choice((1, 1, 1, 2, 2, 3)) if rng.random() < 0.4 else c for c in word)
+        word = word.upper() if rng.random() < 0.1 else word.replace("i", "1").replace("o", "0") if rng.random() < 0.2 else word
+        chunks.add(rng.choice(("", "", '"', "(")) + word + rng.choice(("", "", ".", "!!", ",", "-x", "s'")))
+    weighs = [(c, model.weighed(model.start().words(c))) for c in sorted(chunks)]
+    assert sum(1 for _, w in weighs if w) > 100 and [(c, model.chunk(c)) for c, _ in weighs] == weighs
+    called, real = [], toxicity.Channel.without_doubles
+    monkeypatch.setattr(toxicity.Channel, "without_doubles", lambda self, word: called.append(word) or real(self, word))
+    toxicity.LIVE.clear()
+    model.score(["Hello, happy butter; pepper: letter running hill foolls"])
+    assert called == ["foolls"]
+
+
 def test_components_keep_the_estimate_of_their_size_small(spark, monkeypatch):
     """The estimate is a number on the driver; each round's joins multiply it, and its digits doubled until they filled it."""
     sizes, real = [], components.checkpoint
