@@ -7,7 +7,6 @@ blocks and are joined by position. Each distinct word's ids are joined with the
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 
@@ -17,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm import blocks
-from barloom.llm.common import spread
+from barloom.llm.common import kept, spread, store
 
 RESULT = pa.schema(
     [
@@ -31,8 +30,15 @@ RESULT = pa.schema(
 )
 
 
-@functools.lru_cache(maxsize=2)
+#: What this worker process keeps between tasks: the last tokenizer and its pieces, by its file's text.
+LIVE: dict[str, tuple[str, object]] = store()
+
+
 def tokenizer(spec: str):
+    return kept(LIVE, "tokenizer", spec, lambda: _tokenizer(spec))
+
+
+def _tokenizer(spec: str):
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -50,9 +56,12 @@ def load(path: str) -> str:
         return f.read()
 
 
-@functools.lru_cache(maxsize=2)
 def pieces(spec: str) -> np.ndarray:
     """Piece by id, as UTF-8; ids without a piece have the empty string."""
+    return kept(LIVE, "pieces", spec, lambda: _pieces(spec))
+
+
+def _pieces(spec: str) -> np.ndarray:
     read = json.loads(spec)
     by_id = {i: p for p, i in read["model"]["vocab"].items()} | {t["id"]: t["content"] for t in read["added_tokens"]}
     table = np.full(max(by_id) + 1, b"", dtype=object)

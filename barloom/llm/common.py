@@ -101,6 +101,31 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+#: What this worker process keeps between tasks, a store for each operator; at most one is filled.
+STORES: list[dict] = []
+
+
+def store() -> dict:
+    """A store for what an operator keeps between tasks."""
+    STORES.append({})
+    return STORES[-1]
+
+
+def alone(mine: dict) -> dict:
+    """The store, with all others emptied: workers stay for the stages of other operators and would hold what each keeps."""
+    for other in STORES:
+        if other is not mine:
+            other.clear()
+    return mine
+
+
+def kept(mine: dict, what: str, digest: str, make: Callable):
+    """What was made for this digest the last time, or a new one in its place."""
+    if what not in mine or mine[what][0] != digest:
+        alone(mine)[what] = (digest, make())
+    return mine[what][1]
+
+
 def release() -> None:
     """Give memory back that a Python worker has freed but holds: the worker stays for other tasks and stages."""
     pa.default_memory_pool().release_unused()

@@ -19,6 +19,7 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm import blocks
-from barloom.llm.common import checkpoint, free_name, releasing
+from barloom.llm.common import alone, checkpoint, free_name, releasing, store
 from barloom.llm.components import Forest, components
 from barloom.llm.lm import Reader, planes
 from barloom.llm.simhash import near_links
@@ -51,8 +52,8 @@ UNBASE = pow(BASE, -1, 1 << 64)
 FINISH = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
-#: Powers that a worker keeps: those of the longest text or block so far, up to so many.
-POWERS: dict[int, np.ndarray] = {}
+#: Powers that a worker keeps: those of the longest text or group of texts so far, up to so many.
+POWERS: dict[int, np.ndarray] = store()
 MOST_KEPT = 1 << 23
 
 
@@ -64,17 +65,39 @@ def powers(base: int, n: int) -> np.ndarray:
         known[0] = 1
         np.cumprod(known, dtype=np.uint64, out=known)
         if len(known) <= MOST_KEPT:
-            POWERS[base] = known
+            alone(POWERS)[base] = known
     return known[:n]
 
 
+#: Bytes of text that are hashed at once, and a single longer text: it takes some 40 bytes for each byte.
+HASHED = 1 << 20
+
+
+def grouped(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """The texts in groups of HASHED bytes."""
+    group: list[bytes] = []
+    size = 0
+    for t in texts:
+        if group and size + len(t) > HASHED:
+            yield group
+            group, size = [], 0
+        group.append(t)
+        size += len(t)
+    yield group
+
+
 def run_hashes(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each run of width words of each text, A-Z lower-cased, and where each text's runs begin.
 
     Words are what white space separates; a text of fewer words is one run, as is one without any. A run's hash is the
-    polynomial of its bytes (words with one space between them) modulo 2 ** 64, mixed; sums up to each byte give those of
-    all runs at once.
+    polynomial of its bytes (words with one space between them) modulo 2 ** 64, mixed, wherever the text stands.
     """
+    found, sizes = zip(*[(h, np.diff(at)) for h, at in (_hashed(group, width) for group in grouped(texts))])
+    return np.concatenate(found), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+
+def _hashed(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """run_hashes of one group: sums up to each byte give the polynomials of all runs at once."""
     whole = b"\n".join([b" ".join(t.lower().split()) for t in texts])
     data = np.frombuffer(whole, np.uint8)
     upto = np.zeros(len(data) + 1, np.uint64)

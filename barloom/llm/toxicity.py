@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm import blocks, labelled
-from barloom.llm.common import checkpoint, releasing, remainder, small_batches
+from barloom.llm.common import checkpoint, kept, releasing, remainder, small_batches, store
 
 #: Letters that a character may stand for. Fixed values.
 LOOKS = {
@@ -311,14 +311,7 @@ def odds(pos, neg, n_pos: float, n_neg: float):
 
 
 #: What this worker process keeps between tasks: the last channel and the last model's weighed chunks, by digest.
-LIVE: dict[str, tuple[str, object]] = {}
-
-
-def kept(what: str, digest: str, make):
-    """What was made for this digest the last time, or a new one in its place."""
-    if what not in LIVE or LIVE[what][0] != digest:
-        LIVE[what] = (digest, make())
-    return LIVE[what][1]
+LIVE: dict[str, tuple[str, object]] = store()
 
 
 class Weighed:
@@ -342,7 +335,7 @@ class Model:
         self.singles = {single(f.rstrip("*")[:LEAST]) for f in lexicon}
 
     def start(self) -> Channel:
-        return kept("channel", self.language, lambda: Channel(self.logp.tolist()))
+        return kept(LIVE, "channel", self.language, lambda: Channel(self.logp.tolist()))
 
     def words(self, text: str) -> list[str]:
         return self.start().text(text)
@@ -373,7 +366,7 @@ class Model:
 
     def found(self, text: str) -> tuple[list[tuple[str, float]], int]:
         """The weighed words of a text, and its number of chunks; each distinct chunk is restored and weighed once."""
-        channel, known = self.start(), kept("weighed", self.name, Weighed)
+        channel, known = self.start(), kept(LIVE, "weighed", self.name, Weighed)
         hits = known.hits
         chunks = text.split()
         new = set(chunks) - known.seen

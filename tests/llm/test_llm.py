@@ -504,6 +504,34 @@ def test_run_hashes_tell_runs_apart():
     assert dict(zip(here.keys.tolist(), here.counts.tolist())) == Counter(int(h) >> 24 for x in here.sets for h in {int(y) >> 24 << 24 for y in x})
 
 
+def test_run_hashes_of_a_block_keep_little_memory():
+    """Powers for all bytes of a block, 16 bytes for each, stayed in the worker."""
+    rng = random.Random(2)
+    texts = [b"", b" "] + [" ".join(f"w{rng.randrange(9999)}" for _ in range(rng.choice((1, 3, 50, 3000)))).encode() for _ in range(800)]
+    rng.shuffle(texts)
+    shingles.POWERS.clear()
+    found, at = shingles.run_hashes(texts, 5)
+    assert sum(map(len, texts)) > 3 << 20 and max(map(len, shingles.POWERS.values())) < 3 << 19
+    texts[5:5] = [b"alone " * 400_000]
+    more, ends = shingles.run_hashes(texts, 5)
+    assert len(ends) == len(texts) + 1 and ends[-1] == len(more)
+    assert np.array_equal(np.concatenate([more[: ends[5]], more[ends[6] :]]), found) and at[5] == ends[5]
+    for t, a, b in zip(texts, ends, ends[1:]):
+        assert np.array_equal(more[a:b], shingles.run_hashes([t], 5)[0])
+
+
+def test_workers_keep_what_one_operator_needs():
+    """What the classifier and the shingles kept stayed in the workers while texts were encoded."""
+    toxicity.Model(np.zeros(27**4), {}, np.zeros(4)).start()
+    assert toxicity.LIVE
+    shingles.POWERS.clear()
+    shingles.shingles(b"a b", 5)
+    assert shingles.POWERS and not toxicity.LIVE
+    spec = bpe.load(queries.tokenizer_path("word_bpe_49k.json"))
+    known = bpe.tokenizer(spec)
+    assert not shingles.POWERS and len(bpe.pieces(spec)) and bpe.tokenizer(spec) is known
+
+
 def edited_copies(rng, n_base, n_copies, length=120):
     """Documents, and copies of them with a few words changed: likeness on both sides of 0.8."""
     rows = []
